@@ -59,13 +59,10 @@ class Merger(dict):
         self.symbol = byte_symbols()
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
         self.library = Tokenizer.from_file(path)
-        self.long: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
         n = self.merge(word)
-        if len(self) >= MEMO:
-            self.clear()
-        if len(word) <= 64:
+        if len(self) < MEMO and len(word) <= 64:
             self[word] = n
         return n
 

@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +19,8 @@ U64 = np.uint64
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text in one Arrow batch sent to Python; long texts then come in small batches.
 BATCH_BYTES = 16 << 20
-#: Entries of a worker's per-word memo before it is emptied, which bounds a worker's memory.
-MEMO = 300_000
+#: Entries of a worker's per-word memo. Words met early are the frequent ones; a full memo stays.
+MEMO = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,20 +88,12 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, as a memo of bounded size."""
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes hashed at once, and a random value for each byte.
+_SPAN = 1 << 20
+_BYTE = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=U64, count=len(words))
-
-
-WORD_HASH = WordHash()
 
 _P = U64(0x9E3779B97F4A7C15)
 
@@ -116,6 +107,76 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number and of its inverse modulo 2^64."""
+    base = 0x9E3779B97F4A7C15
+    up, down = np.full(n, base, U64), np.full(n, pow(base, -1, 1 << 64), U64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+
+
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _hash_span(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of some bytes that end in a blank."""
+    if not _POWERS or len(_POWERS[0][0]) < len(b):
+        _POWERS[:] = [_powers(max(_SPAN + 1, len(b)))]
+    up, down = _POWERS[0]
+    inside = ~_BLANK[b]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(b) and inside[0]:
+        edge = np.concatenate([[0], edge])
+    start, end = edge[::2], edge[1::2]
+    total = np.cumsum(_BYTE[b] * up[: len(b)], dtype=U64)
+    before = np.where(start > 0, total[start - 1], U64(0))
+    return mix((total[end - 1] - before) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)), start
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts in order, each word's place in the joined texts, and the
+    bounds of each text's words. A word's hash is a polynomial in its bytes' random values, so all are
+    computed together. Very long texts are hashed in spans that end at a blank.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    first = np.cumsum(sizes) - sizes
+    b = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    hashes, places, at = [], [], 0
+    while at < len(b):
+        end = min(at + _SPAN, len(b))
+        if end < len(b):
+            blanks = np.flatnonzero(_BLANK[b[at:end]])
+            if len(blanks):
+                end = at + int(blanks[-1]) + 1
+            else:
+                later = np.flatnonzero(_BLANK[b[end:]])
+                end = end + int(later[0]) + 1
+        h, start = _hash_span(b[at:end])
+        hashes.append(h)
+        places.append(start + at)
+        at = end
+    h, place = (np.concatenate(hashes), np.concatenate(places)) if hashes else (np.empty(0, U64), np.empty(0, np.int64))
+    return h, place, np.searchsorted(place, np.append(first, len(b)))
+
+
+def per_text(texts: list[bytes]) -> list[np.ndarray]:
+    """The word hashes of each text."""
+    h, _, cuts = word_hashes(texts)
+    return [h[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def chunks(texts: list[bytes], size: int = 1 << 20, most: int = 512) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes, ``most`` texts at most."""
+    lo = n = 0
+    for i, t in enumerate(texts):
+        if i > lo and (n + len(t) > size or i - lo >= most):
+            yield lo, i
+            lo, n = i, 0
+        n += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A hash of every k consecutive words, in order; empty with fewer words."""
     n = len(words) - k + 1

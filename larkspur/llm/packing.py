@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,38 +23,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.bpe import MEMO, ODD, PRE
+from larkspur.llm.bpe import MEMO, ODD, PRE, byte_symbols
 from larkspur.llm.common import by_batch, cut, prepare, rank_within
 
 
 class Encoder(dict):
-    """word -> its ids as little-endian 32-bit bytes, a memo of bounded size."""
+    """word -> its ids as little-endian 32-bit bytes, a memo of bounded size.
+
+    A pre-tokenized word by itself has the ids that it has in a text, so texts are cut into words by
+    the tokenizer's pattern and only new words go through its model. Texts with characters or strings
+    beyond that pattern's plain range go through the whole library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.tokenize = self.library.model.tokenize
+        self.table = byte_symbols()
 
-    @staticmethod
-    def packed(ids: list[int]) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
+    def __missing__(self, word: str) -> bytes:
+        mapped = word if word.isascii() and word.isprintable() else "".join(self.table[b] for b in word.encode())
+        ids = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+        if len(self) < MEMO and len(word) <= 64:
+            self[word] = ids
+        return ids
 
     def whole(self, text: str) -> bytes:
-        return self.packed(self.library.encode(text, add_special_tokens=False).ids)
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes the words that are new; a word by itself has the ids that it has in a text."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > MEMO:
-            self.clear()
-            new = list(words)
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = self.packed(e.ids)
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        words = [None if ODD.search(t) else PRE.findall(t.lower()) for t in texts]
-        self.learn({w for ws in words if ws for w in ws})
-        return [self.whole(t) if ws is None else b"".join(map(self.__getitem__, ws)) for t, ws in zip(texts, words, strict=True)]
+    def ids(self, text: str) -> bytes:
+        return self.whole(text) if ODD.search(text) else b"".join(map(self.__getitem__, PRE.findall(text.lower())))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -72,13 +72,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         e, out = encoder(tokenizer), ([], [], [], [], [])
         ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-        for lo in range(0, len(texts), 256):
-            for doc_id, packed in zip(ids[lo : lo + 256], e.ids(texts[lo : lo + 256]), strict=True):
-                packed += b"\0\0\0\0"
-                for k, at in enumerate(range(0, len(packed), 4 * capacity)):
-                    piece = packed[at : at + 4 * capacity]
-                    for column, v in zip(out, (doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece)), strict=True):
-                        column.append(v)
+        for doc_id, text in zip(ids, texts, strict=True):
+            packed = e.ids(text) + b"\0\0\0\0"
+            for k, at in enumerate(range(0, len(packed), 4 * capacity)):
+                piece = packed[at : at + 4 * capacity]
+                for column, v in zip(out, (doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece)), strict=True):
+                    column.append(v)
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
