@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import MEMO, WordHash, as_bytes, cut, prepare, window_hashes
+from larkspur.llm.common import MEMO, as_bytes, chunks, cut, per_text, prepare, window_hashes
 
 ORDER = 4
 START, END, DIGIT, PUNCT, OTHER = 62, 63, 26, 27, 28
@@ -119,7 +119,8 @@ class Model:
     """One language's orders as sorted arrays, with a memo of words' log-probabilities."""
 
     def __init__(self, arrays: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.arrays, self.memo = arrays, {}
+        self.arrays: dict = arrays
+        self.memo: dict[bytes, float] = {}
         self.uniform = 1.0 / (START + 2)
 
     @staticmethod
@@ -141,36 +142,29 @@ class Model:
         return np.log(p)
 
     def learn(self, words: set[bytes]) -> None:
+        """Takes new words into the memo, which starts anew when it is full."""
         new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO // 2:
+        if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
             new = list(words)
         for lo in range(0, len(new), 20_000):
             some = new[lo : lo + 20_000]
             codes, word = codes_of(some)
-            total = np.bincount(word, weights=self.log_p(codes), minlength=len(some))
-            self.memo.update(zip(some, zip(total.tolist(), [len(w) + 1 for w in some], strict=True), strict=True))
+            self.memo.update(zip(some, np.bincount(word, weights=self.log_p(codes), minlength=len(some)).tolist(), strict=True))
 
     def score(self, words: list[bytes]) -> float | None:
-        """The mean negative log-probability of a symbol; None without a word."""
-        if not words:
-            return None
-        self.learn(set(words))
-        pairs = [self.memo[w] for w in words]
-        return -sum(p for p, _ in pairs) / sum(n for _, n in pairs)
+        """The mean negative log-probability of a symbol of known words; None without a word."""
+        return -sum(map(self.memo.__getitem__, words)) / (sum(map(len, words)) + len(words)) if words else None
 
 
-HASH = WordHash()
-
-
-def base(text: bytes, words: list[bytes]) -> tuple[int, int, int, int, int]:
+def base(text: bytes, words: list[bytes], hashes: np.ndarray) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
     chars = len(text.decode()) - (len(text) - len(text.translate(None, BLANK)))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     lines = [x for x in text.split(b"\n") if x.strip(BLANK)]
     n, repeated = len(words), 0
     if n > 3:
-        h = window_hashes(HASH.of(words), 3)
+        h = window_hashes(hashes, 3)
         _, at, found = np.unique(h, return_inverse=True, return_counts=True)
         twice = found[at] > 1
         if twice.any():
@@ -195,7 +189,7 @@ def assess(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, band: flo
     names = [r["lang"] for r in top if r["lang"] is not None]
     lang = F.when(F.col("lang").isin(names), F.col("lang")).otherwise(F.lit(REST)) if names else F.lit(REST)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text")
-    rows = orders(gram_counts(own)).toArrow()  # at most 4 * 2^24 grams a language, far fewer in any script
+    rows = orders(cut(gram_counts(own), "grams4")).toArrow()  # at most 4 * 2^24 grams a language, far fewer in any script
     model: dict[str, dict[int, tuple]] = {}
     if rows.num_rows:
         langs, k, code, p, back = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "k", "code", "p", "back"))
@@ -211,9 +205,17 @@ def assess(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, band: flo
         models = {k: Model(v) for k, v in shared.value.items()}
         for b in batches:
             out = []
-            for lang, text in zip(b.column(1).to_pylist(), as_bytes(b.column(2)), strict=True):
-                words = text.split()
-                out.append((*base(text, words), models[lang].score(words) if words else None))
+            langs, texts = b.column(1).to_pylist(), as_bytes(b.column(2))
+            for lo, hi in chunks(texts):
+                words = [t.split() for t in texts[lo:hi]]
+                met: dict[str, set] = {}
+                for lang, ws in zip(langs[lo:hi], words, strict=True):
+                    if ws:
+                        met.setdefault(lang, set()).update(ws)
+                for lang, new in met.items():
+                    models[lang].learn(new)
+                for lang, text, ws, h in zip(langs[lo:hi], texts[lo:hi], words, per_text(texts[lo:hi]), strict=True):
+                    out.append((*base(text, ws, h), models[lang].score(ws) if ws else None))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.float64()], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
 
