@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import album_key, all_caps, normalize, sanitize
+from larkspur.operators.lineage import cut
 
 
 def preference() -> Column:
@@ -30,13 +31,15 @@ def resolve(incoming: DataFrame, artists: DataFrame, albums: DataFrame) -> DataF
     by source path. Albums likewise below their artist; a folder registers without its year, a tag is
     looked up as it is. Names without a key keep their own spelling.
     """
-    own = incoming.withColumn("_ak", normalize(F.col("artist")))
+    # Normalized names feed several joins: they are computed once.
+    own = cut(incoming.withColumn("_ak", normalize(F.col("artist"))))
     known = canonical(artists, "key").select(F.col("key").alias("_ak"), F.col("on_disk").alias("_known"), F.col("dir").alias("_dir"))
     plain = sanitize(F.col("artist"))
     new = own.where("_ak <> ''").groupBy("_ak").agg(F.min(F.struct("src", plain.alias("name"))).alias("f")).select("_ak", F.col("f.name").alias("_new"))
     a = own.join(known, "_ak", "left").join(new, "_ak", "left")
     a = a.withColumn("artist_folder", F.when(F.col("_ak") == "", plain).otherwise(F.coalesce("_known", "_new")))
     a = a.withColumn("_bk", normalize(F.col("album"))).withColumn("_plain", F.concat(sanitize(F.col("album")), F.col("suffix")))
+    a = cut(a)
     below = albums.join(known.select(F.col("_dir").alias("artist_dir")).distinct(), "artist_dir", "left_semi")
     kept = canonical(below, "artist_key", "key").select(F.col("artist_key").alias("_ak"), F.col("key").alias("_bk"), F.col("on_disk").alias("_album"))
     first = a.withColumn("_bk", album_key(F.col("_plain"))).where("_bk <> ''").groupBy("_ak", "_bk")

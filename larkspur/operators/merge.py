@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.paths import basename, extension, stem
 from larkspur.operators.canonical import canonical, preference
+from larkspur.operators.lineage import cut
 
 
 def album_moves(artists: DataFrame, albums: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +83,7 @@ def merge_plan(files: DataFrame, moves: DataFrame) -> DataFrame:
 def consolidate(artists: DataFrame, albums: DataFrame, files: DataFrame, artist_depth: int = 0, album_depth: int = 1) -> DataFrame:
     """The merge plan of a tree: folders as from sources.tree.folders, all files with rel, length, digest."""
     lost, albums_to = album_moves(artists, albums)
-    return merge_plan(files, targets(files, lost, albums_to, artist_depth, album_depth))
+    return merge_plan(files, cut(targets(files, lost, albums_to, artist_depth, album_depth)))
 
 
 def merge_summary(artist_moves: DataFrame, albums_to: DataFrame, plan: DataFrame) -> DataFrame:

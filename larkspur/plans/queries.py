@@ -134,7 +134,9 @@ def m3u_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     files, dirs = tree(spark, sf_dir)
-    return *folders(files, dirs, 0, 1), files
+    files = cut(files)
+    artists, albums = folders(files, dirs, 0, 1)
+    return cut(artists), cut(albums), files
 
 
 def folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,8 +192,7 @@ def scan_tags(spark: SparkSession, root: str, recursive: bool = True) -> DataFra
     from larkspur.sources.tree import read_contents
 
     files = read_contents(spark, root, recursive)
-    base = F.lit(root.rstrip("/") + "/")
-    rel = F.substring_index("path", base, -1)
+    rel = F.substring_index("path", root.rstrip("/") + "/", -1)
     return read_tags(files.select(rel.alias("path"), "content"))
 
 
