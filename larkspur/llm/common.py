@@ -55,6 +55,16 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+#: Rows of a side that may be broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def side(table: DataFrame) -> DataFrame:
+    """A written table as one side of a join: broadcast if a count shows that it is small, else the
+    built side of a shuffled hash join, which leaves the other side (mostly texts) unsorted."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("shuffle_hash")
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table made by cut() that nothing reads any longer."""
     spark, path = df.sparkSession, df._larkspur_path

@@ -4,11 +4,13 @@ A document's set holds its distinct shingles of five words. Each permutation of
 smallest and its largest value, so 120 values cost 60 hash evaluations; bands of five values are
 candidate keys. Links are confirmed on the full sets.
 
-Documents with equal sets are one node. In a band's bucket, members are compared with a few centers
-(the extremes of hashed slices of the bucket), never pair by pair; a center has then been compared
-with all of its bucket and leaves it. Rounds go on until every bucket is empty or lies in one
-component, so each candidate pair is either compared or already connected: groups of any size take a
-number of comparisons linear in their members.
+Documents with equal sets are one node. The members of a band's bucket are first compared with its two
+extremes alone, which joins a group of near copies of any size in linear work. Buckets that still hold
+several components are then searched in shards, for pairs across components that sizes, signature bits
+and shared shingles leave possible: shingles that no other document of these buckets has bound what a
+document can share, which rules out most of a group whose copies are edited too much. Buckets too large
+for that go on with new centers, each of which has been compared with its whole bucket and leaves it. So
+each candidate pair is compared, ruled out or already connected.
 """
 
 from __future__ import annotations
@@ -21,13 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import U64, WordHash, as_bytes, cut, drop, mix, prepare, window_hashes
+from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, mix, per_text, prepare, side, window_hashes
 
 WIDTH = 5
 PERMUTATIONS, ROWS = 60, 5
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Hashed slices of a bucket; each gives two centers in a round.
-SLICES = 4
+#: Members of a bucket that one task may search, and members of a shard.
+LIMIT, SHARD = 20_000, 400_000
 _R = np.random.Generator(np.random.PCG64(20240601))
 A = _R.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * U64(2) + U64(1)
 B = _R.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -35,18 +37,11 @@ FLIP = _R.integers(1, 1 << 63, 2 * PERMUTATIONS, dtype=np.uint64) * U64(2) + U64
 #: Signature bits (of 120) that may differ before a pair is dismissed without its sets. At the link
 #: threshold 9 differ on average with a deviation of 2.9; 28 are over six deviations more.
 MAY_DIFFER = 28
-HASH = WordHash()
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles."""
-    words = text.lower().split()  # bytes: only A-Z change
-    if not words:
-        return np.empty(0, U64)
-    h = HASH.of(words)
-    if len(words) < WIDTH:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], dtype=U64)
-    return np.unique(window_hashes(h, WIDTH))
+def shingles(texts: list[bytes]) -> list[np.ndarray]:
+    """The sorted hashes of each text's distinct shingles; fewer than WIDTH words are one shingle."""
+    return [np.unique(window_hashes(w, min(WIDTH, len(w)))) if len(w) else w for w in per_text([t.lower() for t in texts])]  # bytes: only A-Z change
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -83,8 +78,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = as_bytes(b.column(1))
-            for lo in range(0, len(texts), 512):
-                sets = [shingles(t) for t in texts[lo : lo + 512]]
+            for lo, hi in chunks(texts):
+                sets = shingles(texts[lo:hi])
                 sig = np.stack([signature(s) for s in sets])
                 keys, bits = band_keys(sig).view(np.int64), bits_of(sig)
                 has = [len(s) > 0 for s in sets]
@@ -102,11 +97,11 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = as_bytes(b.column(1))
-            for lo in range(0, len(texts), 256):
-                some = [shingles(t).tobytes() for t in texts[lo : lo + 256]]
+            for lo, hi in chunks(texts):
+                some = [x.tobytes() for x in shingles(texts[lo:hi])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(some)), pa.array(some, pa.binary())], ["id", "set"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(side(cut(ids, "ids")), "id", "left_semi")
     return own.mapInArrow(run, "id bigint, set binary")
 
 
@@ -159,13 +154,90 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def node_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """a < b: each member of a bucket with the bucket's centers of this turn; and the centers."""
-    slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(SLICES))
-    ends = [f(F.when(slot == k, F.col("id"))).alias(f"{n}{k}") for k in range(SLICES) for n, f in (("lo", F.min), ("hi", F.max))]
-    found = members.groupBy("bucket").agg(*ends)
-    centers = F.array_compact(F.array_distinct(F.array(*[F.col(f"{n}{k}") for k in range(SLICES) for n in ("lo", "hi")])))
-    return found.select("bucket", centers.alias("centers"))
+def extremes(members: DataFrame, turn: int) -> DataFrame:
+    """bucket, lo, hi: the members with the smallest and the largest hash (id at first) of each bucket."""
+    if not turn:
+        return members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    hashed = F.xxhash64("id", F.lit(turn))
+    return members.groupBy("bucket").agg(F.min_by("id", hashed).alias("lo"), F.max_by("id", hashed).alias("hi"))
+
+
+def with_extremes(members: DataFrame, ends: DataFrame) -> DataFrame:
+    """a < b: each member of a bucket with its extremes."""
+    met = members.select("bucket", "id").join(ends, "bucket").select("id", F.explode(F.array("lo", "hi")).alias("c")).where("id <> c")
+    return met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+
+
+def plausible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and signature bits allow a link."""
+    one = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s0").alias("p0"), F.col("s1").alias("p1"))
+    two = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s0").alias("q0"), F.col("s1").alias("q1"))
+    differ = F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("q1")))
+    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return pairs.join(one, "a").join(two, "b").where(sized & (differ <= MAY_DIFFER)).select("a", "b")
+
+
+def shareable(sets: DataFrame) -> DataFrame:
+    """id, s: how many of a document's shingles (id, set) another of these documents has as well."""
+    total = sets.agg(F.sum(F.octet_length("set"))).first()[0] or 0
+    shards = max(1, -(-total // (8 * 4 * SHARD)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = [np.frombuffer(x, U64) for x in b.column(1).to_pylist()]
+            ids, h = np.repeat(b.column(0).to_numpy(), [len(x) for x in some]), np.concatenate(some)
+            shard = (mix(h) % U64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            ids, h, shard = ids[order], h[order], shard[order]
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            parts = [(a, z) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z > a]
+            columns = [[int(shard[a]) for a, _ in parts], [h[a:z].tobytes() for a, z in parts], [np.diff(ids[a:z], prepend=0).tobytes() for a, z in parts]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "hashes", "ids"])
+
+    def count(group: pa.Table) -> pa.Table:
+        h = np.concatenate([np.frombuffer(x, U64) for x in group.column("hashes").to_pylist()])
+        ids = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in group.column("ids").to_pylist()])
+        order = np.argsort(h)
+        h, ids = h[order], ids[order]
+        twin = np.zeros(len(h), bool)
+        twin[1:] = h[1:] == h[:-1]
+        twin[:-1] |= twin[1:]
+        own, n = np.unique(ids[twin], return_counts=True)
+        return pa.table({"id": pa.array(own, pa.int64()), "s": pa.array(n, pa.int64())})
+
+    dealt = sets.mapInArrow(deal, "shard int, hashes binary, ids binary")
+    return dealt.groupBy("shard").applyInArrow(count, "id bigint, s bigint").groupBy("id").agg(F.sum("s").alias("s"))
+
+
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """a < b: plausible pairs of a bucket's members that lie in different components, from
+    (bucket, id, n, s, s0, s1, label) by shards of whole buckets."""
+    names = ("bucket", "id", "n", "s", "s0", "s1", "label")
+
+    def search(group: pa.Table) -> pa.Table:
+        c = {x: group.column(x).to_numpy() for x in names}
+        order = np.lexsort((c["n"], c["bucket"]))
+        bucket, ids, n, s, s0, s1, label = (c[x][order] for x in names)
+        found, at, step = [], np.arange(len(ids) - 1), 1
+        while len(at):
+            # Members are in order of size, so a pair too far apart ends its row.
+            at = at[at + step < len(ids)]
+            other = at + step
+            at = at[(bucket[at] == bucket[other]) & (100 * n[at] >= percent * n[other])]
+            other = at + step
+            most = np.minimum(s[at], s[other])
+            apart = (label[at] != label[other]) & (100 * most >= percent * (n[at] + n[other] - most))
+            x, y = at[apart], other[apart]
+            close = np.bitwise_count(s0[x] ^ s0[y]).astype(np.int64) + np.bitwise_count(s1[x] ^ s1[y]) <= MAY_DIFFER
+            found.append(np.stack([ids[x[close]], ids[y[close]]]))
+            step += 1
+        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+    shards = max(1, -(-members.count() // SHARD))
+    sharded = members.withColumn("shard", F.pmod(F.xxhash64("bucket"), F.lit(shards)).cast("int"))
+    return sharded.groupBy("shard").applyInArrow(search, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -182,39 +254,49 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = cut(with_set.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
     reps = with_set.join(classes, (with_set["fp"] == classes["fp"]) & (with_set["doc_id"] == classes["id"])).select("id", "n", "s0", "s1", "bands")
     banded = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    members = cut(banded.join(shared, "bucket", "left_semi").select("bucket", "id").distinct(), "members")
+    ends = cut(extremes(banded, 0).where("lo < hi"), "ends")
+    members = cut(banded.join(ends, "bucket", "left_semi").distinct(), "members")
     facts = cut(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "s0", "s1"), "facts")
     links = labels = None
-    turn = 0
-    while members.limit(1).count():
-        found = node_pairs(members, turn)
-        met = members.join(found, "bucket").select(F.col("id"), F.explode("centers").alias("c")).where("id <> c")
-        pairs = met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        if labels is not None:
-            la, lb = (labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-            pairs = pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        fa = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s0").alias("p0"), F.col("s1").alias("p1"))
-        fb = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s0").alias("q0"), F.col("s1").alias("q1"))
-        differ = F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("q1")))
-        sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        pairs = cut(pairs.join(fa, "a").join(fb, "b").where(sized & (differ <= MAY_DIFFER)).select("a", "b"), "pairs")
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal links, labels
+        pairs = cut(pairs, "pairs")
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         sets = cut(full_sets(docs, ids), "sets")
         new = cut(confirmed(pairs, sets, percent), "links")
         drop(sets)
         drop(pairs)
-        links = new if links is None else cut(links.union(new).distinct(), "links")
+        links = new if links is None else links.union(new)
         if new.limit(1).count():
             labels = components(links, labels)
-        # Centers are done with; buckets whose other members lie in one component too.
-        left = members.join(found, "bucket").where(~F.array_contains("centers", F.col("id"))).select("bucket", "id")
-        wide = left.withColumn("label", F.col("id")) if labels is None else left.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-        wide = cut(wide, "wide")
-        open_ = wide.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        before, members = members, cut(wide.join(open_, "bucket", "left_semi").select("bucket", "id"), "members")
-        drop(before)
+
+    def unsettled(members: DataFrame) -> DataFrame:
+        """Members, with labels and counts, of buckets that lie in several components."""
+        wide = members.withColumn("label", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        wide = cut(wide.select("bucket", "id", "label"), "wide")
+        open_ = wide.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x < y").select("bucket", "size")
+        out = cut(wide.join(open_, "bucket"), "open")
         drop(wide)
+        return out
+
+    link(plausible(with_extremes(members, ends), facts, percent))
+    # The extremes have been compared with all of their bucket.
+    left = members.join(ends, "bucket").where("id <> lo and id <> hi").select("bucket", "id")
+    open_ = unsettled(left)
+    drop(members)
+    small = open_.where(F.col("size") <= LIMIT).select("bucket", "id", "label")
+    sets = cut(full_sets(docs, small.select("id").distinct()), "open-sets")
+    shared = cut(shareable(sets), "shareable")
+    drop(sets)
+    could = small.join(shared, "id").join(facts, "id").where(100 * F.col("s") >= percent * F.col("n"))
+    link(across(cut(could, "could"), percent))
+    large, turn = cut(open_.where(F.col("size") > LIMIT), "large"), 1
+    while large.limit(1).count():
+        ends = cut(extremes(large, turn), "ends")
+        link(plausible(with_extremes(large, ends), facts, percent))
+        before, large = large, unsettled(large.join(ends, "bucket").where("id <> lo and id <> hi").select("bucket", "id"))
+        drop(before)
         turn += 1
     if labels is not None:
         classes = classes.join(labels, "id", "left").select("fp", F.coalesce("label", "id").alias("component"))
