@@ -6,42 +6,42 @@ that any line with Jaccard similarity ``threshold`` or more must meet with its o
 share a prefix word are candidates; length and positional filters thin them, their full sets decide.
 A line goes if an earlier line is similar enough.
 
-Equal sets are settled by grouping first. Candidates of a prefix word are first compared with that
-word's earliest line alone, which settles groups of near copies of any size in linear work; only lines
-left, on words that three or more lines share, go through the filtered join.
+Equal sets are settled by grouping first. Then prefix words are dealt out by shards, as arrays: a
+line is first compared with the earliest line of each of its prefix words alone, which settles groups
+of near copies of any size in linear work; lines still there are compared with all earlier lines that
+the filters leave. A very frequent prefix word is dealt out by line length as well, since similar lines
+have similar lengths.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import U64, WordHash, as_bytes, cut, drop, prepare
+from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, mix, per_text, prepare, side, word_hashes
 
 COUNTERS, BLOCK = 1 << 20, 1 << 12
 THRESHOLD, MIN_WORDS = 0.9, 5
 LAST = (1 << 63) - 1
-LINE_BITS = 20
-HASH = WordHash()
+#: Prefix words of a shard; and occurrences from which a word is dealt out by length too.
+SHARD, FREQUENT = 1_000_000, 100_000
+LOG = 20
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """Counters of hashed words over all texts: COUNTERS numbers, whatever the corpus."""
+    """Logarithms of the counters of hashed words over all texts: COUNTERS numbers for any corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
             texts = as_bytes(b.column(0))
-            for lo in range(0, len(texts), 512):
-                words = [w for t in texts[lo : lo + 512] for w in t.split()]
-                total += np.bincount((HASH.of(words) & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            for lo, hi in chunks(texts, 4 << 20, 10_000):
+                total += np.bincount((word_hashes(texts[lo:hi])[0] & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         rows = [[], [], []]
         for block in range(COUNTERS // BLOCK):
             own = total[block * BLOCK : (block + 1) * BLOCK]
@@ -62,77 +62,174 @@ def rarity(docs: DataFrame) -> np.ndarray:
     out = np.zeros(COUNTERS, np.int64)
     for r in parts.collect():  # COUNTERS / BLOCK rows at most
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["n"], np.int64)
-    return np.minimum(np.log2(out + 1.0) * 20, 1023).astype(U64)
-
-
-def line_sets(texts: list[bytes], rare: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """(text, line) of each line with a word, its distinct words' hashes rarest first, and cuts."""
-    where, sizes, words = [], [], []
-    for i, t in enumerate(texts):
-        for j, line in enumerate(t.split(b"\n")):
-            if ws := line.split():
-                where.append((i, j))
-                sizes.append(len(ws))
-                words += ws
-    h = HASH.of(words)
-    line = np.repeat(np.arange(len(where), dtype=U64), sizes)
-    key = line << U64(44) | rare[(h & U64(COUNTERS - 1)).astype(np.int64)] << U64(34) | h >> U64(30)
-    order = np.argsort(key)
-    h, line = h[order], line[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    h, line = h[first], line[first]
-    return where, h, np.searchsorted(line, np.arange(len(where) + 1, dtype=U64))
+    return np.minimum(np.log2(out + 1.0) * LOG, 1023).astype(np.uint16)
+
+
+def prefix_sizes(n: np.ndarray, threshold: float) -> np.ndarray:
+    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def prefix_size(n: int, threshold: float) -> int:
-    return n - math.ceil(threshold * n - 1e-9) + 1
+def line_sets(texts: list[bytes], rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each line with a word its text and its place there; the lines' distinct words' hashes,
+    rarest first, and each line's bounds in them."""
+    h, place, _ = word_hashes(texts)
+    joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    line = np.searchsorted(np.flatnonzero(joined == 10), place)
+    sizes = np.fromiter((t.count(b"\n") + 1 for t in texts), np.int64, len(texts))
+    first = np.cumsum(sizes) - sizes
+    key = line.astype(U64) << U64(44) | rare[(h & U64(COUNTERS - 1)).astype(np.int64)].astype(U64) << U64(34) | h >> U64(30)
+    order = np.argsort(key)
+    h, line = h[order], line[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    h, line = h[new], line[new]
+    starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.empty(0, np.int64)
+    lines = line[starts]
+    text = np.searchsorted(first, lines, side="right") - 1
+    return text, lines - first[text], h, np.append(starts, len(h))
 
 
 def line_table(own: DataFrame, rare: object, threshold: float, min_words: int) -> DataFrame:
-    """k, line, n, hi, lo (a digest of the set), prefix: a row for each line of ``min_words`` or more
-    distinct words; the prefix is null where the document has an equal set before."""
+    """k, line, n, hi, lo (a digest of the set), sig, prefix: a row for each line of ``min_words`` or more
+    distinct words; the prefix is null where the same text has an equal set before. sig and gis count the
+    words in 32 hashed classes, four bits each: two lines share no more words than the classes allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), as_bytes(b.column(1))
-            for lo in range(0, len(texts), 256):
-                where, h, cuts = line_sets(texts[lo : lo + 256], rare.value)
-                out, seen, buf = ([], [], [], [], [], []), set(), h.tobytes()
-                signed = h.view(np.int64)
-                for (i, j), a, z in zip(where, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    if (n := z - a) < min_words:
-                        continue
-                    fp = xxhash.xxh3_128_intdigest(buf[8 * a : 8 * z])
-                    new = (i, fp) not in seen
-                    seen.add((i, fp))
-                    row = (keys[lo + i], j, n, (fp >> 64) - (1 << 63), (fp & (1 << 64) - 1) - (1 << 63), signed[a : a + prefix_size(n, threshold)] if new else None)
-                    for column, v in zip(out, row, strict=True):
-                        column.append(v)
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["k", "line", "n", "hi", "lo", "prefix"])
-
-    return own.mapInArrow(run, "k bigint, line int, n int, hi bigint, lo bigint, prefix array<bigint>")
-
-
-def verified(own: DataFrame, pairs: DataFrame, place: tuple[Column, Column], rare: object, threshold: float) -> DataFrame:
-    """The pairs (x, y) of lines whose full sets have the similarity."""
-    ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-    wanted = ids.select(place[0].alias("k"), F.struct(place[1].alias("line"), "id").alias("w")).groupBy("k").agg(F.collect_list("w").alias("w"))
+            keys, texts = b.column(0).to_numpy(), as_bytes(b.column(1))
+            for lo, hi in chunks(texts):
+                text, line, h, bounds = line_sets(texts[lo:hi], rare.value)
+                n = np.diff(bounds)
+                pick = np.flatnonzero(n >= min_words)
+                if not len(pick):
+                    continue
+                one, two = (np.add.reduceat(mix(h ^ U64(x)), bounds[:-1])[pick].view(np.int64) for x in (0x243F6A8885A308D3, 0x13198A2E03707344))
+                classes = np.bincount(np.repeat(np.arange(len(n)), n) * 32 + (h >> U64(20) & U64(31)).astype(np.int64), minlength=32 * len(n))
+                classes = np.minimum(classes.reshape(-1, 32)[pick], 15).astype(np.uint8)
+                sig, gis = (classes[:, ::2] | classes[:, 1::2] << 4).copy().view(np.int64).T
+                text, line, n, start = text[pick], line[pick], n[pick], bounds[:-1][pick]
+                order = np.lexsort((line, two, one, text))
+                again = np.zeros(len(pick), bool)
+                again[order[1:]] = (text[order[1:]] == text[order[:-1]]) & (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+                size = np.where(again, 0, prefix_sizes(n, threshold))
+                offsets = np.concatenate([[0], np.cumsum(size)])
+                values = h[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])]
+                prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)), mask=pa.array(again))
+                columns = [pa.array(keys[lo:hi][text]), pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), pa.array(sig), pa.array(gis), prefix]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "line", "n", "hi", "lo", "sig", "gis", "prefix"])
+
+    return own.mapInArrow(run, "k bigint, line int, n int, hi bigint, lo bigint, sig bigint, gis bigint, prefix array<bigint>")
+
+
+PACKED = ["word", "k", "line", "n", "pos", "open", "sig", "gis"]
+TYPES = [U64, np.int64, np.int32, np.int32, np.int32, np.uint8, np.int64, np.int64]
+
+
+def dealt(lines: DataFrame, rare: object, shards: int, threshold: float) -> DataFrame:
+    """shard and packed arrays of prefix words, from (k, line, n, prefix, open, sig, gis)."""
+    often = int(np.log2(FREQUENT) * LOG)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, lists = as_bytes(b.column(0)), b.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                where, h, cuts = line_sets(texts[lo : lo + 256], rare.value)
-                want = {(i, w["line"]): w["id"] for i, ws in enumerate(lists[lo : lo + 256]) for w in ws}
-                got = [(want[at], h[a:z].tobytes()) for at, a, z in zip(where, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if at in want]
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], b.schema.field(1).type.value_type.field("id").type), pa.array([g[1] for g in got], pa.binary())], ["id", "set"])
+            lists = b.column(3)
+            sizes = np.diff(lists.offsets.to_numpy())
+            word = lists.flatten().to_numpy().view(U64)
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            n = b.column(2).to_numpy()[of]
+            frequent = rare.value[(word & U64(COUNTERS - 1)).astype(np.int64)] >= often
+            step = np.where(frequent, np.floor(np.log(np.maximum(n, 1)) / -np.log(threshold)).astype(np.int64) + 1, 0).astype(U64)
+            extra = np.flatnonzero(frequent)
+            rows = np.concatenate([np.arange(len(word)), extra])
+            salt = np.concatenate([step, step[extra] + U64(1)])
+            # From here a frequent word is another word for each range of lengths.
+            word, of, pos, n = mix(word[rows] + salt * U64(0xA0761D6478BD642F)), of[rows], pos[rows], n[rows]
+            shard = (word % U64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            values = [word, b.column(0).to_numpy()[of], b.column(1).to_numpy()[of], n, pos, b.column(4).to_numpy(zero_copy_only=False)[of], b.column(5).to_numpy()[of], b.column(6).to_numpy()[of]]
+            values = [v.astype(t)[order] for v, t in zip(values, TYPES, strict=True)]
+            shard = shard[order]
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            parts = [(a, z) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z > a]
+            columns = [pa.array([int(shard[a]) for a, _ in parts], pa.int32())]
+            columns += [pa.array([v[a:z].tobytes() for a, z in parts], pa.binary()) for v in values]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", *PACKED])
+
+    schema = "shard int, " + ", ".join(f"{c} binary" for c in PACKED)
+    return lines.select("k", "line", "n", "prefix", "open", "sig", "gis").mapInArrow(run, schema)
+
+
+def similar_enough(n: np.ndarray, pos: np.ndarray, sigs: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """The length, positional and class filters for pairs of places whose lines share a word."""
+    nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
+    need = np.ceil(threshold / (1 + threshold) * (nx + ny) - 1e-9)
+    bound = 1 + np.minimum(pos[x], pos[y]) + np.minimum(nx - pos[x] - 1, ny - pos[y] - 1)
+    ok = (np.minimum(nx, ny) >= threshold * np.maximum(nx, ny) - 1e-9) & (bound >= need)
+    at = np.flatnonzero(ok)
+    most, full = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+    for sig in sigs:
+        bx, by = (sig[v[at]].copy().view(np.uint8).reshape(-1, 8) for v in (x, y))
+        for cx, cy in ((bx & 15, by & 15), (bx >> 4, by >> 4)):
+            full |= ((cx == 15) & (cy == 15)).any(axis=1)  # counts end at 15
+            most += np.minimum(cx, cy).sum(axis=1, dtype=np.int64)
+    ok[at] = full | (most >= need[at])
+    return ok
+
+
+def paired(shards: DataFrame, threshold: float, heads: bool) -> DataFrame:
+    """x (xk, xl) and an earlier y (yk, yl): with ``heads`` each line and the earliest of a prefix word,
+    else each open line and all earlier lines."""
+
+    def search(group: pa.Table) -> pa.Table:
+        word, k, line, n, pos, is_open, *sigs = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in zip(PACKED, TYPES, strict=True))
+        order = np.lexsort((line, k, word) if heads else (n, word))
+        word, k, line, n, pos, is_open, *sigs = (v[order] for v in (word, k, line, n, pos, is_open, *sigs))
+        same = np.ones(len(word), bool)
+        same[1:] = word[1:] != word[:-1]
+        if heads:
+            head = np.flatnonzero(same)[np.cumsum(same) - 1]
+            x = np.flatnonzero(head != np.arange(len(word)))
+            x = x[similar_enough(n, pos, sigs, x, head[x], threshold)]
+            pairs = [(x, head[x])]
+        else:
+            pairs, at, step = [], np.arange(len(word) - 1), 1
+            while len(at):
+                at = at[at + step < len(word)]
+                at = at[(word[at] == word[at + step]) & (n[at] >= threshold * n[at + step] - 1e-9)]
+                a, z = at, at + step
+                later = (k[a] > k[z]) | ((k[a] == k[z]) & (line[a] > line[z]))
+                x, y = np.where(later, a, z), np.where(later, z, a)
+                ok = np.flatnonzero(is_open[x] == 1)
+                ok = ok[similar_enough(n, pos, sigs, x[ok], y[ok], threshold)]
+                pairs.append((x[ok], y[ok]))
+                step += 1
+        x, y = (np.concatenate([p[i] for p in pairs]) if pairs else np.empty(0, np.int64) for i in (0, 1))
+        ok = (k[x] != k[y]) | (line[x] != line[y])
+        x, y = x[ok], y[ok]
+        both = np.unique(np.stack([k[x], line[x].astype(np.int64), k[y], line[y].astype(np.int64)]), axis=1) if len(x) else np.empty((4, 0), np.int64)
+        return pa.table({"xk": pa.array(both[0]), "xl": pa.array(both[1].astype(np.int32)), "yk": pa.array(both[2]), "yl": pa.array(both[3].astype(np.int32))})
+
+    return shards.groupBy("shard").applyInArrow(search, "xk bigint, xl int, yk bigint, yl int").distinct()
+
+
+def verified(own: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """k, line of the x whose full set is similar enough to that of its y."""
+    ids = pairs.select(F.col("xk").alias("k"), F.col("xl").alias("line")).union(pairs.select("yk", "yl")).distinct()
+    wanted = cut(ids.groupBy("k").agg(F.collect_list("line").alias("w")), "wanted")
 
-    id_type = dict(ids.dtypes)["id"]
-    sets = cut(own.join(wanted, "k").select("text", "w").mapInArrow(run, f"id {id_type}, set binary"), "line-sets")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, texts, lists = b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist()
+            for lo, hi in chunks(texts):
+                rows = []
+                for k, t, want in zip(keys[lo:hi], texts[lo:hi], lists[lo:hi], strict=True):
+                    cut_ = t.split(b"\n")
+                    rows += [(k, j, cut_[j]) for j in want if j < len(cut_)]
+                sets = [np.unique(h).tobytes() for h in per_text([r[2] for r in rows])]
+                columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "line", "set"])
+
+    sets = cut(own.join(side(wanted), "k").select("k", "text", "w").mapInArrow(run, "k bigint, line int, set binary"), "line-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,10 +239,15 @@ def verified(own: DataFrame, pairs: DataFrame, place: tuple[Column, Column], rar
                 both.sort()
                 same = int(np.count_nonzero(both[1:] == both[:-1]))
                 ok.append(same >= threshold * (len(both) - same) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["x", "y"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["k", "line"]).filter(pa.array(ok, pa.bool_()))
 
-    px, py = sets.select(F.col("id").alias("x"), F.col("set").alias("p")), sets.select(F.col("id").alias("y"), F.col("set").alias("q"))
-    return pairs.select("x", "y").join(px, "x").join(py, "y").select("x", "y", "p", "q").mapInArrow(check, f"x {id_type}, y {id_type}")
+    px = sets.select(F.col("k").alias("xk"), F.col("line").alias("xl"), F.col("set").alias("p"))
+    py = sets.select(F.col("k").alias("yk"), F.col("line").alias("yl"), F.col("set").alias("q"))
+    both = pairs.join(px, ["xk", "xl"]).join(py, ["yk", "yl"]).select("xk", "xl", "p", "q")
+    out = cut(both.mapInArrow(check, "k bigint, line int").distinct(), "hit")
+    drop(sets)
+    drop(wanted)
+    return out
 
 
 def later_matches(own: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
@@ -153,42 +255,22 @@ def later_matches(own: DataFrame, threshold: float = THRESHOLD, min_words: int =
     spark: SparkSession = own.sparkSession
     rare = spark.sparkContext.broadcast(rarity(own))  # COUNTERS numbers
     table = cut(line_table(own, rare, threshold, min_words), "lines")
-    top = table.agg(F.max("k"), F.max("line")).first()
-    fits = top[0] is None or (0 <= (top[0]) < 1 << (62 - LINE_BITS) and top[1] < 1 << LINE_BITS and table.where("k < 0").limit(1).count() == 0)
-    if fits:
-        lid = F.shiftleft("k", LINE_BITS) + F.col("line")
-        place = F.shiftright("id", LINE_BITS), F.col("id").bitwiseAND((1 << LINE_BITS) - 1).cast("int")
-    else:  # ids too large for one long: the same order as decimals
-        wide = F.lit(1 << 31).cast("decimal(38,0)")
-        lid = (F.col("k").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("line")).cast("decimal(38,0)")
-        place = F.floor(F.col("id") / wide).cast("long"), F.pmod("id", wide).cast("int")
-    table = table.withColumn("id", lid)
-    distinct = table.where(F.col("prefix").isNotNull())
-    first = distinct.groupBy("hi", "lo").agg(F.min("k").alias("k"))
-    marked = distinct.join(first.withColumn("first", F.lit(True)), ["hi", "lo", "k"], "left")
-    marked = cut(marked.select("id", "k", "line", "n", "prefix", F.col("first").isNotNull().alias("first")), "marked")
-    gone = table.where(F.col("prefix").isNull()).select("k", "line").unionByName(marked.where("not first").select("k", "line"))
-    reps = marked.where("first")
-    words = reps.select("id", "n", F.posexplode("prefix").alias("pos", "word"))
-    heads = cut(words.groupBy("word").agg(F.min("id").alias("y"), F.count("*").alias("lines")).where("lines > 1"), "heads")
-    near = words.join(heads, "word").where("id <> y")
-    near = cut(near.select("id", "n", "pos", "word", "y", "lines"), "near")
-    pairs = near.select(F.col("id").alias("x"), "y", F.col("n").alias("nx")).distinct()
-    sizes = reps.select(F.col("id").alias("y"), F.col("n").alias("ny"))
-    close = F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9
-    pairs = cut(pairs.join(sizes, "y").where(close).select("x", "y"), "star")
-    hit = cut(verified(own, pairs, place, rare, threshold).select(F.col("x").alias("id")).distinct(), "hit")
-    # What is left: words of three or more lines, against earlier lines other than the first.
-    many = near.where("lines > 2")
-    left = many.join(hit, "id", "left_anti").select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), "word")
-    back = many.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), "word")
-    need = F.ceil(threshold / (1 + threshold) * (F.col("nx") + F.col("ny")) - 1e-9)
-    bound = 1 + F.least(F.col("nx") - F.col("px") - 1, F.col("ny") - F.col("py") - 1) + F.least("px", "py")
-    more = left.join(back, "word").where((F.col("y") < F.col("x")) & close & (bound >= need)).select("x", "y").distinct()
-    more = cut(more, "rest")
-    again = verified(own, more, place, rare, threshold).select(F.col("x").alias("id")).distinct()
-    hits = hit.union(again).select(place[0].alias("k"), place[1].alias("line"))
-    return gone.unionByName(hits).distinct()
+    row = F.struct("k", "line", "n", "sig", "gis", "prefix")
+    reps = cut(table.where(F.col("prefix").isNotNull()).groupBy("hi", "lo").agg(F.min(row).alias("r")).select("hi", "lo", "r.*"), "reps")
+    first = reps.select("hi", "lo", F.col("k").alias("first"))
+    equal = table.where(F.col("prefix").isNotNull()).select("k", "line", "hi", "lo").join(first, ["hi", "lo"]).where("k <> first")
+    gone = cut(table.where(F.col("prefix").isNull()).select("k", "line").unionByName(equal.select("k", "line")), "equal")
+    drop(table)
+    shards = max(1, -(-(reps.agg(F.sum(F.size("prefix"))).first()[0] or 0) // SHARD))
+    star = cut(paired(dealt(reps.withColumn("open", F.lit(1)), rare, shards, threshold), threshold, heads=True), "star")
+    hit = verified(own, star, threshold)
+    drop(star)
+    left = reps.join(side(hit.withColumn("_hit", F.lit(True))), ["k", "line"], "left").withColumn("open", F.col("_hit").isNull().cast("int"))
+    rest = cut(paired(dealt(left, rare, shards, threshold), threshold, heads=False), "rest")
+    drop(reps)
+    again = verified(own, rest, threshold)
+    drop(rest)
+    return gone.unionByName(hit).unionByName(again).distinct()
 
 
 def without_lines(texts: pd.Series, removed: pd.Series) -> pd.Series:
@@ -214,11 +296,14 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int =
     prepare(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     own = docs.select(key.alias("k"), "text").where(F.col("text").isNotNull())
-    gone = cut(later_matches(own, threshold, min_words), "gone")
-    lists = gone.groupBy("k").agg(F.collect_set("line").alias("_removed")).withColumnRenamed("k", "_k")
-    out = docs.withColumn("_key", key).join(lists, F.col("_key") == F.col("_k"), "left").drop("_key", "_k")
-    cut_text = F.pandas_udf(without_lines, "string")(F.when(F.col("_removed").isNotNull(), F.col("text")), F.col("_removed"))
-    text = F.coalesce(cut_text, F.col("text"))
-    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-    removed = F.coalesce(F.size("_removed"), F.lit(0))
-    return out.withColumns({"text": text, "_n_lines": n_lines, "_n_removed": removed.cast("int"), "_removed": F.coalesce(F.array_sort("_removed"), F.array().cast("array<int>"))})
+    gone = later_matches(own, threshold, min_words)
+    lists = cut(gone.groupBy(F.col("k").alias("_k")).agg(F.collect_set("line").alias("_removed")), "gone")
+    # The row travels as one struct, so that no column of docs can clash with those used here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"), key.alias("_key"))
+    out = rows.join(side(lists), F.col("_key") == F.col("_k"), "left")
+    old = F.col("_d.text")
+    new = F.coalesce(F.pandas_udf(without_lines, "string")(F.when(F.col("_removed").isNotNull(), old), F.col("_removed")), old)
+    n_lines = F.coalesce(F.length(old) - F.length(F.replace(old, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    same = [new.alias(c) if c == "text" else F.col(f"_d.`{c}`").alias(c) for c in docs.columns]
+    removed = F.coalesce(F.array_sort("_removed"), F.array().cast("array<int>"))
+    return out.select(*same, n_lines.alias("_n_lines"), F.size(removed).alias("_n_removed"), removed.alias("_removed"))
