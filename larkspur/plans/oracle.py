@@ -192,7 +192,7 @@ SELECT k, CASE WHEN pos > 0 AND r <> '' AND NOT regexp_full_match(l, '[0-9]{{1,3
     "q_duration_parse": f"{CATALOG} SELECT k, {SECONDS} AS seconds FROM catalog",
     **{f"q_tier_{t}": tier(t) for t in TIERS},
     "q_match_best": BEST,
-    "q_match_union": BEST,
+    "q_match_cascade": BEST,
     "q_match_misses": f"{MATCH} SELECT idx, wanted AS track_name, reason FROM matched WHERE path IS NULL",
     "q_match_summary": f"{MATCH} SELECT count(*) AS total, count(path) AS matched, count(*) - count(path) AS missing FROM matched",
     "q_near_miss_topk": f"""{LINKAGE}, t AS MATERIALIZED (SELECT nt, {toks('nt')} AS tt FROM (SELECT DISTINCT nt FROM lib)), e AS MATERIALIZED (SELECT et, {toks('et')} AS u FROM (SELECT DISTINCT et FROM ent)),

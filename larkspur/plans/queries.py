@@ -47,7 +47,7 @@ def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).select("doc_id", text.tokens(text.normalize(F.col("text"))).alias("t"))
+    d = cut(_docs(spark, sf_dir).select("doc_id", text.tokens(text.normalize(F.col("text"))).alias("t")))
     n = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
     return d.join(n, "doc_id").select("doc_id", F.size("t").alias("n_tokens"), F.round(jaccard(F.col("t"), F.col("u")), 9).alias("jaccard"))
 
@@ -55,7 +55,7 @@ def tokens_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", text.normalize(F.col("text")).alias("a"))
     d = _docs(spark, sf_dir).select("doc_id", text.normalize(F.col("text")).alias("b"))
-    return m.link_pairs(b, d, "a", "b").select("item_id", "doc_id")
+    return m.link_pairs(cut(b), cut(d), "a", "b").select("item_id", "doc_id")
 
 
 def shares_artist_(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,15 +97,15 @@ def _tier(name: str) -> Query:
 
 def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     entries, tracks = cut(playlist(spark, sf_dir)), cut(library(spark, sf_dir))
-    return m.match_cascade(entries, tracks), tracks
+    return m.match(entries, tracks), tracks
 
 
 def match_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir)[0].select("idx", "path", "score", "reason")
 
 
-def match_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.match(cut(playlist(spark, sf_dir)), cut(library(spark, sf_dir))).select("idx", "path", "score", "reason")
+def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.match_cascade(cut(playlist(spark, sf_dir)), cut(library(spark, sf_dir))).select("idx", "path", "score", "reason")
 
 
 def match_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +217,7 @@ QUERIES: dict[str, Query] = {
     "q_duration_parse": duration_parse,
     **{f"q_tier_{t}": _tier(t) for t in m.TIERS},
     "q_match_best": match_best,
-    "q_match_union": match_union,
+    "q_match_cascade": match_cascade,
     "q_match_misses": match_misses,
     "q_match_summary": match_summary,
     "q_near_miss_topk": near_miss_topk,
