@@ -132,26 +132,21 @@ def artist_links(left: DataFrame, right: DataFrame) -> DataFrame:
     return same.unionByName(inside).unionByName(around).distinct()
 
 
-def _near(entries: DataFrame, tracks: DataFrame, text: str) -> DataFrame:
-    """Pairs of entries and (text, norm_artists) keys that share a token of title and text and pass the
-    artist gate. ``text`` is a column of tracks other than those of KEY."""
-    t = _smallest(tracks.where(F.col(text) != ""), text, "norm_artists")
-    with_word = t.withColumn("word", F.explode(tokens(F.col(text))))
+def near_pairs(entries: DataFrame, tracks: DataFrame, source: str) -> DataFrame:
+    """Pairs of entries and track keys (text, norm_artists) that share a token of title and text and
+    pass the artist gate; text is the track's column ``source``."""
+    t = _smallest(tracks.withColumn("text", F.col(source)).where("text <> ''"), "text", "norm_artists")
+    with_word = t.withColumn("word", F.explode(tokens(F.col("text"))))
     e = entries.withColumn("word", F.explode(tokens(F.col("norm_title"))))
     links = artist_links(entries.select(F.explode("artist_norms").alias("artist")), tracks.select(F.explode("norm_artists").alias("artist")))
     own = e.where(_named()).select(*KEY, "word", F.explode(without_blanks(F.array_distinct("artist_norms"))).alias("artist"))
     own = own.join(links, "artist").select(*KEY, "word", F.col("linked").alias("artist"))
     named = own.join(with_word.withColumn("artist", F.explode("norm_artists")), ["artist", "word"])
     other = e.where(~_named()).join(with_word, "word")
-    columns = [*KEY, text, "norm_artists", "path"]
+    columns = [*KEY, "text", "norm_artists", "path"]
     return named.select(*columns).unionByName(other.select(*columns)).distinct()
 
 
-def near_pairs(entries: DataFrame, tracks: DataFrame, text: str) -> DataFrame:
-    """As ``_near`` with the track's text as column ``text``."""
-    return _near(entries, tracks.withColumn("text", F.col(text)), "text")
-
-
 def tier_title_part(entries: DataFrame, tracks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     p = near_pairs(entries, tracks, "norm_title") if pairs is None else pairs
     return p.where(word_aligned(F.col("text"), F.col("norm_title"))).select(*KEY, "path", *_candidate(fixed.TITLE_PART))
@@ -222,7 +217,8 @@ def candidates(entries: DataFrame, tracks: DataFrame) -> DataFrame:
 def match(entries: DataFrame, tracks: DataFrame, won: DataFrame | None = None) -> DataFrame:
     """Every entry with the path, score and reason of its winner; misses have a null path and their reason."""
     won = best(candidates(entries, tracks)) if won is None else won
-    out = entries.join(won, [entries[k].eqNullSafe(won[k]) for k in KEY], "left").drop(*[won[k] for k in KEY])
+    won = won.select(*[F.col(k).alias(f"_won_{k}") for k in KEY], "path", "score", "place", "overlap")
+    out = entries.join(won, [F.col(k) == F.col(f"_won_{k}") for k in KEY], "left").drop(*[f"_won_{k}" for k in KEY])
     why = F.when(F.col("path").isNotNull(), reason()).when(F.col("norm_title") == "", F.lit("empty track name")).otherwise(F.lit("no match"))
     return out.withColumn("reason", why).drop("place", "overlap")
 

@@ -17,7 +17,7 @@ from larkspur.sinks.apply import apply_plan, remove_empty_dirs
 from larkspur.sinks.playlist import miss_report, playlist_lines, write_playlist
 from larkspur.sources.playlist import read_playlist
 from larkspur.sources.tags import read_tags, scan_tags
-from larkspur.sources.tree import audio_files, folders, list_tree, read_contents
+from larkspur.sources.tree import audio_files, fingerprint, folders, list_tree, read_contents
 
 
 def match_playlist(spark: SparkSession, config: PlaylistConfig) -> dict:
@@ -50,7 +50,7 @@ def contents_of(spark: SparkSession, root: str, tree: DataFrame) -> DataFrame:
     """rel, length, digest of all files; a digest is of the first bytes only."""
     base = root.rstrip("/") + "/"
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    hashed = read.select(F.substring_index("path", base, -1).alias("rel"), F.sha1(F.substring("content", 1, fixed.SAMPLE_BYTES)).alias("digest"))
+    hashed = read.select(F.substring_index("path", base, -1).alias("rel"), fingerprint(F.col("content"), fixed.SAMPLE_BYTES).alias("digest"))
     return tree.where("not is_dir").select("rel", "length").join(hashed, "rel", "left")
 
 

@@ -14,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions import fixed
-
 FIELDS = ["title", "artist", "album_artist", "album", "genre"]
 NUMBERS = ["year", "track_no", "disc_no", "disc_total"]
 SCHEMA = "path string, " + ", ".join(f"{f} string" for f in FIELDS) + ", " + ", ".join(f"{n} int" for n in NUMBERS)
@@ -195,5 +193,3 @@ def scan_tags(spark: SparkSession, root: str, recursive: bool = True) -> DataFra
     rel = F.substring_index("path", root.rstrip("/") + "/", -1)
     return read_tags(files.select(rel.alias("path"), "content"))
 
-
-__all__ = ["fixed", "parse", "read_tags", "scan_tags"]
