@@ -11,7 +11,6 @@ those of ``encode``, are read as arrays; others go symbol by symbol.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -483,7 +482,3 @@ def media_columns(docs: DataFrame, tensors: bool = True) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types)], names)  # noqa: B905
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-
-
-def digest(payload: bytes) -> str:
-    return hashlib.sha256(payload).hexdigest()

@@ -34,3 +34,18 @@ def test_stages(spark):
     assert {r["doc_id"] for r in five.collect()} == set(times)
     got = p.run(spark, SF).groupBy("doc_id").agg(F.countDistinct("piece"), F.count("*")).collect()
     assert {r["doc_id"] for r in got} == set(times)
+
+
+def test_stages_keep_odd_rows(spark):
+    rows = [(None, None, None, None, None), (None, "words of a document without an id", "en", None, 3), (1, "", None, "a", 0), (2, "same text in two rows of one id", "en", "a", 4), (2, "same text in two rows of one id", "en", "a", 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    stages = dict(p.STAGES)
+    for name in ("line dedup", "near-dedup"):
+        out = stages[name](spark, docs, SF)
+        assert out.columns == docs.columns and out.count() == len(rows), name
+    mixed = stages["mixing"](spark, docs, SF)
+    assert mixed.columns == docs.columns and mixed.where("doc_id is null and text is null").count() >= 1
+    assert stages["packing"](spark, docs, SF).count() == len(rows)
+    empty = docs.limit(0)
+    for name, stage in p.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name
