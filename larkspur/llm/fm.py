@@ -17,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WordHash, as_bytes, prepare
+from larkspur.llm.common import as_bytes, prepare, word_hashes
 
 SPACE, RANK, STATS = 1 << 16, 8, 14
 #: Labelled rows the model is fitted on: those with the smallest digest of doc_id. The only sample here.
 FIT_ROWS = 16_384
 BLANK = b" \t\n\x0b\x0c\r"
-HASH = WordHash()
 
 
 def stats(text: bytes, words: list[bytes], n_chars: int | None) -> list[float]:
@@ -32,25 +31,20 @@ def stats(text: bytes, words: list[bytes], n_chars: int | None) -> list[float]:
     n, distinct, chars = len(words), len(set(words)), max(1, len(s))
     share = lambda cut: (len(text) - len(text.translate(None, cut))) / max(1, len(text))
     lines = [x for x in text.split(b"\n") if x.strip(BLANK)]
-    letters = max(1, sum(map(str.isalpha, s[:0]))) if not s else max(1, chars - s.count(" "))
-    upper = sum(map(str.isupper, words_text(words)))
+    solid = max(1, chars - s.count(" "))
+    upper = sum(w.isupper() for w in s.split(" "))
     pairs = len(set(zip(words, words[1:], strict=False)))
     return [
-        np.log1p(n), distinct / max(1, n), pairs / max(1, n - 1), letters / max(1, n) / 10, upper / max(1, n),
+        np.log1p(n), distinct / max(1, n), pairs / max(1, n - 1), solid / max(1, n) / 10, upper / max(1, n),
         share(b"#*$%&|<>") * 10, share(b"0123456789") * 10, share(b".,;:!?") * 10, share(b"!") * 10, share(b"|") * 10,
         (len(lines) - len(set(lines))) / max(1, len(lines)), np.log1p(n / max(1, len(lines))), np.log1p(chars), np.log1p(max(0, chars if n_chars is None else n_chars)),
     ]
 
 
-def words_text(words: list[bytes]) -> list[str]:
-    return b" ".join(words).decode().split(" ") if words else []
-
-
 def row_of(text: bytes, n_chars: int | None) -> tuple[np.ndarray, list[float]]:
     """The hashed words of a text, without repeats, and its statistics."""
     words = text.split()
-    low = text.lower().split()
-    return np.unique((HASH.of(list(set(low))) >> np.uint64(20)).astype(np.int64) % SPACE).astype(np.int32), stats(text, words, n_chars)
+    return np.unique((word_hashes([text.lower()])[0] >> np.uint64(20)).astype(np.int64) % SPACE).astype(np.int32), stats(text, words, n_chars)
 
 
 class Machine:
