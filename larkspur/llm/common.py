@@ -6,6 +6,9 @@ stages take texts as UTF-8 bytes and never decode what they only hash.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,9 +21,9 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text in one Arrow batch sent to Python; long texts then come in small batches.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Entries of a worker's per-word memo. Words met early are the frequent ones; a full memo stays.
-MEMO = 400_000
+MEMO = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that cut() has written and drop() has not deleted.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes a table to the shared folder and reads it again: lineage ends, work is not repeated."""
     spark = df.sparkSession
@@ -52,6 +59,7 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._larkspur_path = path
+    _WRITTEN[path] = spark
     return out
 
 
@@ -67,12 +75,24 @@ def side(table: DataFrame) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Deletes a table made by cut() that nothing reads any longer."""
-    spark, path = df.sparkSession, df._larkspur_path
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    _delete(df.sparkSession, df._larkspur_path)
+    _WRITTEN.pop(df._larkspur_path, None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@atexit.register
+def _sweep() -> None:
+    """Results read their tables lazily, so what is left goes when the program ends."""
+    for path, spark in list(_WRITTEN.items()):
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -82,6 +102,37 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system: workers live on and share an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that releases memory at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return run
+
+
+def tidy_group(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function for applyInArrow that releases memory after each group."""
+
+    def run(group: pa.Table) -> pa.Table:
+        try:
+            return fn(group)
+        finally:
+            release()
+
+    return run
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
@@ -90,7 +141,7 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
             if b.num_rows and (out := fn(b)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

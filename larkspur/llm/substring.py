@@ -23,14 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import U64, WordHash, as_bytes, cut, drop, mix, prepare, window_hashes
+from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, mix, per_text, prepare, tidy, tidy_group, window_hashes
 
 WINDOW, PART = 20, 8
 COUNTER_BITS = 48
 #: Windows that a task gathers before it settles and sends them; and windows of a shard.
-FLUSH, SHARD = 1_500_000, 1_500_000
+FLUSH, SHARD = 600_000, 600_000
 LAST = (1 << 63) - 1
-HASH = WordHash()
 
 
 def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,10 +57,10 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, texts = b.column(0).to_numpy(), as_bytes(b.column(1))
-            for lo in range(0, len(texts), 1024):
+            for lo, hi in chunks(texts):
                 rows = [[], [], []]
-                for k, t in zip(keys[lo : lo + 1024], texts[lo : lo + 1024], strict=True):
-                    cell, at = anchors(HASH.of(t.split()))
+                for k, words in zip(keys[lo:hi], per_text(texts[lo:hi]), strict=True):
+                    cell, at = anchors(words)
                     if len(cell):
                         first = np.ones(len(at), bool)
                         first[1:] = at[1:] != at[:-1]
@@ -73,7 +72,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     k, c, n = map(np.concatenate, rows)
                     yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.astype(np.int64)), pa.array(n.astype(np.int32))], ["k", "cell", "n"])
 
-    return docs.mapInArrow(run, "k bigint, cell bigint, n int")
+    return docs.mapInArrow(tidy(run), "k bigint, cell bigint, n int")
 
 
 class Batch:
@@ -145,8 +144,9 @@ def candidates(texts: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = Batch(shards)
         for b in batches:
-            for k, t, cells in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2), strict=True):
-                words = HASH.of(t.split())
+            keys, texts = b.column(0).to_pylist(), as_bytes(b.column(1))
+            hashed = (w for lo, hi in chunks(texts) for w in per_text(texts[lo:hi]))
+            for k, words, cells in zip(keys, hashed, b.column(2), strict=True):
                 cell, _ = anchors(words)
                 known = np.sort(cells.values.to_numpy().astype(U64))
                 at = np.minimum(np.searchsorted(known, cell), len(known) - 1)
@@ -158,7 +158,7 @@ def candidates(texts: DataFrame, shards: int) -> DataFrame:
         if got.n:
             yield made(list(got.settled()))
 
-    return texts.select("k", "text", "cells").mapInArrow(run, SCHEMA)
+    return texts.select("k", "text", "cells").mapInArrow(tidy(run), SCHEMA)
 
 
 def across(rows: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def across(rows: DataFrame) -> DataFrame:
         found = list(repeats(docs[again], starts[again]))
         return pa.table({"k": pa.array([r[1] for r in found], pa.int64()), "starts": pa.array([r[5] for r in found], pa.binary())})
 
-    return rows.select("shard", "hashes", "docs", "starts").groupBy("shard").applyInArrow(merge, "k bigint, starts binary")
+    return rows.select("shard", "hashes", "docs", "starts").groupBy("shard").applyInArrow(tidy_group(merge), "k bigint, starts binary")
 
 
 def remaining(texts: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def remaining(texts: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["k", "full", "n_removed", "kept"])
 
-    return texts.mapInArrow(run, "k bigint, full binary, n_removed bigint, kept binary")
+    return texts.mapInArrow(tidy(run), "k bigint, full binary, n_removed bigint, kept binary")
 
 
 def plain(docs: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def plain(docs: DataFrame) -> DataFrame:
             full = [hashlib.sha256(b" ".join(w)).digest() for w in words]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array(full, pa.binary())], ["k", "doc_id", "n_words", "full"])
 
-    return docs.select("k", "doc_id", "text").mapInArrow(run, "k bigint, doc_id bigint, n_words bigint, full binary")
+    return docs.select("k", "doc_id", "text").mapInArrow(tidy(run), "k bigint, doc_id bigint, n_words bigint, full binary")
 
 
 def removed_windows(own: DataFrame) -> DataFrame:
