@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import mix, prepare
+from larkspur.llm.common import mix, prepare, tidy
 
 #: Texts handled at once, and code points at once; longer texts go alone and in slices.
 GROUP, SLICE = 256, 1 << 20
@@ -62,14 +62,14 @@ def counted(letters: Letters, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
     """A texts x trigrams matrix of counts, and the trigrams' vectors."""
     if len(letters.vectors) > 20_000:
         letters.reset()
-    # A letter at either side of the gap between texts never meets: rows are told apart by position.
-    low = [t.lower() for t in texts]
-    sizes = np.array([len(t) + 1 for t in low])
-    codes = np.frombuffer(("\n".join(low) + "\n").encode("utf-32-le"), dtype=np.uint32)
+    # Each text stands between two gaps, so a single letter has a trigram too.
+    low = [f"\n{t.lower()}\n" for t in texts]
+    sizes = np.array([len(t) for t in low])
+    codes = np.frombuffer("".join(low).encode("utf-32-le"), dtype=np.uint32)
     s = letters.symbols(codes)
     row = np.repeat(np.arange(len(texts)), sizes)
     keep = np.ones(len(s), bool)
-    keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
+    keep[1:] = (s[1:] != 0) | (s[:-1] != 0) | (row[1:] != row[:-1])
     s, row = s[keep].astype(np.int64), row[keep]
     size = len(letters.vectors)
     gram = (s[:-2] * size + s[1:-1]) * size + s[2:]
@@ -136,7 +136,7 @@ def prototypes(docs: DataFrame, train: Column, dim: int, seed: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(range(dim), pa.int32()), pa.array(v)], ["lang", "place", "v"])
 
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    parts = rows.mapInArrow(run, "lang string, place int, v bigint")
+    parts = rows.mapInArrow(tidy(run), "lang string, place int, v bigint")
     sums = parts.groupBy("lang", "place").agg(F.sum("v").alias("v"))
     return sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda x: x["v"]).alias("vector"))
 
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, train: Column, dim: int = 1024, seed: int = 1, max
 
     Learns from rows where ``train`` holds and lang and text are not null; predicts from text alone.
     A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing was
-    learned or the text has no trigram. Ties go to the language first in order. Repeated rows give
+    learned. Ties go to the language first in order. Repeated rows give
     repeated results. ``max_languages`` bounds what is broadcast (dim numbers for each).
     """
     spark = docs.sparkSession
@@ -174,4 +174,4 @@ def identify(docs: DataFrame, train: Column, dim: int = 1024, seed: int = 1, max
             out = [b.column(0), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id bigint, lang_pred string, score double")

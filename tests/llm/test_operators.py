@@ -171,7 +171,7 @@ def test_bundle_is_the_sum_of_bound_trigrams():
     letters = langid.Letters(128, 1)
     got = langid.bundles(letters, ["Ab c"])[0]
     v = {x: letters.vectors[letters.index[ord(x)]].astype(int) if x != " " else letters.vectors[0].astype(int) for x in "abc "}
-    want = sum(np.roll(v[x], 2) * np.roll(v[y], 1) * v[z] for x, y, z in ("ab ", "b c", " c "))  # the text ends in a gap
+    want = sum(np.roll(v[x], 2) * np.roll(v[y], 1) * v[z] for x, y, z in (" ab", "ab ", "b c", " c "))
     assert np.array_equal(got, want)
 
 
@@ -182,9 +182,11 @@ def test_language_held_out(spark):
     assert good >= 0.97 * all_ and out.where("score < 0 or score > 1").count() == 0
 
 
-def test_language_odd(odd, none):
+def test_language_odd(spark, odd, none):
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.identify(odd, F.lit(True)).collect()}
-    assert (1, "und") in got and (2, "und") in got and (3, "und") in got and (5, "de") in got
+    assert (1, "und") in got and (2, "und") in got and (3, "und") in got and (5, "de") in got and (6, "en") in got
+    one = spark.createDataFrame([(1, "a"), (2, "7 ?"), (3, "\u00e9")], "doc_id bigint, text string").withColumn("lang", F.lit("xx"))
+    assert [r["lang_pred"] for r in langid.identify(one, F.lit(True)).orderBy("doc_id").collect()] == ["xx", "und", "xx"]
     assert langid.identify(none, F.lit(True)).count() == 0
     assert {r["lang_pred"] for r in langid.identify(odd, F.lit(False)).collect()} == {"und"}
 
