@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import fm, lines, minhash, mixing, packing
-from larkspur.llm.common import crc_mod, cut, table
+from larkspur.llm.common import crc_mod, cut, side, table
 from larkspur.llm.queries import CAPACITY, tokenizer
 
 
@@ -28,15 +28,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near duplicates."""
     groups = minhash.near_duplicates(docs)
-    going = groups.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(going, "doc_id", "left_anti").select(*docs.columns)
+    going = cut(groups.where(~F.col("kept")).select("doc_id").distinct(), "going")
+    return docs.join(side(going), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; rows repeat for sources below their target."""
-    copies = mixing.mix(docs, keep=["doc_id"]).select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    taken = docs.join(copies.where("_copies > 0"), "doc_id")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    taken = docs.join(side(cut(copies, "copies")), docs["doc_id"].eqNullSafe(F.col("_id")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import as_bytes, prepare, word_hashes
+from larkspur.llm.common import as_bytes, prepare, tidy, word_hashes
 
 SPACE, RANK, STATS = 1 << 16, 8, 14
 #: Labelled rows the model is fitted on: those with the smallest digest of doc_id. The only sample here.
@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = FIT
             columns = [pa.array([h.tobytes() for h, _ in made], pa.binary()), pa.array([s for _, s in made], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int64()), *columns], ["doc_id", "quality", "words", "stats"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id bigint, quality bigint, words binary, stats array<double>").collect(), key=lambda r: (r["doc_id"], r["words"]))
+    got = sorted(rows.mapInArrow(tidy(run), "doc_id bigint, quality bigint, words binary, stats array<double>").collect(), key=lambda r: (r["doc_id"], r["words"]))
     y = np.array([r["quality"] for r in got], dtype=float)
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
@@ -151,7 +151,7 @@ def classify(docs: DataFrame, machine: Machine | float, threshold: float = 0.3)
 
     n_chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_chars.alias("n_chars"), "text")
-    return own.mapInArrow(run, "doc_id bigint, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return own.mapInArrow(tidy(run), "doc_id bigint, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def select_good(docs: DataFrame, machine: Machine | float, threshold: float = 0.3) -> DataFrame:

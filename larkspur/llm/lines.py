@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, mix, per_text, prepare, side, word_hashes
+from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, mix, per_text, prepare, side, tidy, tidy_group, word_hashes
 
 COUNTERS, BLOCK = 1 << 20, 1 << 12
 THRESHOLD, MIN_WORDS = 0.9, 5
 LAST = (1 << 63) - 1
 #: Prefix words of a shard; and occurrences from which a word is dealt out by length too.
-SHARD, FREQUENT = 1_000_000, 100_000
+SHARD, FREQUENT = 300_000, 100_000
 LOG = 20
 
 
@@ -40,7 +40,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
             texts = as_bytes(b.column(0))
-            for lo, hi in chunks(texts, 4 << 20, 10_000):
+            for lo, hi in chunks(texts, 2 << 20, 10_000):
                 total += np.bincount((word_hashes(texts[lo:hi])[0] & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         rows = [[], [], []]
         for block in range(COUNTERS // BLOCK):
@@ -58,7 +58,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
             total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
         return pa.table({"block": group.column("block").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(run, "block int, at binary, n binary").groupBy("block").applyInArrow(merge, "block int, n binary")
+    parts = docs.select("text").mapInArrow(tidy(run), "block int, at binary, n binary").groupBy("block").applyInArrow(tidy_group(merge), "block int, n binary")
     out = np.zeros(COUNTERS, np.int64)
     for r in parts.collect():  # COUNTERS / BLOCK rows at most
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["n"], np.int64)
@@ -118,7 +118,7 @@ def line_table(own: DataFrame, rare: object, threshold: float, min_words: int) -
                 columns = [pa.array(keys[lo:hi][text]), pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), pa.array(sig), pa.array(gis), prefix]
                 yield pa.RecordBatch.from_arrays(columns, ["k", "line", "n", "hi", "lo", "sig", "gis", "prefix"])
 
-    return own.mapInArrow(run, "k bigint, line int, n int, hi bigint, lo bigint, sig bigint, gis bigint, prefix array<bigint>")
+    return own.mapInArrow(tidy(run), "k bigint, line int, n int, hi bigint, lo bigint, sig bigint, gis bigint, prefix array<bigint>")
 
 
 PACKED = ["word", "k", "line", "n", "pos", "open", "sig", "gis"]
@@ -156,7 +156,7 @@ def dealt(lines: DataFrame, rare: object, shards: int, threshold: float) -> Data
             yield pa.RecordBatch.from_arrays(columns, ["shard", *PACKED])
 
     schema = "shard int, " + ", ".join(f"{c} binary" for c in PACKED)
-    return lines.select("k", "line", "n", "prefix", "open", "sig", "gis").mapInArrow(run, schema)
+    return lines.select("k", "line", "n", "prefix", "open", "sig", "gis").mapInArrow(tidy(run), schema)
 
 
 def similar_enough(n: np.ndarray, pos: np.ndarray, sigs: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -209,7 +209,7 @@ def paired(shards: DataFrame, threshold: float, heads: bool) -> DataFrame:
         both = np.unique(np.stack([k[x], line[x].astype(np.int64), k[y], line[y].astype(np.int64)]), axis=1) if len(x) else np.empty((4, 0), np.int64)
         return pa.table({"xk": pa.array(both[0]), "xl": pa.array(both[1].astype(np.int32)), "yk": pa.array(both[2]), "yl": pa.array(both[3].astype(np.int32))})
 
-    return shards.groupBy("shard").applyInArrow(search, "xk bigint, xl int, yk bigint, yl int").distinct()
+    return shards.groupBy("shard").applyInArrow(tidy_group(search), "xk bigint, xl int, yk bigint, yl int").distinct()
 
 
 def verified(own: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -229,7 +229,7 @@ def verified(own: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
                 columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(sets, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["k", "line", "set"])
 
-    sets = cut(own.join(side(wanted), "k").select("k", "text", "w").mapInArrow(run, "k bigint, line int, set binary"), "line-sets")
+    sets = cut(own.join(side(wanted), "k").select("k", "text", "w").mapInArrow(tidy(run), "k bigint, line int, set binary"), "line-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,7 +244,7 @@ def verified(own: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     px = sets.select(F.col("k").alias("xk"), F.col("line").alias("xl"), F.col("set").alias("p"))
     py = sets.select(F.col("k").alias("yk"), F.col("line").alias("yl"), F.col("set").alias("q"))
     both = pairs.join(px, ["xk", "xl"]).join(py, ["yk", "yl"]).select("xk", "xl", "p", "q")
-    out = cut(both.mapInArrow(check, "k bigint, line int").distinct(), "hit")
+    out = cut(both.mapInArrow(tidy(check), "k bigint, line int").distinct(), "hit")
     drop(sets)
     drop(wanted)
     return out

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import as_bytes, prepare
+from larkspur.llm.common import as_bytes, prepare, tidy
 
 #: Payload bytes of one image; a longer payload is stored as several images in a row.
 FRAME = 1 << 20
@@ -481,4 +481,4 @@ def media_columns(docs: DataFrame, tensors: bool = True) -> DataFrame:
         names = ["doc_id", "n_bytes", "media", "payload", "feature", "tensors"][: 5 + tensors]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types)], names)  # noqa: B905
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), schema)

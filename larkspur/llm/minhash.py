@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, mix, per_text, prepare, side, window_hashes
+from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, mix, per_text, prepare, side, tidy, tidy_group, window_hashes
 
 WIDTH = 5
 PERMUTATIONS, ROWS = 60, 5
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Members of a bucket that one task may search, and members of a shard.
-LIMIT, SHARD = 20_000, 400_000
+LIMIT, SHARD = 20_000, 200_000
 _R = np.random.Generator(np.random.PCG64(20240601))
 A = _R.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * U64(2) + U64(1)
 B = _R.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 columns = [b.column(0).slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), fp, bands, pa.array(bits[:, 0]), pa.array(bits[:, 1])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "fp", "bands", "s0", "s1"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, fp binary, bands array<bigint>, s0 bigint, s1 bigint")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id bigint, n bigint, fp binary, bands array<bigint>, s0 bigint, s1 bigint")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(some)), pa.array(some, pa.binary())], ["id", "set"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(side(cut(ids, "ids")), "id", "left_semi")
-    return own.mapInArrow(run, "id bigint, set binary")
+    return own.mapInArrow(tidy(run), "id bigint, set binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -121,7 +121,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -205,8 +205,8 @@ def shareable(sets: DataFrame) -> DataFrame:
         own, n = np.unique(ids[twin], return_counts=True)
         return pa.table({"id": pa.array(own, pa.int64()), "s": pa.array(n, pa.int64())})
 
-    dealt = sets.mapInArrow(deal, "shard int, hashes binary, ids binary")
-    return dealt.groupBy("shard").applyInArrow(count, "id bigint, s bigint").groupBy("id").agg(F.sum("s").alias("s"))
+    dealt = sets.mapInArrow(tidy(deal), "shard int, hashes binary, ids binary")
+    return dealt.groupBy("shard").applyInArrow(tidy_group(count), "id bigint, s bigint").groupBy("id").agg(F.sum("s").alias("s"))
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
@@ -237,7 +237,7 @@ def across(members: DataFrame, percent: int) -> DataFrame:
 
     shards = max(1, -(-members.count() // SHARD))
     sharded = members.withColumn("shard", F.pmod(F.xxhash64("bucket"), F.lit(shards)).cast("int"))
-    return sharded.groupBy("shard").applyInArrow(search, "a bigint, b bigint").distinct()
+    return sharded.groupBy("shard").applyInArrow(tidy_group(search), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import MEMO, as_bytes, chunks, cut, per_text, prepare, window_hashes
+from larkspur.llm.common import MEMO, as_bytes, chunks, cut, per_text, prepare, tidy, window_hashes
 
 ORDER = 4
 START, END, DIGIT, PUNCT, OTHER = 62, 63, 26, 27, 28
@@ -88,7 +88,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             if words:
                 yield emit(lang, words)
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(tidy(run), "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def orders(counts: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def assess(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, band: flo
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
 
     schema = "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_ppl double"
-    scored = cut(own.mapInArrow(run, schema), "scored")
+    scored = cut(own.mapInArrow(tidy(run), schema), "scored")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     q = scored.where(~failed).groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"))
