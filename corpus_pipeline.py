@@ -13,6 +13,9 @@ from larkspur.llm import fm, lines, minhash, mixing, packing
 from larkspur.llm.common import crc_mod, cut, side, table
 from larkspur.llm.queries import CAPACITY, tokenizer
 
+#: Per cent of Jaccard similarity from which the near-dedup stage links documents.
+SIMILAR = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects (score below 0.3)."""
@@ -27,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near duplicates."""
-    groups = minhash.near_duplicates(docs)
+    groups = minhash.near_duplicates(docs, percent=SIMILAR)
     going = cut(groups.where(~F.col("kept")).select("doc_id").distinct(), "going")
     return docs.join(side(going), "doc_id", "left_anti").select(*docs.columns)
 

@@ -1,8 +1,8 @@
 """Near-duplicate detection with min-max hashing.
 
 A document's set holds its distinct shingles of five words. Each permutation of a signature keeps its
-smallest and its largest value, so 120 values cost 60 hash evaluations; bands of five values are
-candidate keys. Links are confirmed on the full sets.
+smallest and its largest value, so 120 values cost 60 hash evaluations; bands of five values (of fewer
+for lower thresholds) are candidate keys. Links are confirmed on the full sets.
 
 Documents with equal sets are one node. The members of a band's bucket are first compared with its two
 extremes alone, which joins a group of near copies of any size in linear work. Buckets that still hold
@@ -15,6 +15,7 @@ each candidate pair is compared, ruled out or already connected.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +27,33 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, mix, per_text, prepare, side, tidy, tidy_group, window_hashes
 
 WIDTH = 5
-PERMUTATIONS, ROWS = 60, 5
-BANDS = 2 * PERMUTATIONS // ROWS
+PERMUTATIONS = 60
+#: Probabilities that a pair at the link threshold shares no band, and that its bits dismiss it.
+MISS, DISMISS = 1e-6, 2e-8
 #: Members of a bucket that one task may search, and members of a shard.
 LIMIT, SHARD = 20_000, 200_000
 _R = np.random.Generator(np.random.PCG64(20240601))
 A = _R.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * U64(2) + U64(1)
 B = _R.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 FLIP = _R.integers(1, 1 << 63, 2 * PERMUTATIONS, dtype=np.uint64) * U64(2) + U64(1)
-#: Signature bits (of 120) that may differ before a pair is dismissed without its sets. At the link
-#: threshold 9 differ on average with a deviation of 2.9; 28 are over six deviations more.
-MAY_DIFFER = 28
+
+
+def band_rows(percent: int) -> int:
+    """The most signature values in a band with which a pair at the threshold is missed by MISS at most:
+    five at 85 per cent (24 bands), four at 80 (30 bands)."""
+    fits = [r for r in (5, 4, 3, 2) if (1 - (percent / 100) ** r) ** (2 * PERMUTATIONS // r) <= MISS]
+    return fits[0] if fits else 1
+
+
+def may_differ(percent: int) -> int:
+    """Signature bits (of 120) that may differ before a pair is dismissed without its sets. At 85 per cent
+    9 differ on average with a deviation of 2.9, and 28 may."""
+    p, n = (1 - percent / 100) / 2, 2 * PERMUTATIONS
+    tail, d = 0.0, n
+    while d and tail + math.comb(n, d) * p**d * (1 - p) ** (n - d) <= DISMISS:
+        tail += math.comb(n, d) * p**d * (1 - p) ** (n - d)
+        d -= 1
+    return d
 
 
 def shingles(texts: list[bytes]) -> list[np.ndarray]:
@@ -54,11 +71,12 @@ def signature(s: np.ndarray) -> np.ndarray:
     return np.concatenate([low, high])
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     """One key for each band of each signature in a matrix; the band's number is part of the key."""
-    v = mix(sig).reshape(len(sig), BANDS, ROWS)
-    key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=U64)), (len(sig), BANDS)).copy()
-    for k in range(ROWS):
+    bands = 2 * PERMUTATIONS // rows
+    v = mix(sig).reshape(len(sig), bands, rows)
+    key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=U64)), (len(sig), bands)).copy()
+    for k in range(rows):
         key = mix(key * U64(0x9E3779B97F4A7C15) + v[:, :, k])
     return key
 
@@ -71,8 +89,8 @@ def bits_of(sig: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1).view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fp (a digest of the set, null if empty), bands, s0, s1 of every row."""
+def signatures(docs: DataFrame, rows: int) -> DataFrame:
+    """doc_id, n, fp (a digest of the set, null if empty), bands of ``rows`` values, s0, s1 of every row."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +99,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             for lo, hi in chunks(texts):
                 sets = shingles(texts[lo:hi])
                 sig = np.stack([signature(s) for s in sets])
-                keys, bits = band_keys(sig).view(np.int64), bits_of(sig)
+                keys, bits = band_keys(sig, rows).view(np.int64), bits_of(sig)
                 has = [len(s) > 0 for s in sets]
                 bands = pa.array([k if ok else None for k, ok in zip(keys, has, strict=True)], pa.list_(pa.int64()))
                 fp = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if ok else None for s, ok in zip(sets, has, strict=True)], pa.binary())
@@ -174,7 +192,7 @@ def plausible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     two = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s0").alias("q0"), F.col("s1").alias("q1"))
     differ = F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("q1")))
     sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return pairs.join(one, "a").join(two, "b").where(sized & (differ <= MAY_DIFFER)).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(sized & (differ <= may_differ(percent))).select("a", "b")
 
 
 def shareable(sets: DataFrame) -> DataFrame:
@@ -213,6 +231,7 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     """a < b: plausible pairs of a bucket's members that lie in different components, from
     (bucket, id, n, s, s0, s1, label) by shards of whole buckets."""
     names = ("bucket", "id", "n", "s", "s0", "s1", "label")
+    most_bits = may_differ(percent)
 
     def search(group: pa.Table) -> pa.Table:
         c = {x: group.column(x).to_numpy() for x in names}
@@ -228,7 +247,7 @@ def across(members: DataFrame, percent: int) -> DataFrame:
             most = np.minimum(s[at], s[other])
             apart = (label[at] != label[other]) & (100 * most >= percent * (n[at] + n[other] - most))
             x, y = at[apart], other[apart]
-            close = np.bitwise_count(s0[x] ^ s0[y]).astype(np.int64) + np.bitwise_count(s1[x] ^ s1[y]) <= MAY_DIFFER
+            close = np.bitwise_count(s0[x] ^ s0[y]).astype(np.int64) + np.bitwise_count(s1[x] ^ s1[y]) <= most_bits
             found.append(np.stack([ids[x[close]], ids[y[close]]]))
             step += 1
         a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
@@ -249,7 +268,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     linked as a document of that id. A row with a null doc_id is linked with nothing: its component is
     null and it is kept. Other columns are ignored; an empty table gives an empty result.
     """
-    sigs = cut(signatures(docs), "signatures")
+    sigs = cut(signatures(docs, band_rows(percent)), "signatures")
     with_set = sigs.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
     classes = cut(with_set.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
     reps = with_set.join(classes, (with_set["fp"] == classes["fp"]) & (with_set["doc_id"] == classes["id"])).select("id", "n", "s0", "s1", "bands")
