@@ -6,7 +6,9 @@ that any line with Jaccard similarity ``threshold`` or more must meet with its o
 share a prefix word are candidates; length and positional filters thin them, their full sets decide.
 A line goes if an earlier line is similar enough.
 
-Equal sets are settled by grouping first. Then prefix words are dealt out by shards, as arrays: a
+Equal sets are settled by grouping first, for lines of every length. A line so short that one word
+more or less takes it below the threshold (fewer than nine words at 0.9) can only match an equal set, so
+it has no prefix. The prefix words of the others are dealt out by shards, as arrays: a
 line is first compared with the earliest line of each of its prefix words alone, which settles groups
 of near copies of any size in linear work; lines still there are compared with all earlier lines that
 the filters leave. A very frequent prefix word is dealt out by line length as well, since similar lines
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, mix, per_text, prepare, side, tidy, tidy_group, word_hashes
 
 COUNTERS, BLOCK = 1 << 20, 1 << 12
-THRESHOLD, MIN_WORDS = 0.9, 5
+THRESHOLD, MIN_WORDS = 0.9, 1
 LAST = (1 << 63) - 1
 #: Prefix words of a shard; and occurrences from which a word is dealt out by length too.
 SHARD, FREQUENT = 300_000, 100_000
@@ -66,7 +68,9 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def prefix_sizes(n: np.ndarray, threshold: float) -> np.ndarray:
-    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+    """Words in the prefix of a line of n; 0 where no other set than an equal one is similar enough."""
+    size = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+    return np.where(n >= threshold * (n + 1) - 1e-9, size, 0)
 
 
 def line_sets(texts: list[bytes], rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +95,8 @@ def line_sets(texts: list[bytes], rare: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def line_table(own: DataFrame, rare: object, threshold: float, min_words: int) -> DataFrame:
     """k, line, n, hi, lo (a digest of the set), sig, prefix: a row for each line of ``min_words`` or more
-    distinct words; the prefix is null where the same text has an equal set before. sig and gis count the
+    distinct words; the prefix is null where the same text has an equal set before, and empty where only
+    equal sets can match. sig and gis count the
     words in 32 hashed classes, four bits each: two lines share no more words than the classes allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,11 +266,12 @@ def later_matches(own: DataFrame, threshold: float = THRESHOLD, min_words: int =
     equal = table.where(F.col("prefix").isNotNull()).select("k", "line", "hi", "lo").join(first, ["hi", "lo"]).where("k <> first")
     gone = cut(table.where(F.col("prefix").isNull()).select("k", "line").unionByName(equal.select("k", "line")), "equal")
     drop(table)
-    shards = max(1, -(-(reps.agg(F.sum(F.size("prefix"))).first()[0] or 0) // SHARD))
-    star = cut(paired(dealt(reps.withColumn("open", F.lit(1)), rare, shards, threshold), threshold, heads=True), "star")
+    joined = reps.where(F.size("prefix") > 0)
+    shards = max(1, -(-(joined.agg(F.sum(F.size("prefix"))).first()[0] or 0) // SHARD))
+    star = cut(paired(dealt(joined.withColumn("open", F.lit(1)), rare, shards, threshold), threshold, heads=True), "star")
     hit = verified(own, star, threshold)
     drop(star)
-    left = reps.join(side(hit.withColumn("_hit", F.lit(True))), ["k", "line"], "left").withColumn("open", F.col("_hit").isNull().cast("int"))
+    left = joined.join(side(hit.withColumn("_hit", F.lit(True))), ["k", "line"], "left").withColumn("open", F.col("_hit").isNull().cast("int"))
     rest = cut(paired(dealt(left, rare, shards, threshold), threshold, heads=False), "rest")
     drop(reps)
     again = verified(own, rest, threshold)
@@ -288,7 +294,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int =
 
     A line (cut at \\n) goes if an earlier line, in a document of smaller id or before it in its own,
     has a set of words with Jaccard similarity of ``threshold`` or more. Lines are judged on the input.
-    Lines of fewer than ``min_words`` distinct words stay and match nothing. A null text stays null; a
+    Lines without words, or of fewer than ``min_words`` distinct ones, stay and match nothing. A null text stays null; a
     text that loses all lines becomes empty. Null ids count as the largest and as one document; rows
     that share an id are versions of one document whose lines do not remove each other across rows. An
     empty table gives an empty result.
