@@ -63,14 +63,40 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
-#: Rows of a side that may be broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 500_000
+#: Rows, and bytes of its (compressed) files, of a side that may be broadcast; a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 4 << 20
 
 
 def side(table: DataFrame) -> DataFrame:
-    """A written table as one side of a join: broadcast if a count shows that it is small, else the
-    built side of a shuffled hash join, which leaves the other side (mostly texts) unsorted."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("shuffle_hash")
+    """A table written by cut() as one side of a join: broadcast if its files and a count show that it
+    is small, else the built side of a shuffled hash join, which leaves the other side (mostly texts) unsorted."""
+    spark = table.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._larkspur_path)
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    small = size <= BROADCAST_BYTES and table.count() <= BROADCAST_ROWS
+    return F.broadcast(table) if small else table.hint("shuffle_hash")
+
+
+#: The place of a null doc_id in the order of documents.
+LAST = (1 << 63) - 1
+
+
+def shared_ids(docs: DataFrame) -> bool:
+    """Whether rows share a doc_id or have none. Reads that column alone."""
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("k")).agg(F.count("*").alias("n"))
+    return ids.where("k is null or n > 1").limit(1).count() > 0
+
+
+def keyed(docs: DataFrame) -> tuple[Column, Column, bool]:
+    """Columns k and v that tell documents apart and give their order, and whether ids are shared.
+
+    k is doc_id, null last. v is 0 where every row has an id of its own; else it is a 64-bit digest of
+    the text, so rows of one id (or of none) are documents of their own unless their texts are equal:
+    those count as one document and get one result.
+    """
+    shared = shared_ids(docs)
+    k = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    return k, (F.xxhash64(F.col("text")) if shared else F.lit(0).cast("long")), shared
 
 
 def drop(df: DataFrame) -> None:
@@ -250,25 +276,27 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def rank_within(df: DataFrame, key: str, order: list[Column], name: str, rows_per_bucket: int = 20_000, rows: int | None = None) -> DataFrame:
-    """A dense rank 0.. within each ``key`` that never gathers a key's rows in one task.
+def rank_within(df: DataFrame, key: str, sizes: dict[int, int], order: list[Column], tie: str, name: str, rows_per_bucket: int = 1_000) -> DataFrame:
+    """A rank 0.. within each ``key`` that never gathers a key's rows in one task.
 
-    Rows of a key fall into hash buckets; bucket sizes are aggregated, prefix-summed over the few
-    buckets of a key, joined back, and only a bucket's rows are numbered together. The rank is
-    deterministic for rows that differ in ``order``.
+    ``sizes`` has the rows of each key (few keys). A key's rows fall into hash buckets, as many as its
+    size asks for; bucket sizes are aggregated, prefix-summed and joined back, and only a bucket's rows
+    are numbered together. Rows equal in ``order`` are told apart by ``tie``, a number of the row, so
+    that they spread over buckets too.
     """
-    rows = df.count() if rows is None else rows
-    buckets = max(1, -(-rows // rows_per_bucket))
-    b = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     from pyspark.sql import Window as W
 
-    sizes = b.groupBy(key, "_b").agg(F.count("*").alias("_n"))
+    spark = df.sparkSession
+    many = [(int(k), max(1, -(-n // rows_per_bucket))) for k, n in sizes.items()]
+    buckets = spark.createDataFrame(many, "_key long, _m long")  # a row for each key
+    b = df.join(F.broadcast(buckets), F.col(key) == F.col("_key")).withColumn("_b", F.pmod(F.xxhash64(*order, F.col(tie)), F.col("_m"))).drop("_key", "_m")
+    counts = b.groupBy(key, "_b").agg(F.count("*").alias("_n"))
     start = (F.sum("_n").over(W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))).alias("_s")
-    starts = sizes.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.coalesce(start, F.lit(0)).alias("_s"))
-    inside = F.row_number().over(W.partitionBy(key, "_b").orderBy(*order)) - 1
+    starts = counts.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.coalesce(start, F.lit(0)).alias("_s"))
+    inside = F.row_number().over(W.partitionBy(key, "_b").orderBy(*order, tie)) - 1
     return (
         b.withColumn("_r", inside)
-        .join(starts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb")))
+        .join(starts, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_kb")))
         .withColumn(name, (F.col("_s") + F.col("_r")).cast("long"))
-        .drop("_b", "_r", "_s", "_k", "_kb")
+        .drop("_b", "_r", "_s", "_k", "_kb", tie)
     )

@@ -15,13 +15,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import as_bytes, prepare, tidy, word_hashes
+from larkspur.llm.common import as_bytes, cut, prepare, tidy, word_hashes
 
 SPACE, RANK, STATS = 1 << 16, 8, 14
 #: Labelled rows the model is fitted on: those with the smallest digest of doc_id. The only sample here.
-FIT_ROWS = 16_384
+#: And the bytes of hashed words that they may have together, in the same order.
+FIT_ROWS, FIT_BYTES = 16_384, 64 << 20
 BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -103,15 +105,18 @@ class Machine:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> Machine | float:
-    """Fits a machine on at most ``fit_rows`` labelled rows where ``learn`` holds; without both labels
-    among them, the share of label 1 (0.5 without a label) takes its place."""
+    """Fits a machine on at most ``fit_rows`` labelled documents where ``learn`` holds, as far as their
+    features fit in FIT_BYTES; without both labels among them, the share of label 1 (0.5 without a label)
+    takes its place. Of rows that share a doc_id that of the smallest text digest is taken, and of labels
+    that share one the largest."""
     prepare(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & learn).select("doc_id", "quality")
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(fit_rows)
     n_chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_chars.alias("n_chars"), "text")
-    rows = own.join(F.broadcast(known), "doc_id").select("doc_id", "quality", "n_chars", "text")  # fit_rows rows at most
+    rows = own.join(F.broadcast(known), "doc_id")  # fit_rows rows at most
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("v"), "n_chars", "text")).alias("r")).select("doc_id", "quality", "r.n_chars", "r.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,7 +124,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = FIT
             columns = [pa.array([h.tobytes() for h, _ in made], pa.binary()), pa.array([s for _, s in made], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int64()), *columns], ["doc_id", "quality", "words", "stats"])
 
-    got = sorted(rows.mapInArrow(tidy(run), "doc_id bigint, quality bigint, words binary, stats array<double>").collect(), key=lambda r: (r["doc_id"], r["words"]))
+    made = rows.mapInArrow(tidy(run), "doc_id bigint, quality bigint, words binary, stats array<double>")
+    held = F.sum(F.octet_length("words")).over(W.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    got = cut(made, "features").withColumn("held", held).where(F.col("held") <= FIT_BYTES).drop("held").collect()  # fit_rows rows, FIT_BYTES
+    got.sort(key=lambda r: r["doc_id"])
     y = np.array([r["quality"] for r in got], dtype=float)
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 0.5

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import mix, prepare, tidy
 
-#: Texts handled at once, and code points at once; longer texts go alone and in slices.
+#: Texts handled at once, and code points at once; a longer text goes alone, slice by slice.
 GROUP, SLICE = 256, 1 << 20
 
 
@@ -58,19 +58,25 @@ class Letters:
         return np.roll(table, 2, axis=1)[a] * np.roll(table, 1, axis=1)[b] * table[c]
 
 
-def counted(letters: Letters, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A texts x trigrams matrix of counts, and the trigrams' vectors."""
+def padded(text: str) -> str:
+    """Each text stands between two gaps, so a single letter has a trigram too."""
+    return f"\n{text.lower()}\n"
+
+
+def solid(letters: Letters, low: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, code points and text of each place of padded texts, with one place for a run of gaps."""
     if len(letters.vectors) > 20_000:
         letters.reset()
-    # Each text stands between two gaps, so a single letter has a trigram too.
-    low = [f"\n{t.lower()}\n" for t in texts]
-    sizes = np.array([len(t) for t in low])
     codes = np.frombuffer("".join(low).encode("utf-32-le"), dtype=np.uint32)
     s = letters.symbols(codes)
-    row = np.repeat(np.arange(len(texts)), sizes)
+    row = np.repeat(np.arange(len(low)), np.fromiter(map(len, low), np.int64, len(low)))
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0) | (row[1:] != row[:-1])
-    s, row = s[keep].astype(np.int64), row[keep]
+    return s[keep].astype(np.int64), codes[keep], row[keep]
+
+
+def counted(letters: Letters, s: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """A texts x trigrams matrix of counts, and the trigrams' vectors."""
     size = len(letters.vectors)
     gram = (s[:-2] * size + s[1:-1]) * size + s[2:]
     whole = (row[:-2] == row[2:]) if len(s) > 2 else np.zeros(0, bool)
@@ -82,14 +88,35 @@ def counted(letters: Letters, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
         at = rank[gram]
     else:
         present, at = np.unique(gram, return_inverse=True)
-    counts = np.bincount(row * max(1, len(present)) + at, minlength=len(texts) * len(present))
-    return counts.reshape(len(texts), len(present)), letters.grams(present, size)
+    counts = np.bincount(row * max(1, len(present)) + at, minlength=rows * len(present))
+    return counts.reshape(rows, len(present)), letters.grams(present, size)
 
 
-def slices(text: str) -> Iterator[str]:
-    """Parts of a long text that overlap by two letters' worth, so that few trigrams are lost."""
-    for at in range(0, max(1, len(text)), SLICE):
-        yield text[at : at + SLICE + 2]
+def slices(letters: Letters, low: str) -> Iterator[np.ndarray]:
+    """The symbols of a long padded text, slice by slice: each begins with the last two places of the one
+    before, so that every trigram is in one slice."""
+    carried = ""
+    for at in range(0, len(low), SLICE):
+        s, codes, _ = solid(letters, [carried + low[at : at + SLICE]])
+        yield s
+        carried = codes[-2:].tobytes().decode("utf-32-le")
+
+
+def bundled(letters: Letters, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Ranges of texts with the vectors of each, as exact integers."""
+    for lo, hi in groups(texts):
+        low = [padded(t) for t in texts[lo:hi]]
+        if hi - lo == 1 and len(low[0]) > SLICE:
+            total = np.zeros((1, letters.dim))
+            for s in slices(letters, low[0]):
+                c, v = counted(letters, s, np.zeros(len(s), np.int64), 1)
+                total += c @ v.astype(np.float64)
+            yield lo, hi, total
+        else:
+            s, _, row = solid(letters, low)
+            c, v = counted(letters, s, row, hi - lo)
+            # A text's sum is below 2^24 in a group, so single precision is exact.
+            yield lo, hi, (c.astype(np.float32) @ v.astype(np.float32)).astype(np.float64)
 
 
 def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -107,14 +134,8 @@ def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
 def bundles(letters: Letters, texts: list[str]) -> np.ndarray:
     """The vector of every text, as float64 integers."""
     out = np.zeros((len(texts), letters.dim))
-    for lo, hi in groups(texts):
-        if hi - lo == 1 and len(texts[lo]) > SLICE:
-            for part in slices(texts[lo]):
-                c, v = counted(letters, [part])
-                out[lo] += c[0] @ v.astype(np.float64)
-        else:
-            c, v = counted(letters, texts[lo:hi])
-            out[lo:hi] = c.astype(np.float32) @ v.astype(np.float32)
+    for lo, hi, v in bundled(letters, texts):
+        out[lo:hi] = v
     return out
 
 
@@ -127,11 +148,8 @@ def prototypes(docs: DataFrame, train: Column, dim: int, seed: int) -> DataFrame
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lang in set(langs):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
-                for lo, hi in groups(own):
-                    for parts in [list(slices(own[lo]))] if hi - lo == 1 else [own[lo:hi]]:
-                        c, v = counted(letters, parts)
-                        add = c.sum(axis=0).astype(np.float64) @ v.astype(np.float64)
-                        total[lang] = total.get(lang, 0) + add.astype(np.int64)
+                for _, _, v in bundled(letters, own):
+                    total[lang] = total.get(lang, 0) + v.sum(axis=0).astype(np.int64)
         for lang, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(range(dim), pa.int32()), pa.array(v)], ["lang", "place", "v"])
 

@@ -12,7 +12,8 @@ it has no prefix. The prefix words of the others are dealt out by shards, as arr
 line is first compared with the earliest line of each of its prefix words alone, which settles groups
 of near copies of any size in linear work; lines still there are compared with all earlier lines that
 the filters leave. A very frequent prefix word is dealt out by line length as well, since similar lines
-have similar lengths.
+have similar lengths, and lines of up to PAIRED words by a second word of their prefix: similar lines
+share two words of prefixes that are one word longer.
 """
 
 from __future__ import annotations
@@ -22,16 +23,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, mix, per_text, prepare, side, tidy, tidy_group, word_hashes
+from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, keyed, mix, per_text, prepare, side, tidy, tidy_group, word_hashes
 
 COUNTERS, BLOCK = 1 << 20, 1 << 12
 THRESHOLD, MIN_WORDS = 0.9, 1
-LAST = (1 << 63) - 1
 #: Prefix words of a shard; and occurrences from which a word is dealt out by length too.
 SHARD, FREQUENT = 300_000, 100_000
+#: Distinct words of lines that are dealt out by pairs of prefix words; longer ones are by one.
+PAIRED = 64
+#: Counter arrays of tasks that one task adds up.
+STAGED = 200
 LOG = 20
 
 
@@ -52,18 +57,22 @@ def rarity(docs: DataFrame) -> np.ndarray:
                 for column, v in zip(rows, (block, at.astype(np.uint16).tobytes(), own[at].tobytes()), strict=True):
                     column.append(v)
         if rows[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "at", "n"])
+            columns = [pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.binary(), pa.binary()), strict=True)]
+            some = pa.array([TaskContext.get().partitionId() // STAGED] * len(rows[0]), pa.int32())
+            yield pa.RecordBatch.from_arrays([some, *columns], ["some", "block", "at", "n"])
 
     def merge(group: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)
         for at, n in zip(group.column("at").to_pylist(), group.column("n").to_pylist(), strict=True):
             total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
-        return pa.table({"block": group.column("block").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
+        at = np.flatnonzero(total).astype(np.uint16)
+        return pa.table({"block": group.column("block").slice(0, 1), "at": pa.array([at.tobytes()], pa.binary()), "n": pa.array([total[at].tobytes()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(tidy(run), "block int, at binary, n binary").groupBy("block").applyInArrow(tidy_group(merge), "block int, n binary")
+    schema = "block int, at binary, n binary"
+    parts = docs.select("text").mapInArrow(tidy(run), f"some int, {schema}").groupBy("some", "block").applyInArrow(tidy_group(merge), schema)
     out = np.zeros(COUNTERS, np.int64)
-    for r in parts.collect():  # COUNTERS / BLOCK rows at most
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["n"], np.int64)
+    for r in parts.groupBy("block").applyInArrow(tidy_group(merge), schema).collect():  # COUNTERS / BLOCK rows at most
+        out[r["block"] * BLOCK + np.frombuffer(r["at"], np.uint16).astype(np.int64)] = np.frombuffer(r["n"], np.int64)
     return np.minimum(np.log2(out + 1.0) * LOG, 1023).astype(np.uint16)
 
 
@@ -73,6 +82,11 @@ def prefix_sizes(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.where(n >= threshold * (n + 1) - 1e-9, size, 0)
 
 
+def longer(size: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Prefixes of one word more where there is one, for pairs of words."""
+    return np.where(size > 0, np.minimum(size + 1, n), 0)
+
+
 def line_sets(texts: list[bytes], rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each line with a word its text and its place there; the lines' distinct words' hashes,
     rarest first, and each line's bounds in them."""
@@ -81,8 +95,9 @@ def line_sets(texts: list[bytes], rare: np.ndarray) -> tuple[np.ndarray, np.ndar
     line = np.searchsorted(np.flatnonzero(joined == 10), place)
     sizes = np.fromiter((t.count(b"\n") + 1 for t in texts), np.int64, len(texts))
     first = np.cumsum(sizes) - sizes
-    key = line.astype(U64) << U64(44) | rare[(h & U64(COUNTERS - 1)).astype(np.int64)].astype(U64) << U64(34) | h >> U64(30)
-    order = np.argsort(key)
+    key = rare[(h & U64(COUNTERS - 1)).astype(np.int64)].astype(U64) << U64(34) | h >> U64(30)
+    # One sort where a line's number fits beside its words' order, else two.
+    order = np.argsort(line.astype(U64) << U64(44) | key) if sizes.sum() < 1 << 20 else np.lexsort((key, line))
     h, line = h[order], line[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -94,14 +109,14 @@ def line_sets(texts: list[bytes], rare: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def line_table(own: DataFrame, rare: object, threshold: float, min_words: int) -> DataFrame:
-    """k, line, n, hi, lo (a digest of the set), sig, prefix: a row for each line of ``min_words`` or more
-    distinct words; the prefix is null where the same text has an equal set before, and empty where only
+    """k, v, line, n, hi, lo (a digest of the set), sig, prefix: a row for each line of ``min_words`` or more
+    distinct words; the prefix, one word longer than single words need, is null where the same text has an equal set before, and empty where only
     equal sets can match. sig and gis count the
     words in 32 hashed classes, four bits each: two lines share no more words than the classes allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, texts = b.column(0).to_numpy(), as_bytes(b.column(1))
+            keys, versions, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), as_bytes(b.column(2))
             for lo, hi in chunks(texts):
                 text, line, h, bounds = line_sets(texts[lo:hi], rare.value)
                 n = np.diff(bounds)
@@ -116,52 +131,68 @@ def line_table(own: DataFrame, rare: object, threshold: float, min_words: int) -
                 order = np.lexsort((line, two, one, text))
                 again = np.zeros(len(pick), bool)
                 again[order[1:]] = (text[order[1:]] == text[order[:-1]]) & (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
-                size = np.where(again, 0, prefix_sizes(n, threshold))
+                size = np.where(again, 0, longer(prefix_sizes(n, threshold), n))
                 offsets = np.concatenate([[0], np.cumsum(size)])
                 values = h[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])]
                 prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)), mask=pa.array(again))
-                columns = [pa.array(keys[lo:hi][text]), pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), pa.array(sig), pa.array(gis), prefix]
-                yield pa.RecordBatch.from_arrays(columns, ["k", "line", "n", "hi", "lo", "sig", "gis", "prefix"])
+                columns = [pa.array(keys[lo:hi][text]), pa.array(versions[lo:hi][text]), pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), pa.array(sig), pa.array(gis), prefix]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "v", "line", "n", "hi", "lo", "sig", "gis", "prefix"])
 
-    return own.mapInArrow(tidy(run), "k bigint, line int, n int, hi bigint, lo bigint, sig bigint, gis bigint, prefix array<bigint>")
+    return own.select("k", "v", "text").mapInArrow(tidy(run), "k bigint, v bigint, line int, n int, hi bigint, lo bigint, sig bigint, gis bigint, prefix array<bigint>")
 
 
-PACKED = ["word", "k", "line", "n", "pos", "open", "sig", "gis"]
-TYPES = [U64, np.int64, np.int32, np.int32, np.int32, np.uint8, np.int64, np.int64]
+PACKED = ["word", "k", "v", "line", "n", "pos", "open", "sig", "gis"]
+TYPES = [U64, np.int64, np.int64, np.int32, np.int32, np.int32, np.uint8, np.int64, np.int64]
 
 
 def dealt(lines: DataFrame, rare: object, shards: int, threshold: float) -> DataFrame:
-    """shard and packed arrays of prefix words, from (k, line, n, prefix, open, sig, gis)."""
+    """shard and packed arrays of prefix words, from (k, v, line, n, prefix, open, sig, gis)."""
     often = int(np.log2(FREQUENT) * LOG)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(3)
+            lists = b.column(4)
             sizes = np.diff(lists.offsets.to_numpy())
             word = lists.flatten().to_numpy().view(U64)
             of = np.repeat(np.arange(len(sizes)), sizes)
             pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            n = b.column(2).to_numpy()[of]
+            n = b.column(3).to_numpy()
+            single = pos < prefix_sizes(n.astype(np.int64), threshold)[of]
             frequent = rare.value[(word & U64(COUNTERS - 1)).astype(np.int64)] >= often
-            step = np.where(frequent, np.floor(np.log(np.maximum(n, 1)) / -np.log(threshold)).astype(np.int64) + 1, 0).astype(U64)
-            extra = np.flatnonzero(frequent)
+            # Places of single words, and pairs of which a word is frequent (the first place is the pair's).
+            alone = single & (~frequent | (n[of] >= threshold * PAIRED) | (n[of] <= 1 / threshold**2))
+            keys, at, hot = [word[alone]], [np.flatnonzero(alone)], [frequent[alone]]
+            left, step = np.flatnonzero(n[of] <= PAIRED), 1
+            while len(left):
+                left = left[left + step < len(word)]
+                left = left[of[left] == of[left + step]]
+                some = left[(frequent[left] & single[left]) | (frequent[left + step] & single[left + step])]
+                keys.append(mix(word[some] * U64(0x9E3779B97F4A7C15) + word[some + step]))
+                at.append(some)
+                hot.append(np.ones(len(some), bool))
+                step += 1
+            word, at, hot = np.concatenate(keys), np.concatenate(at), np.concatenate(hot)
+            of, pos = of[at], pos[at]
+            n = n[of]
+            step = np.where(hot, np.floor(np.log(np.maximum(n, 1)) / -np.log(threshold)).astype(np.int64) + 1, 0).astype(U64)
+            extra = np.flatnonzero(hot)
             rows = np.concatenate([np.arange(len(word)), extra])
             salt = np.concatenate([step, step[extra] + U64(1)])
-            # From here a frequent word is another word for each range of lengths.
+            # From here a frequent word or pair is another one for each range of lengths.
             word, of, pos, n = mix(word[rows] + salt * U64(0xA0761D6478BD642F)), of[rows], pos[rows], n[rows]
             shard = (word % U64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            values = [word, b.column(0).to_numpy()[of], b.column(1).to_numpy()[of], n, pos, b.column(4).to_numpy(zero_copy_only=False)[of], b.column(5).to_numpy()[of], b.column(6).to_numpy()[of]]
-            values = [v.astype(t)[order] for v, t in zip(values, TYPES, strict=True)]
+            k, v, line, is_open, sig, gis = (b.column(c).to_numpy(zero_copy_only=False)[of] for c in (0, 1, 2, 5, 6, 7))
+            values = [x.astype(t)[order] for x, t in zip((word, k, v, line, n, pos, is_open, sig, gis), TYPES, strict=True)]
             shard = shard[order]
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
             parts = [(a, z) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z > a]
             columns = [pa.array([int(shard[a]) for a, _ in parts], pa.int32())]
-            columns += [pa.array([v[a:z].tobytes() for a, z in parts], pa.binary()) for v in values]
+            columns += [pa.array([x[a:z].tobytes() for a, z in parts], pa.binary()) for x in values]
             yield pa.RecordBatch.from_arrays(columns, ["shard", *PACKED])
 
     schema = "shard int, " + ", ".join(f"{c} binary" for c in PACKED)
-    return lines.select("k", "line", "n", "prefix", "open", "sig", "gis").mapInArrow(tidy(run), schema)
+    return lines.select("k", "v", "line", "n", "prefix", "open", "sig", "gis").mapInArrow(tidy(run), schema)
 
 
 def similar_enough(n: np.ndarray, pos: np.ndarray, sigs: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -181,14 +212,17 @@ def similar_enough(n: np.ndarray, pos: np.ndarray, sigs: tuple[np.ndarray, ...],
     return ok
 
 
+PAIR = {"xk": pa.int64(), "xv": pa.int64(), "xl": pa.int32(), "yk": pa.int64(), "yv": pa.int64(), "yl": pa.int32()}
+
+
 def paired(shards: DataFrame, threshold: float, heads: bool) -> DataFrame:
-    """x (xk, xl) and an earlier y (yk, yl): with ``heads`` each line and the earliest of a prefix word,
-    else each open line and all earlier lines."""
+    """x (xk, xv, xl) and an earlier y (yk, yv, yl): with ``heads`` each line and the earliest of a
+    prefix word, else each open line and all earlier lines."""
 
     def search(group: pa.Table) -> pa.Table:
-        word, k, line, n, pos, is_open, *sigs = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in zip(PACKED, TYPES, strict=True))
-        order = np.lexsort((line, k, word) if heads else (n, word))
-        word, k, line, n, pos, is_open, *sigs = (v[order] for v in (word, k, line, n, pos, is_open, *sigs))
+        word, k, v, line, n, pos, is_open, *sigs = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in zip(PACKED, TYPES, strict=True))
+        order = np.lexsort((line, v, k, word) if heads else (n, word))
+        word, k, v, line, n, pos, is_open, *sigs = (x[order] for x in (word, k, v, line, n, pos, is_open, *sigs))
         same = np.ones(len(word), bool)
         same[1:] = word[1:] != word[:-1]
         if heads:
@@ -202,76 +236,80 @@ def paired(shards: DataFrame, threshold: float, heads: bool) -> DataFrame:
                 at = at[at + step < len(word)]
                 at = at[(word[at] == word[at + step]) & (n[at] >= threshold * n[at + step] - 1e-9)]
                 a, z = at, at + step
-                later = (k[a] > k[z]) | ((k[a] == k[z]) & (line[a] > line[z]))
+                later = (k[a] > k[z]) | ((k[a] == k[z]) & ((v[a] > v[z]) | ((v[a] == v[z]) & (line[a] > line[z]))))
                 x, y = np.where(later, a, z), np.where(later, z, a)
                 ok = np.flatnonzero(is_open[x] == 1)
                 ok = ok[similar_enough(n, pos, sigs, x[ok], y[ok], threshold)]
                 pairs.append((x[ok], y[ok]))
                 step += 1
         x, y = (np.concatenate([p[i] for p in pairs]) if pairs else np.empty(0, np.int64) for i in (0, 1))
-        ok = (k[x] != k[y]) | (line[x] != line[y])
+        ok = (k[x] != k[y]) | (v[x] != v[y]) | (line[x] != line[y])
         x, y = x[ok], y[ok]
-        both = np.unique(np.stack([k[x], line[x].astype(np.int64), k[y], line[y].astype(np.int64)]), axis=1) if len(x) else np.empty((4, 0), np.int64)
-        return pa.table({"xk": pa.array(both[0]), "xl": pa.array(both[1].astype(np.int32)), "yk": pa.array(both[2]), "yl": pa.array(both[3].astype(np.int32))})
+        both = np.unique(np.stack([k[x], v[x], line[x].astype(np.int64), k[y], v[y], line[y].astype(np.int64)]), axis=1) if len(x) else np.empty((6, 0), np.int64)
+        return pa.table({name: pa.array(row, pa.int64()).cast(t) for (name, t), row in zip(PAIR.items(), both, strict=True)})
 
-    return shards.groupBy("shard").applyInArrow(tidy_group(search), "xk bigint, xl int, yk bigint, yl int").distinct()
+    return shards.groupBy("shard").applyInArrow(tidy_group(search), "xk bigint, xv bigint, xl int, yk bigint, yv bigint, yl int").distinct()
 
 
 def verified(own: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """k, line of the x whose full set is similar enough to that of its y."""
-    ids = pairs.select(F.col("xk").alias("k"), F.col("xl").alias("line")).union(pairs.select("yk", "yl")).distinct()
-    wanted = cut(ids.groupBy("k").agg(F.collect_list("line").alias("w")), "wanted")
+    """k, v, line of the x whose full set is similar enough to that of its y."""
+    ids = pairs.select(F.col("xk").alias("k"), F.col("xv").alias("v"), F.col("xl").alias("line")).union(pairs.select("yk", "yv", "yl")).distinct()
+    wanted = cut(ids.groupBy("k", "v").agg(F.collect_list("line").alias("w")), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, texts, lists = b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist()
+            keys, versions, texts, lists = b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist()
             for lo, hi in chunks(texts):
                 rows = []
-                for k, t, want in zip(keys[lo:hi], texts[lo:hi], lists[lo:hi], strict=True):
+                for k, v, t, want in zip(keys[lo:hi], versions[lo:hi], texts[lo:hi], lists[lo:hi], strict=True):
                     cut_ = t.split(b"\n")
-                    rows += [(k, j, cut_[j]) for j in want if j < len(cut_)]
-                sets = [np.unique(h).tobytes() for h in per_text([r[2] for r in rows])]
-                columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(sets, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["k", "line", "set"])
+                    rows += [(k, v, j, cut_[j]) for j in want]
+                sets = [np.unique(h).tobytes() for h in per_text([r[3] for r in rows])]
+                types = (pa.int64(), pa.int64(), pa.int32())
+                columns = [pa.array([r[c] for r in rows], t) for c, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())], ["k", "v", "line", "set"])
 
-    sets = cut(own.join(side(wanted), "k").select("k", "text", "w").mapInArrow(tidy(run), "k bigint, line int, set binary"), "line-sets")
+    some = own.join(side(wanted), ["k", "v"]).select("k", "v", "text", "w")
+    sets = cut(some.mapInArrow(tidy(run), "k bigint, v bigint, line int, set binary"), "line-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for p, q in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 both = np.concatenate([np.frombuffer(p, U64), np.frombuffer(q, U64)])
                 both.sort()
                 same = int(np.count_nonzero(both[1:] == both[:-1]))
                 ok.append(same >= threshold * (len(both) - same) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["k", "line"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in range(3)], ["k", "v", "line"]).filter(pa.array(ok, pa.bool_()))
 
-    px = sets.select(F.col("k").alias("xk"), F.col("line").alias("xl"), F.col("set").alias("p"))
-    py = sets.select(F.col("k").alias("yk"), F.col("line").alias("yl"), F.col("set").alias("q"))
-    both = pairs.join(px, ["xk", "xl"]).join(py, ["yk", "yl"]).select("xk", "xl", "p", "q")
-    out = cut(both.mapInArrow(tidy(check), "k bigint, line int").distinct(), "hit")
+    px = sets.select(F.col("k").alias("xk"), F.col("v").alias("xv"), F.col("line").alias("xl"), F.col("set").alias("p"))
+    py = sets.select(F.col("k").alias("yk"), F.col("v").alias("yv"), F.col("line").alias("yl"), F.col("set").alias("q"))
+    both = pairs.join(px, ["xk", "xv", "xl"]).join(py, ["yk", "yv", "yl"]).select("xk", "xv", "xl", "p", "q")
+    out = cut(both.mapInArrow(tidy(check), "k bigint, v bigint, line int").distinct(), "hit")
     drop(sets)
     drop(wanted)
     return out
 
 
 def later_matches(own: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """k, line of every line that an earlier line matches; ``own`` has k (the document) and text."""
+    """k, v, line of every line that an earlier line matches; ``own`` has k and v (the document) and text,
+    one row for each document."""
     spark: SparkSession = own.sparkSession
     rare = spark.sparkContext.broadcast(rarity(own))  # COUNTERS numbers
     table = cut(line_table(own, rare, threshold, min_words), "lines")
-    row = F.struct("k", "line", "n", "sig", "gis", "prefix")
+    row = F.struct("k", "v", "line", "n", "sig", "gis", "prefix")
     reps = cut(table.where(F.col("prefix").isNotNull()).groupBy("hi", "lo").agg(F.min(row).alias("r")).select("hi", "lo", "r.*"), "reps")
-    first = reps.select("hi", "lo", F.col("k").alias("first"))
-    equal = table.where(F.col("prefix").isNotNull()).select("k", "line", "hi", "lo").join(first, ["hi", "lo"]).where("k <> first")
-    gone = cut(table.where(F.col("prefix").isNull()).select("k", "line").unionByName(equal.select("k", "line")), "equal")
+    first = reps.select("hi", "lo", F.col("k").alias("fk"), F.col("v").alias("fv"))
+    equal = table.where(F.col("prefix").isNotNull()).select("k", "v", "line", "hi", "lo").join(first, ["hi", "lo"]).where("k <> fk or v <> fv")
+    gone = cut(table.where(F.col("prefix").isNull()).select("k", "v", "line").unionByName(equal.select("k", "v", "line")), "equal")
     drop(table)
     joined = reps.where(F.size("prefix") > 0)
     shards = max(1, -(-(joined.agg(F.sum(F.size("prefix"))).first()[0] or 0) // SHARD))
     star = cut(paired(dealt(joined.withColumn("open", F.lit(1)), rare, shards, threshold), threshold, heads=True), "star")
     hit = verified(own, star, threshold)
     drop(star)
-    left = joined.join(side(hit.withColumn("_hit", F.lit(True))), ["k", "line"], "left").withColumn("open", F.col("_hit").isNull().cast("int"))
+    settled = side(hit).withColumn("_hit", F.lit(True))
+    left = joined.join(settled, ["k", "v", "line"], "left").withColumn("open", F.col("_hit").isNull().cast("int"))
     rest = cut(paired(dealt(left, rare, shards, threshold), threshold, heads=False), "rest")
     drop(reps)
     again = verified(own, rest, threshold)
@@ -294,19 +332,19 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int =
 
     A line (cut at \\n) goes if an earlier line, in a document of smaller id or before it in its own,
     has a set of words with Jaccard similarity of ``threshold`` or more. Lines are judged on the input.
-    Lines without words, or of fewer than ``min_words`` distinct ones, stay and match nothing. A null text stays null; a
-    text that loses all lines becomes empty. Null ids count as the largest and as one document; rows
-    that share an id are versions of one document whose lines do not remove each other across rows. An
-    empty table gives an empty result.
+    Lines without words, or of fewer than ``min_words`` distinct ones, stay and match nothing. A null
+    text stays null; a text that loses all lines becomes empty. Null ids count as the largest. Rows that
+    share an id, or have none, are documents of their own, in the order of their texts' digests; rows of
+    equal id and text are one document, and each gets its result. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    own = docs.select(key.alias("k"), "text").where(F.col("text").isNotNull())
-    gone = later_matches(own, threshold, min_words)
-    lists = cut(gone.groupBy(F.col("k").alias("_k")).agg(F.collect_set("line").alias("_removed")), "gone")
+    k, v, shared = keyed(docs)
+    own = docs.select(k.alias("k"), v.alias("v"), "text").where(F.col("text").isNotNull())
+    gone = later_matches(own.dropDuplicates(["k", "v"]) if shared else own, threshold, min_words)
+    lists = cut(gone.groupBy(F.col("k").alias("_k"), F.col("v").alias("_v")).agg(F.collect_set("line").alias("_removed")), "gone")
     # The row travels as one struct, so that no column of docs can clash with those used here.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"), key.alias("_key"))
-    out = rows.join(side(lists), F.col("_key") == F.col("_k"), "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"), k.alias("_key"), v.alias("_version"))
+    out = rows.join(side(lists), (F.col("_key") == F.col("_k")) & (F.col("_version") == F.col("_v")), "left")
     old = F.col("_d.text")
     new = F.coalesce(F.pandas_udf(without_lines, "string")(F.when(F.col("_removed").isNotNull(), old), F.col("_removed")), old)
     n_lines = F.coalesce(F.length(old) - F.length(F.replace(old, F.lit("\n"), F.lit(""))) + 1, F.lit(0))

@@ -8,9 +8,9 @@ Documents with equal sets are one node. The members of a band's bucket are first
 extremes alone, which joins a group of near copies of any size in linear work. Buckets that still hold
 several components are then searched in shards, for pairs across components that sizes, signature bits
 and shared shingles leave possible: shingles that no other document of these buckets has bound what a
-document can share, which rules out most of a group whose copies are edited too much. Buckets too large
-for that go on with new centers, each of which has been compared with its whole bucket and leaves it. So
-each candidate pair is compared, ruled out or already connected.
+document can share, which rules out most of a group whose copies are edited too much. A bucket too large
+for one task is dealt out in blocks, and each pair of blocks is a bucket of its own: the number of steps
+does not depend on the size of a bucket. So each candidate pair is compared, ruled out or already connected.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, mix, per_text, prepare, side, tidy, tidy_group, window_hashes
+from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, keyed, mix, per_text, prepare, side, tidy, tidy_group, window_hashes
 
 WIDTH = 5
 PERMUTATIONS = 60
@@ -32,6 +32,8 @@ PERMUTATIONS = 60
 MISS, DISMISS = 1e-6, 2e-8
 #: Members of a bucket that one task may search, and members of a shard.
 LIMIT, SHARD = 20_000, 200_000
+#: In place of an id: a shingle that its batch has counted. And where ids of sets begin whose document has several.
+SEEN, SETS = -(1 << 63), 1 << 62
 _R = np.random.Generator(np.random.PCG64(20240601))
 A = _R.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * U64(2) + U64(1)
 B = _R.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -89,13 +91,12 @@ def bits_of(sig: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1).view(np.int64)
 
 
-def signatures(docs: DataFrame, rows: int) -> DataFrame:
-    """doc_id, n, fp (a digest of the set, null if empty), bands of ``rows`` values, s0, s1 of every row."""
-    prepare(docs.sparkSession)
+def signatures(own: DataFrame, rows: int) -> DataFrame:
+    """doc_id, v, n, fp (a digest of the set, null if empty), bands of ``rows`` values, s0, s1 of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_bytes(b.column(1))
+            texts = as_bytes(b.column(2))
             for lo, hi in chunks(texts):
                 sets = shingles(texts[lo:hi])
                 sig = np.stack([signature(s) for s in sets])
@@ -103,14 +104,14 @@ def signatures(docs: DataFrame, rows: int) -> DataFrame:
                 has = [len(s) > 0 for s in sets]
                 bands = pa.array([k if ok else None for k, ok in zip(keys, has, strict=True)], pa.list_(pa.int64()))
                 fp = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if ok else None for s, ok in zip(sets, has, strict=True)], pa.binary())
-                columns = [b.column(0).slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), fp, bands, pa.array(bits[:, 0]), pa.array(bits[:, 1])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "fp", "bands", "s0", "s1"])
+                columns = [b.column(0).slice(lo, len(sets)), b.column(1).slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), fp, bands, pa.array(bits[:, 0]), pa.array(bits[:, 1])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "v", "n", "fp", "bands", "s0", "s1"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id bigint, n bigint, fp binary, bands array<bigint>, s0 bigint, s1 bigint")
+    return own.select("doc_id", "v", "text").mapInArrow(tidy(run), "doc_id bigint, v bigint, n bigint, fp binary, bands array<bigint>, s0 bigint, s1 bigint")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, set (sorted 64-bit hashes) of the documents whose id is in ``ids``."""
+def full_sets(own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, set (sorted 64-bit hashes) of the documents of ``own`` (doc_id, v, text) in ``wanted`` (id, doc_id, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,8 +120,8 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 some = [x.tobytes() for x in shingles(texts[lo:hi])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(some)), pa.array(some, pa.binary())], ["id", "set"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(side(cut(ids, "ids")), "id", "left_semi")
-    return own.mapInArrow(tidy(run), "id bigint, set binary")
+    some = own.join(side(cut(wanted, "ids")), ["doc_id", "v"]).select("id", "text")
+    return some.mapInArrow(tidy(run), "id bigint, set binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -172,12 +173,9 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def extremes(members: DataFrame, turn: int) -> DataFrame:
-    """bucket, lo, hi: the members with the smallest and the largest hash (id at first) of each bucket."""
-    if not turn:
-        return members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    hashed = F.xxhash64("id", F.lit(turn))
-    return members.groupBy("bucket").agg(F.min_by("id", hashed).alias("lo"), F.max_by("id", hashed).alias("hi"))
+def extremes(members: DataFrame) -> DataFrame:
+    """bucket, lo, hi: the members with the smallest and the largest id of each bucket."""
+    return members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
 
 
 def with_extremes(members: DataFrame, ends: DataFrame) -> DataFrame:
@@ -204,12 +202,22 @@ def shareable(sets: DataFrame) -> DataFrame:
         for b in batches:
             some = [np.frombuffer(x, U64) for x in b.column(1).to_pylist()]
             ids, h = np.repeat(b.column(0).to_numpy(), [len(x) for x in some]), np.concatenate(some)
+            order = np.argsort(h)
+            ids, h = ids[order], h[order]
+            first = np.ones(len(h), bool)
+            first[1:] = h[1:] != h[:-1]
+            twin = ~first
+            twin[:-1] |= twin[1:]
+            # What the batch has twice is counted here; one row of it tells the shard, with id SEEN.
+            own, n = np.unique(ids[twin], return_counts=True)
+            ids = np.where(twin, SEEN, ids)[first]
+            h = h[first]
             shard = (mix(h) % U64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             ids, h, shard = ids[order], h[order], shard[order]
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
             parts = [(a, z) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z > a]
-            columns = [[int(shard[a]) for a, _ in parts], [h[a:z].tobytes() for a, z in parts], [np.diff(ids[a:z], prepend=0).tobytes() for a, z in parts]]
+            columns = [[int(shard[a]) for a, _ in parts] + [-1], [h[a:z].tobytes() for a, z in parts] + [n.tobytes()], [np.diff(ids[a:z], prepend=0).tobytes() for a, z in parts] + [np.diff(own, prepend=0).tobytes()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "hashes", "ids"])
 
     def count(group: pa.Table) -> pa.Table:
@@ -220,23 +228,45 @@ def shareable(sets: DataFrame) -> DataFrame:
         twin = np.zeros(len(h), bool)
         twin[1:] = h[1:] == h[:-1]
         twin[:-1] |= twin[1:]
-        own, n = np.unique(ids[twin], return_counts=True)
+        own, n = np.unique(ids[twin & (ids != SEEN)], return_counts=True)
         return pa.table({"id": pa.array(own, pa.int64()), "s": pa.array(n, pa.int64())})
 
-    dealt = sets.mapInArrow(tidy(deal), "shard int, hashes binary, ids binary")
-    return dealt.groupBy("shard").applyInArrow(tidy_group(count), "id bigint, s bigint").groupBy("id").agg(F.sum("s").alias("s"))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(np.frombuffer(ids, np.int64))), pa.array(np.frombuffer(n, np.int64))], ["id", "s"])
+
+    dealt = cut(sets.mapInArrow(tidy(deal), "shard int, hashes binary, ids binary"), "shingles")
+    inside = dealt.where("shard < 0").select("hashes", "ids").mapInArrow(tidy(counted), "id bigint, s bigint")
+    over = dealt.where("shard >= 0").groupBy("shard").applyInArrow(tidy_group(count), "id bigint, s bigint")
+    return inside.unionByName(over).groupBy("id").agg(F.sum("s").alias("s"))
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Members (bucket, id, ...) with part: 0 in buckets that one task may search; a larger bucket is dealt
+    out in blocks, and each pair of blocks is a bucket, in which only members of different parts are compared."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("_size")).where(F.col("_size") > LIMIT)
+    sized = members.join(cut(sizes, "large"), "bucket", "left")
+    small = sized.where("_size is null").drop("_size").withColumn("part", F.lit(0))
+    blocks = F.ceil(2 * F.col("_size") / LIMIT).cast("int")
+    large = sized.where("_size is not null").withColumn("_n", blocks).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    dealt = large.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    pair = F.xxhash64("bucket", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    # A block paired with itself is a bucket of part 0, whose members are all compared.
+    part = F.when(F.col("_own") == F.col("_other"), F.lit(0)).otherwise(F.col("_own") + 1)
+    return small.unionByName(dealt.withColumn("part", part).withColumn("bucket", pair).drop("_size", "_n", "_own", "_other"))
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
     """a < b: plausible pairs of a bucket's members that lie in different components, from
-    (bucket, id, n, s, s0, s1, label) by shards of whole buckets."""
-    names = ("bucket", "id", "n", "s", "s0", "s1", "label")
+    (bucket, id, n, s, s0, s1, label, part) by shards of whole buckets."""
+    names = ("bucket", "id", "n", "s", "s0", "s1", "label", "part")
     most_bits = may_differ(percent)
 
     def search(group: pa.Table) -> pa.Table:
         c = {x: group.column(x).to_numpy() for x in names}
         order = np.lexsort((c["n"], c["bucket"]))
-        bucket, ids, n, s, s0, s1, label = (c[x][order] for x in names)
+        bucket, ids, n, s, s0, s1, label, part = (c[x][order] for x in names)
         found, at, step = [], np.arange(len(ids) - 1), 1
         while len(at):
             # Members are in order of size, so a pair too far apart ends its row.
@@ -245,7 +275,7 @@ def across(members: DataFrame, percent: int) -> DataFrame:
             at = at[(bucket[at] == bucket[other]) & (100 * n[at] >= percent * n[other])]
             other = at + step
             most = np.minimum(s[at], s[other])
-            apart = (label[at] != label[other]) & (100 * most >= percent * (n[at] + n[other] - most))
+            apart = (label[at] != label[other]) & ((part[at] != part[other]) | (part[at] == 0)) & (100 * most >= percent * (n[at] + n[other] - most))
             x, y = at[apart], other[apart]
             close = np.bitwise_count(s0[x] ^ s0[y]).astype(np.int64) + np.bitwise_count(s1[x] ^ s1[y]) <= most_bits
             found.append(np.stack([ids[x[close]], ids[y[close]]]))
@@ -260,29 +290,48 @@ def across(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
+    """doc_id, v, n_shingles, component_id, kept and first of every row.
 
     Documents whose sets have 100 * intersection >= ``percent`` * union are linked; component_id is the
     smallest doc_id reachable, kept marks it. A text without words (or null) has an empty set and is
-    linked with nothing. Rows that share a doc_id are one node if their sets are equal, else each set is
-    linked as a document of that id. A row with a null doc_id is linked with nothing: its component is
-    null and it is kept. Other columns are ignored; an empty table gives an empty result.
+    linked with nothing. Rows that share a doc_id are documents of their own unless their texts are
+    equal (v tells them apart, see ``keyed``): a row of one id may go while another one of it stays. A
+    row with a null doc_id is linked with nothing: its component is null and it is kept. first is kept,
+    but for one text alone where several of the smallest doc_id are linked. Other columns are ignored;
+    an empty table gives an empty result.
     """
-    sigs = cut(signatures(docs, band_rows(percent)), "signatures")
+    prepare(docs.sparkSession)
+    _, v, shared = keyed(docs)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), v.alias("v"), "text")
+    once = own.dropDuplicates(["doc_id", "v"]) if shared else own
+    sigs = cut(signatures(own, band_rows(percent)), "signatures")
     with_set = sigs.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
-    classes = cut(with_set.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
-    reps = with_set.join(classes, (with_set["fp"] == classes["fp"]) & (with_set["doc_id"] == classes["id"])).select("id", "n", "s0", "s1", "bands")
+    heads = with_set.groupBy("fp").agg(F.min(F.struct("doc_id", "v")).alias("h")).select("fp", "h.doc_id", "h.v")
+    if shared:
+        # A set has the number of its document, but where that has several sets.
+        many = heads.groupBy("doc_id").agg(F.count("*").alias("_n"))
+        number = F.when(F.col("_n") == 1, F.col("doc_id")).otherwise(F.lit(SETS) + F.xxhash64("fp").bitwiseAND(SETS - 1))
+        heads = heads.join(many, "doc_id").select("fp", "doc_id", "v", number.alias("id"))
+    else:
+        heads = heads.withColumn("id", F.col("doc_id"))
+    classes = cut(heads, "classes")
+    nodes = classes.select("id", "doc_id", "v")
+    reps = with_set.drop("doc_id", "v").join(classes.select("fp", "id"), "fp") if shared else with_set.join(classes, ["fp", "doc_id"])
+    reps = reps.select("id", "n", "s0", "s1", "bands")
+    reps = reps.dropDuplicates(["id"]) if shared else reps
     banded = reps.select("id", F.explode("bands").alias("bucket"))
-    ends = cut(extremes(banded, 0).where("lo < hi"), "ends")
+    ends = cut(extremes(banded).where("lo < hi"), "ends")
     members = cut(banded.join(ends, "bucket", "left_semi").distinct(), "members")
     facts = cut(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "s0", "s1"), "facts")
     links = labels = None
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return cut(full_sets(once, ids.distinct().join(nodes, "id")), "sets")
+
     def link(pairs: DataFrame) -> None:
         nonlocal links, labels
         pairs = cut(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = cut(full_sets(docs, ids), "sets")
+        sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
         new = cut(confirmed(pairs, sets, percent), "links")
         drop(sets)
         drop(pairs)
@@ -290,38 +339,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         if new.limit(1).count():
             labels = components(links, labels)
 
-    def unsettled(members: DataFrame) -> DataFrame:
-        """Members, with labels and counts, of buckets that lie in several components."""
-        wide = members.withColumn("label", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        wide = cut(wide.select("bucket", "id", "label"), "wide")
-        open_ = wide.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x < y").select("bucket", "size")
-        out = cut(wide.join(open_, "bucket"), "open")
-        drop(wide)
-        return out
-
     link(plausible(with_extremes(members, ends), facts, percent))
-    # The extremes have been compared with all of their bucket.
+    # The extremes have been compared with all of their bucket. What is left is searched where buckets
+    # lie in several components.
     left = members.join(ends, "bucket").where("id <> lo and id <> hi").select("bucket", "id")
-    open_ = unsettled(left)
+    wide = left.withColumn("label", F.col("id")) if labels is None else left.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    wide = cut(wide.select("bucket", "id", "label"), "wide")
     drop(members)
-    small = open_.where(F.col("size") <= LIMIT).select("bucket", "id", "label")
-    sets = cut(full_sets(docs, small.select("id").distinct()), "open-sets")
-    shared = cut(shareable(sets), "shareable")
+    apart = wide.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+    open_ = cut(wide.join(apart, "bucket"), "open")
+    drop(wide)
+    sets = sets_of(open_.select("id"))
+    shared_by = cut(shareable(sets), "shareable")
     drop(sets)
-    could = small.join(shared, "id").join(facts, "id").where(100 * F.col("s") >= percent * F.col("n"))
-    link(across(cut(could, "could"), percent))
-    large, turn = cut(open_.where(F.col("size") > LIMIT), "large"), 1
-    while large.limit(1).count():
-        ends = cut(extremes(large, turn), "ends")
-        link(plausible(with_extremes(large, ends), facts, percent))
-        before, large = large, unsettled(large.join(ends, "bucket").where("id <> lo and id <> hi").select("bucket", "id"))
-        drop(before)
-        turn += 1
-    if labels is not None:
-        classes = classes.join(labels, "id", "left").select("fp", F.coalesce("label", "id").alias("component"))
+    could = open_.join(shared_by, "id").join(facts, "id").where(100 * F.col("s") >= percent * F.col("n"))
+    link(across(cut(in_blocks(cut(could, "could")), "blocks"), percent))
+    head = F.struct(F.col("doc_id").alias("d"), F.col("v").alias("u"))
+    if labels is None:
+        found = classes.select("fp", head.alias("head"))
     else:
-        classes = classes.select("fp", F.col("id").alias("component"))
-    component = F.coalesce("component", "doc_id")
-    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
-    own = sigs.select("doc_id", "n", "fp").join(classes, "fp", "left")
-    return own.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), kept.alias("kept"))
+        found = classes.join(labels, "id", "left").select("fp", F.coalesce("label", "id").alias("label"), head.alias("head"))
+        found = found.join(found.groupBy("label").agg(F.min("head").alias("least")), "label").select("fp", F.col("least").alias("head"))
+    out = sigs.select("doc_id", "v", "n", "fp").join(found, "fp", "left")
+    known = F.col("doc_id").isNotNull()
+    component = F.coalesce("head.d", "doc_id")
+    first = ~known | F.col("head").isNull() | ((F.col("head.d") == F.col("doc_id")) & (F.col("head.u") == F.col("v")))
+    return out.select("doc_id", "v", F.col("n").alias("n_shingles"), F.when(known, component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), first.alias("first"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, n_words
+from larkspur.llm.common import cut, keyed, n_words
 
 #: Virtual time per bin of the running sum: 2^-16 of the mix.
 BINS = 1 << 16
@@ -20,8 +20,21 @@ PASSES = 3
 SEED = "larkspur-mix"
 
 
-def shuffled(doc_id: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def shuffled(doc_id: Column, *more: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(doc_id.cast("string"), F.lit("")), *[F.concat(F.lit(":"), c.cast("string")) for c in more]))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with _number, 0.. among those of equal (_source, _id, _v): counted by partition, summed over
+    partitions, numbered within one, so that equal rows never meet in one task."""
+    same = ["_source", "_id", "_v"]
+    rows = cut(rows.withColumn("_part", F.spark_partition_id()), "parted")
+    before = F.sum("_n").over(W.partitionBy(*same).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    starts = rows.groupBy(*same, "_part").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(before, F.lit(0)))
+    starts = starts.select(*[F.col(c).alias(f"{c}2") for c in same], F.col("_part").alias("_part2"), "_start")
+    inside = rows.withColumn("_at", F.row_number().over(W.partitionBy(*same, "_part").orderBy("size")) - 1)
+    match = [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in same] + [F.col("_part") == F.col("_part2")]
+    return inside.join(starts, match).withColumn("_number", F.col("_start") + F.col("_at")).drop("_part", "_part2", "_start", "_at", *[f"{c}2" for c in same])
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -57,14 +70,20 @@ def mix(docs: DataFrame, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B0
     """The columns ``keep`` with size, source, source_size, target and copies (0 to 3) of every document.
 
     A null text has size 0. Documents of size 0 are taken once as they cost nothing. Null sources are
-    one source, last in order. Repeated rows and ids are documents of their own, in one order only by
-    chance; rerun results agree where ids are unique. An empty table gives an empty result.
+    one source, last in order. Rows that share an id, or have none, are documents of their own, shuffled
+    by their texts' digests too; rows equal in source, id and text are numbered and shuffled by that
+    number, so which of them is taken is open, but not how many. So rerun results agree, however the
+    rows are stored. An empty table gives an empty result.
     """
-    sized = docs.select(*keep, F.col("source").alias("_source"), n_words(F.col("text")).alias("size"), shuffled(F.col("doc_id")).alias("_key"))
+    _, v, shared = keyed(docs)
+    doc_id = F.col("doc_id")
+    sized = docs.select(*keep, F.col("source").alias("_source"), n_words(F.col("text")).alias("size"), doc_id.alias("_id"), v.alias("_v"))
+    key = shuffled(F.col("_id"), F.col("_v"), F.col("_number")) if shared else shuffled(F.col("_id"))
+    sized = (numbered(sized) if shared else sized).withColumn("_key", key).drop("_id", "_v", "_number")
     sized = cut(sized.withColumn("_bucket", F.conv(F.substring("_key", 1, 5), 16, 10).cast("int")), "sizes")
     rows = sized.count()
     # Prefix sums over buckets of the digest: a source's rows never meet in one task.
-    bits = max(0, min(20, (max(1, rows // 10_000) - 1).bit_length()))
+    bits = max(0, min(20, (max(1, rows // 1_000) - 1).bit_length()))
     sized = sized.withColumn("_bucket", F.shiftright("_bucket", 20 - bits))
     parts = sized.groupBy("_source", "_bucket").agg(F.sum("size").alias("n"))
     running = W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -74,7 +93,7 @@ def mix(docs: DataFrame, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B0
         before.join(to, F.col("_source").eqNullSafe(F.col("source"))).select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), "_before", "source_size", "target"),
         "offsets",
     )
-    inside = W.partitionBy("_source", "_bucket").orderBy("_key", *[F.col(c) for c in keep if c == "doc_id"])
+    inside = W.partitionBy("_source", "_bucket").orderBy("_key")
     d = (
         sized.withColumn("_in", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
         .join(offsets, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))

@@ -5,10 +5,13 @@ histogram of piece lengths (at most ``capacity`` rows, whatever the input), solv
 multiplicities, and gets a plan of runs: "the pieces of length L ranked a to b go to sequences
 f, f+1, ..., m in each, from offset o". Executors then place every piece by its rank within its length.
 
-The plan: a piece that fits with no other stands alone; the largest open piece is fixed with the
-largest piece that fits beside it where that pair dominates every other choice (it fills the
-sequence, or no two pieces fit beside the first); the rest goes by best fit, longest first. Sequences
-with equal content are kept as one group with a count, so the plan's size depends on ``capacity``.
+The plan: lengths are tried once, from the longest on, as the first piece of a sequence, and fixed as
+long as one set beside it dominates every other that fits: nothing where nothing fits; the largest
+piece that fits, if it fills the sequence, if no two pieces fit, or if no three fit and it is as long as
+the longest two that fit; those two, if no three fit, the larger of them is the largest piece that fits
+and no other two both exceed the smaller one. A length for which none dominates is left; what is not
+fixed goes by best fit, longest first. Sequences with equal content are kept as one group with a
+count, so the plan's size depends on ``capacity``.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from __future__ import annotations
 import bisect
 import zlib
 from array import array
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -103,6 +108,52 @@ class Plan:
     fixed: int = 0
 
 
+def dominant(length: int, left: dict[int, int], capacity: int) -> tuple[int, ...] | None:
+    """The lengths to put beside one piece of ``length`` so that no packing needs others, if there are such."""
+    rest, room = {k: n - (k == length) for k, n in left.items() if n > (k == length)}, capacity - length
+    fits = sorted(k for k in rest if k <= room)
+    if not fits:
+        return ()
+    mate = fits[-1]
+    least: list[int] = []
+    for k in fits:
+        least += [k] * min(rest[k], 3 - len(least))
+    if mate == room or sum(least[:2]) > room or len(least) == 1:
+        return (mate,)
+    if len(least) == 3 and sum(least) <= room:
+        return None
+    # Two fit, three do not: the longest two.
+    best, hi = (0, 0, 0), len(fits) - 1
+    for low in fits:
+        while hi >= 0 and (fits[hi] + low > room or (fits[hi] == low and rest[low] < 2)):
+            hi -= 1
+        if hi < 0 or fits[hi] < low:
+            break
+        best = max(best, (fits[hi] + low, fits[hi], low))
+    _, a, b = best
+    if mate >= a + b:
+        return (mate,)
+    if mate != a:
+        return None
+    between: list[int] = []
+    for k in fits:
+        if k > b and len(between) < 2:
+            between += [k] * min(rest[k] - (k == a), 2 - len(between))
+    return (a, b) if len(between) < 2 or sum(between) > room else None
+
+
+def reduction(histogram: dict[int, int], capacity: int) -> Iterator[tuple[Counter, int]]:
+    """Contents of sequences to fix, each with how many sequences get it."""
+    left = dict(histogram)
+    for length in sorted(histogram, reverse=True):
+        while left[length] and (beside := dominant(length, left, capacity)) is not None:
+            parts = Counter([length, *beside])
+            n = min(left[k] // m for k, m in parts.items())
+            for k, m in parts.items():
+                left[k] -= n * m
+            yield parts, n
+
+
 def solve(histogram: dict[int, int], capacity: int) -> Plan:
     """Packs pieces given as {length: count} into sequences of ``capacity``."""
     plan, left, used = Plan(capacity), dict(histogram), dict.fromkeys(histogram, 0)
@@ -116,30 +167,12 @@ def solve(histogram: dict[int, int], capacity: int) -> Plan:
         plan.sequences += n
         return plan.sequences - n
 
-    # Reduction: from the longest on, as long as some choice dominates.
-    for length in sorted(histogram, reverse=True):
-        while left[length]:
-            rest = sorted(k for k, n in left.items() if n > (k == length))
-            fits = rest[: bisect.bisect_right(rest, capacity - length)]
-            if not fits:
-                n = left[length]
-                take(length, n, opened(n), 1, 0)
-                plan.fixed += n
-                break
-            mate, low = fits[-1], fits[0]
-            spare = left[low] - (low == length)
-            second = low if spare > 1 else fits[1] if len(fits) > 1 else capacity
-            if length + mate != capacity and length + low + second <= capacity:
-                break
-            if mate == length:
-                n = left[length] // 2
-                take(length, 2 * n, opened(n), 2, 0)
-            else:
-                n = min(left[length], left[mate])
-                first = opened(n)
-                take(length, n, first, 1, 0)
-                take(mate, n, first, 1, length)
-            plan.fixed += n
+    for parts, n in reduction(histogram, capacity):
+        first, offset = opened(n), 0
+        for k, m in parts.items():
+            take(k, n * m, first, m, offset)
+            offset += k * m
+        plan.fixed += n
     # Best fit, longest first, over groups of equal sequences keyed by their room.
     by_room: dict[int, list[Group]] = {}
     rooms: list[int] = []
@@ -186,7 +219,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     doc_id is kept, other columns are ignored, an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    own = cut(pieces(docs, tokenizer, capacity), "pieces")
+    own = cut(pieces(docs, tokenizer, capacity).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     histogram = {r[0]: r[1] for r in own.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = solve(histogram, capacity)
     lengths = {k: ([], []) for k in histogram}
@@ -209,6 +242,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
             seq[rows], off[rows] = first + q // each, offset + q % each * n
         return pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], [*b.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = rank_within(own, "length", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "rank", rows=sum(histogram.values()))
+    ranked = rank_within(own, "length", histogram, [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "_row", "rank")
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return by_batch(ranked, place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

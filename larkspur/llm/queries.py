@@ -28,7 +28,7 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
+    return minhash.near_duplicates(documents(spark, sf_dir), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +38,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = media.media_columns(documents(spark, sf_dir), tensors=False)
+    m = media.media_columns(documents(spark, sf_dir))
     tail = F.crc32(F.expr("substring(payload, octet_length(payload) - 63, 64)"))
     return m.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.aggregate("tensors", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t["rgb"])).alias("tensor_bytes"),
+        F.sha2(F.aggregate("tensors", F.lit(b""), lambda a, t: F.concat(a, t["rgb"])), 256).alias("tensor_sha256"),
     )
 
 
@@ -127,4 +129,28 @@ k AS (
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k"""
 
-SQL: dict[str, str] = {"op2_minhash": NEAR, "op6_substring": SUBSTRING, "op8_mix": mixing.oracle()}
+# Lines with equal sets of words are one set; another set can match one only from nine words on.
+LINES = f"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (
+  SELECT doc_id, i AS line, list_sort(list_distinct({WORDS.format("ls[i + 1]")})) AS ws FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM d)
+), s AS (
+  SELECT row_number() OVER (ORDER BY ws) AS s, ws, len(ws) AS n, since FROM (SELECT ws, min((doc_id, line)) AS since FROM l WHERE len(ws) > 0 GROUP BY ws)
+), w AS (SELECT s, n, unnest(ws) AS word FROM s WHERE n >= 9),
+f AS (SELECT word, count(*) AS df FROM w GROUP BY word),
+r AS (SELECT s, n, word, row_number() OVER (PARTITION BY s ORDER BY df, word) AS place FROM w JOIN f USING (word)),
+p AS (SELECT s, n, word FROM r WHERE place <= n - (9 * n + 9) // 10 + 1),
+c AS (SELECT DISTINCT a.s AS a, b.s AS b FROM p a JOIN p b ON a.word = b.word AND a.s <> b.s AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n),
+m AS (
+  SELECT x.s AS s, y.since AS since FROM c JOIN s x ON x.s = c.a JOIN s y ON y.s = c.b
+  WHERE 19 * len(list_intersect(x.ws, y.ws)) >= 9 * (x.n + y.n)
+  UNION ALL SELECT s, since FROM s
+), e AS (SELECT s, min(since) AS since FROM m GROUP BY s),
+g AS (
+  SELECT doc_id, list_sort(list(line)) AS gone FROM l JOIN s USING (ws) JOIN e ON e.s = s.s WHERE e.since < (l.doc_id, l.line) GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(gone), 0) AS INTEGER) AS n_removed, coalesce(array_to_string(gone, ','), '') AS removed_lines,
+  CASE WHEN text IS NOT NULL THEN sha256(coalesce(array_to_string(list_transform(list_filter(range(len(ls)), lambda i: gone IS NULL OR NOT list_contains(gone, i)), lambda i: ls[i + 1]), chr(10)), '')) END AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)"""
+
+SQL: dict[str, str] = {"op2_minhash": NEAR, "op6_substring": SUBSTRING, "op8_mix": mixing.oracle(), "op9_lines": LINES}

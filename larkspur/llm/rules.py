@@ -1,160 +1,85 @@
 """Quality rules with an n-gram perplexity band for each language.
 
 Base rules count words, symbols, repeated lines and repeated three-word windows. The method's verdict
-comes from a modified Kneser-Ney model of characters within words for each language: Spark counts the
-4-grams of the whole corpus, the lower orders' continuation counts and the discounts follow by
-aggregation, and each order is stored as a sorted array of gram codes beside its probabilities. A
-document is rejected where its perplexity leaves its language's band, which is set by the quartiles of
-all its documents.
-
-A gram code has six bits for each of at most four symbols. Letters a to z and the classes below have
-symbols of their own, other characters are hashed into the rest, so an order has at most 2^24 grams
-and the model's size has a bound that no corpus can exceed.
+comes from a modified Kneser-Ney model of each language: 6-grams of characters that run across words, so
+that word order counts. Spark counts the 6-grams of the whole corpus; the lower orders' continuation
+counts, discounts and interpolated probabilities follow by aggregations and joins on the grams
+themselves, so the model grows with the corpus and no gram shares a counter with another.
+
+Nothing of the model is collected or broadcast. Texts are dealt out in groups of bounded size. A group
+asks once for each of its distinct 6-grams, gets their probabilities by a join, and keeps them in arrays
+sorted by 64-bit hashes of the grams, in which the texts' grams are looked up together. A document is
+rejected where its perplexity leaves its language's band, which is set by the quartiles of all its
+documents, separately below and above.
+
+Characters are code points as they are; digits are one symbol, other control characters too, and a
+stretch of blanks is one blank.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from larkspur.llm.common import MEMO, as_bytes, chunks, cut, per_text, prepare, tidy, window_hashes
+from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, mix, per_text, prepare, shared_ids, tidy_group, window_hashes
 
-ORDER = 4
-START, END, DIGIT, PUNCT, OTHER = 62, 63, 26, 27, 28
+ORDER = 6
+#: Symbols that no text has: before its first character and after its last.
+START, END = 2, 3
 SYMBOLS = b"#*$%&|<>"
 BLANK = b" \t\n\x0b\x0c\r"
-#: Languages with a model of their own; rarer ones share one. Bounds the model that is broadcast.
-LANGUAGES = 255
-REST = "\x00rest"
-#: How far a document's log-perplexity may leave the quartiles of its language, in spreads between them.
-BAND = 4.0
-
-
-def symbol_table() -> np.ndarray:
-    """Byte -> symbol; the bytes of other characters are hashed into OTHER..61."""
-    t = np.empty(256, np.int64)
-    for b in range(256):
-        c = chr(b).lower()
-        t[b] = ord(c) - 97 if "a" <= c <= "z" else DIGIT if c.isdigit() and b < 128 else PUNCT if b < 128 else OTHER + (b * 167 >> 2) % (START - OTHER)
-    return t
-
-
-TABLE = symbol_table()
+#: How far a document's log-perplexity may fall below, or rise above, the quartiles of its language, in
+#: spreads between them.
+BELOW, ABOVE = 3.0, 2.0
+#: Bytes of text in a group.
+GROUP = 12 << 20
+_P = U64(0x9E3779B97F4A7C15)
+
+
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of the texts, each between ORDER - 1 starts and an end, and each one's text."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).copy()
+    of = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    codes[codes < 32] = 26
+    codes[blank] = 32
+    codes[(codes >= 48) & (codes <= 57)] = 48
+    keep = ~blank
+    keep[:1] = True
+    keep[1:] |= ~blank[:-1] | (of[1:] != of[:-1])
+    codes, of = codes[keep], of[keep]
+    sizes = np.bincount(of, minlength=len(texts)) + ORDER
+    out = np.full(int(sizes.sum()), START, np.uint32)
+    ends = np.cumsum(sizes)
+    out[ends - 1] = END
+    out[np.arange(len(codes)) + ORDER * of + ORDER - 1] = codes
+    return out, np.repeat(np.arange(len(texts)), sizes)
 
 
-def codes_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the 4-grams that end at each character and at the end of each word; and each one's word."""
-    pad = bytes(ORDER - 1)
-    flat = np.frombuffer(b"".join(pad + w + b"\x01" for w in words), dtype=np.uint8)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + ORDER
-    ends = np.cumsum(sizes)
-    s = TABLE[flat]
+def hashed(codes: np.ndarray) -> np.ndarray:
+    """A hash of every ORDER symbols in a row."""
+    n = len(codes) - ORDER + 1
+    m = mix(codes.astype(U64) + U64(1))
+    h = m[:n].copy()
     for k in range(1, ORDER):
-        s[ends - sizes + k - 1] = START
-    s[ends - 1] = END
-    n = len(s) - ORDER + 1
-    code = np.zeros(max(n, 0), np.int64)
-    for k in range(ORDER):
-        code = code << 6 | s[k : k + n]
-    word = np.repeat(np.arange(len(words)), sizes)
-    inside = word[: max(n, 0)] == word[ORDER - 1 :]
-    return code[inside], word[ORDER - 1 :][inside]
-
-
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """lang, code, n: how often each 4-gram occurs in the texts of a language."""
-
-    def emit(lang: str, words: Counter) -> pa.RecordBatch:
-        code, word = codes_of(list(words))
-        weight = np.fromiter(words.values(), np.int64, len(words))[word]
-        codes, at = np.unique(code, return_inverse=True)
-        n = np.bincount(at, weights=weight).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {}
-        for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                words = seen.setdefault(lang, Counter())
-                words.update(text.split())
-                if len(words) > MEMO:
-                    yield emit(lang, seen.pop(lang))
-        for lang, words in seen.items():
-            if words:
-                yield emit(lang, words)
-
-    return docs.select("lang", "text").mapInArrow(tidy(run), "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+        h *= _P
+        h += m[k : k + n]
+    return mix(h)
 
 
-def orders(counts: DataFrame) -> DataFrame:
-    """lang, k, code, p, back: for each order the discounted probability of a gram before
-    interpolation, and what its context hands to the order below."""
-    levels, level = [], counts
-    for k in range(ORDER, 0, -1):
-        levels.append(level.select("lang", F.lit(k).alias("k"), "code", "n"))
-        level = level.groupBy("lang", F.col("code").bitwiseAND((1 << 6 * (k - 1)) - 1).alias("code")).agg(F.count("*").alias("n"))
-    grams = levels[0]
-    for x in levels[1:]:
-        grams = grams.unionByName(x)
-    grams = cut(grams, "grams")
-    of = lambda i: F.count_if(F.col("n") == i).cast("double")
-    c = grams.groupBy("lang", "k").agg(*[of(i).alias(f"n{i}") for i in (1, 2, 3, 4)])
-    y = F.coalesce(F.try_divide("n1", F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
-    discount = lambda i: F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), F.coalesce(i - (i + 1) * y * F.try_divide(f"n{i + 1}", f"n{i}"), F.lit(i / 2))))
-    c = c.select("lang", "k", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
-    g = grams.join(F.broadcast(c), ["lang", "k"])  # at most 4 * (LANGUAGES + 1) rows
-    g = g.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-    g = g.withColumn("context", F.shiftright("code", 6))
-    sums = g.groupBy("lang", "k", "context").agg(F.sum("n").alias("all"), F.sum("d").alias("off"))
-    both = g.join(sums, ["lang", "k", "context"])
-    return both.select("lang", "k", "code", ((F.col("n") - F.col("d")) / F.col("all")).alias("p"), (F.col("off") / F.col("all")).alias("back"))
-
-
-class Model:
-    """One language's orders as sorted arrays, with a memo of words' log-probabilities."""
-
-    def __init__(self, arrays: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.arrays: dict = arrays
-        self.memo: dict[bytes, float] = {}
-        self.uniform = 1.0 / (START + 2)
-
-    @staticmethod
-    def find(keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-        return at, keys[at] == codes
-
-    def log_p(self, codes: np.ndarray) -> np.ndarray:
-        p = np.full(len(codes), self.uniform)
-        for k in range(1, ORDER + 1):
-            if k not in self.arrays:
-                break
-            grams, prob, contexts, back = self.arrays[k]
-            code = codes & ((1 << 6 * k) - 1)
-            at, seen = self.find(contexts, code >> 6)
-            lower = np.where(seen, back[at], 1.0) * p
-            at, seen = self.find(grams, code)
-            p = lower + np.where(seen, prob[at], 0.0)
-        return np.log(p)
-
-    def learn(self, words: set[bytes]) -> None:
-        """Takes new words into the memo, which starts anew when it is full."""
-        new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(words)
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            codes, word = codes_of(some)
-            self.memo.update(zip(some, np.bincount(word, weights=self.log_p(codes), minlength=len(some)).tolist(), strict=True))
-
-    def score(self, words: list[bytes]) -> float | None:
-        """The mean negative log-probability of a symbol of known words; None without a word."""
-        return -sum(map(self.memo.__getitem__, words)) / (sum(map(len, words)) + len(words)) if words else None
+def by_language(group: pa.Table) -> Iterator[tuple[str, list[int], list[bytes]]]:
+    """Languages of a group with the places and texts of their rows, about a megabyte at once."""
+    langs, texts = group.column("lang").to_pylist(), as_bytes(group.column("text").combine_chunks())
+    for lang in sorted(set(langs)):
+        rows = [i for i, x in enumerate(langs) if x == lang]
+        own = [texts[i] for i in rows]
+        for lo, hi in chunks(own, 1 << 20, 100_000):
+            yield lang, rows[lo:hi], own[lo:hi]
 
 
 def base(text: bytes, words: list[bytes], hashes: np.ndarray) -> tuple[int, int, int, int, int]:
@@ -175,58 +100,158 @@ def base(text: bytes, words: list[bytes], hashes: np.ndarray) -> tuple[int, int,
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def assess(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, band: float = BAND) -> DataFrame:
+def asked(dealt: DataFrame) -> DataFrame:
+    """batch, lang, gram, n: the distinct 6-grams of each group of texts with their counts."""
+
+    def count(group: pa.Table) -> pa.Table:
+        found: dict[str, list] = {}
+        for lang, _, texts in by_language(group):
+            if not any(t.strip(BLANK) for t in texts):
+                continue
+            own = [t.decode() for t in texts if t.strip(BLANK)]
+            codes, of = symbols(own)
+            at = np.flatnonzero(of[: len(of) - ORDER + 1] == of[ORDER - 1 :])
+            h = hashed(codes)[at]
+            order = np.argsort(h)
+            h, at = h[order], at[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            n = np.diff(np.append(first, len(h)))
+            have = found.get(lang)
+            new = codes[at[first][:, None] + np.arange(ORDER)]
+            if have is None:
+                found[lang] = [h[first], n, new]
+                continue
+            both = np.concatenate([have[0], h[first]])
+            order = np.argsort(both, kind="stable")
+            both = both[order]
+            head = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+            found[lang] = [both[head], np.add.reduceat(np.concatenate([have[1], n])[order], head), np.concatenate([have[2], new])[order[head]]]
+        batch = group.column("batch")[0].as_py() if group.num_rows else 0
+        out = {"batch": [], "lang": [], "gram": [], "n": []}
+        for lang, (h, n, codes) in found.items():
+            flat = codes.astype("<u4").tobytes().decode("utf-32-le")
+            out["batch"].append(pa.array(np.full(len(h), batch)))
+            out["lang"].append(pa.array([lang] * len(h)))
+            out["gram"].append(pa.array([flat[k : k + ORDER] for k in range(0, len(flat), ORDER)]))
+            out["n"].append(pa.array(n.astype(np.int64)))
+        types = {"batch": pa.int64(), "lang": pa.string(), "gram": pa.string(), "n": pa.int64()}
+        return pa.table({c: pa.chunked_array(x, types[c]) for c, x in out.items()})
+
+    return dealt.groupBy("batch").applyInArrow(tidy_group(count), "batch bigint, lang string, gram string, n bigint")
+
+
+def suffix(gram: str = "gram") -> Column:
+    return F.expr(f"substring({gram}, 2)")
+
+
+def orders(counts: DataFrame) -> DataFrame:
+    """lang, k, gram, p, back of the grams of k characters, from the counts (lang, gram, n) of the longest:
+    the discounted probability before interpolation, and what the context hands to the order below."""
+    level = counts.select("lang", "gram", "n")
+    every = level.select("lang", F.lit(ORDER).alias("k"), "gram", "n")
+    for k in range(ORDER - 1, 0, -1):
+        level = level.groupBy("lang", suffix().alias("gram")).agg(F.count("*").alias("n"))
+        every = every.unionByName(level.select("lang", F.lit(k).alias("k"), "gram", "n"))
+    every = cut(every, "grams")
+    of = lambda i: F.count_if(F.col("n") == i).cast("double")
+    c = every.groupBy("lang", "k").agg(*[of(i).alias(f"n{i}") for i in (1, 2, 3, 4)])
+    y = F.coalesce(F.try_divide("n1", F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
+    discount = lambda i: F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), F.coalesce(i - (i + 1) * y * F.try_divide(f"n{i + 1}", f"n{i}"), F.lit(i / 2))))
+    c = c.select("lang", "k", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
+    g = every.join(c, ["lang", "k"])
+    g = g.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+    # A context has at most as many grams as there are characters.
+    context = W.partitionBy("lang", "k", F.expr("substring(gram, 1, k - 1)"))
+    g = g.withColumn("all", F.sum("n").over(context)).withColumn("off", F.sum("d").over(context))
+    return g.select("lang", "k", "gram", ((F.col("n") - F.col("d")) / F.col("all")).alias("p"), (F.col("off") / F.col("all")).alias("back"))
+
+
+def model(counts: DataFrame) -> DataFrame:
+    """lang, gram, log_p: the interpolated log-probability of the last character of each 6-gram."""
+    each = cut(orders(counts), "orders")
+    size = each.where("k = 1").groupBy("lang").agg((F.lit(1.0) / (F.count("*") + 1)).alias("uniform"))
+    p = each.where("k = 1").join(size, "lang").select("lang", "gram", (F.col("p") + F.col("back") * F.col("uniform")).alias("p"))
+    for k in range(2, ORDER + 1):
+        below = p.select("lang", F.col("gram").alias("rest"), F.col("p").alias("low"))
+        own = each.where(F.col("k") == k).withColumn("rest", suffix())
+        p = own.join(below, ["lang", "rest"]).select("lang", "gram", (F.col("p") + F.col("back") * F.col("low")).alias("p"))
+    return p.select("lang", "gram", F.log("p").alias("log_p"))
+
+
+ROW = "row bigint, doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_ppl double"
+
+
+def scored(dealt: DataFrame, answers: DataFrame) -> DataFrame:
+    """ROW of each text: the base counts and the mean negative log-probability of its symbols."""
+
+    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        if known.num_rows:
+            langs, log_p = known.column("lang").to_numpy(), known.column("log_p").to_numpy()
+            codes = np.frombuffer("".join(known.column("gram").to_pylist()).encode("utf-32-le"), np.uint32)
+            h = hashed(codes)[::ORDER]
+            for lang in set(langs):
+                m = np.flatnonzero(langs == lang)
+                m = m[np.argsort(h[m])]
+                tables[lang] = h[m], log_p[m]
+        rows = texts.num_rows
+        found: list[tuple] = [()] * rows
+        for lang, places, own in by_language(texts):
+            base_counts = [base(t, t.split(), x) for t, x in zip(own, per_text(own), strict=True)]
+            ppl: list[float | None] = [None] * len(own)
+            some = [i for i, t in enumerate(own) if t.strip(BLANK)]
+            if some:
+                codes, of = symbols([own[i].decode() for i in some])
+                at = np.flatnonzero(of[: len(of) - ORDER + 1] == of[ORDER - 1 :])
+                h, of = hashed(codes)[at], of[at]
+                order = np.argsort(h)
+                h = h[order]
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                keys, log_p = tables[lang]
+                p = np.empty(len(h))
+                p[order] = np.repeat(log_p[np.searchsorted(keys, h[first])], np.diff(np.append(first, len(h))))
+                mean = np.bincount(of, weights=p) / np.bincount(of)
+                for i, v in zip(some, mean.tolist(), strict=True):
+                    ppl[i] = -v
+            for place, counts, v in zip(places, base_counts, ppl, strict=True):
+                found[place] = (*counts, v)
+        columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.int64()] * 5 + [pa.float64()], strict=True)] if rows else [pa.array([], t) for t in [pa.int64()] * 5 + [pa.float64()]]
+        same = {c: texts.column(c) for c in ("row", "doc_id", "lang")}
+        return pa.table(same | dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"), columns, strict=True)))
+
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, ROW)
+
+
+def assess(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """The base counts, perplexity, its band, base_failed and kept of every document.
 
     A null text has no words; it and every text with fewer than ``min_words`` words, or with more than
-    ``max_repeat`` per cent of them in repeated windows, fails the base rules. Null languages share a
-    model, as do the languages beyond the LANGUAGES most frequent. Repeated rows count as often as they
-    occur. An empty table gives an empty result.
+    ``max_repeat`` per cent of them in repeated windows, fails the base rules. Every lang value has a
+    model of its own, null too. Rows that share an id, or are equal, count as often as they occur. Extra
+    columns are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    top = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    names = [r["lang"] for r in top if r["lang"] is not None]
-    lang = F.when(F.col("lang").isin(names), F.col("lang")).otherwise(F.lit(REST)) if names else F.lit(REST)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text")
-    rows = orders(cut(gram_counts(own), "grams4")).toArrow()  # at most 4 * 2^24 grams a language, far fewer in any script
-    model: dict[str, dict[int, tuple]] = {}
-    if rows.num_rows:
-        langs, k, code, p, back = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "k", "code", "p", "back"))
-        for name in set(langs):
-            for order in range(1, ORDER + 1):
-                m = np.flatnonzero((langs == name) & (k == order))
-                m = m[np.argsort(code[m])]
-                contexts, first = np.unique(code[m] >> 6, return_index=True)
-                model.setdefault(name, {})[order] = (code[m], p[m], contexts, back[m][first])
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = {k: Model(v) for k, v in shared.value.items()}
-        for b in batches:
-            out = []
-            langs, texts = b.column(1).to_pylist(), as_bytes(b.column(2))
-            for lo, hi in chunks(texts):
-                words = [t.split() for t in texts[lo:hi]]
-                met: dict[str, set] = {}
-                for lang, ws in zip(langs[lo:hi], words, strict=True):
-                    if ws:
-                        met.setdefault(lang, set()).update(ws)
-                for lang, new in met.items():
-                    models[lang].learn(new)
-                for lang, text, ws, h in zip(langs[lo:hi], texts[lo:hi], words, per_text(texts[lo:hi]), strict=True):
-                    out.append((*base(text, ws, h), models[lang].score(ws) if ws else None))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.float64()], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
-
-    schema = "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_ppl double"
-    scored = cut(own.mapInArrow(tidy(run), schema), "scored")
+    prepare(docs.sparkSession)
+    # A text of null language is one of the language '', others have a letter before their name.
+    lang = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    if shared_ids(docs):
+        own = cut(own.withColumn("row", F.monotonically_increasing_id()), "rows")  # written, so that a row keeps its number
+    else:
+        own = own.withColumn("row", F.col("doc_id"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = own.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(max(1, -(-size // GROUP)))).cast("long"))
+    asks = cut(asked(dealt), "asked")
+    counts = asks.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    answers = cut(asks.select("batch", "lang", "gram").join(model(counts), ["lang", "gram"]), "answers")
+    drop(asks)
+    rows = cut(scored(dealt, answers), "scored")
+    drop(answers)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    scored = scored.withColumn("base_failed", failed)
-    q = scored.where(~failed).groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"))
+    rows = rows.withColumn("base_failed", failed)
+    q = rows.where(~failed).groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"))
     spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.01))
-    bands = q.select("lang", (F.col("q")[0] - band * spread).alias("low"), (F.col("q")[1] + band * spread).alias("high"))
-    out = scored.join(F.broadcast(bands), "lang", "left")  # at most LANGUAGES + 1 rows
+    bands = q.select("lang", (F.col("q")[0] - below * spread).alias("low"), (F.col("q")[1] + above * spread).alias("high"))
+    out = rows.join(bands, "lang", "left")
     verdict = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
