@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import fm, lines, minhash, mixing, packing
-from larkspur.llm.common import crc_mod, cut, side, table
+from larkspur.llm.common import crc_mod, cut, keyed, side, table
 from larkspur.llm.queries import CAPACITY, tokenizer
 
 #: Per cent of Jaccard similarity from which the near-dedup stage links documents.
@@ -29,17 +29,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near duplicates."""
+    """Keeps the document of smallest id of each group of near duplicates. Rows that share an id are
+    judged by their own texts; rows without an id, or without words, stay."""
     groups = minhash.near_duplicates(docs, percent=SIMILAR)
-    going = cut(groups.where(~F.col("kept")).select("doc_id").distinct(), "going")
-    return docs.join(side(going), "doc_id", "left_anti").select(*docs.columns)
+    going = cut(groups.where(~F.col("first")).select(F.col("doc_id").alias("_id"), F.col("v").alias("_v")).distinct(), "going")
+    _, v, _ = keyed(docs)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"), F.col("doc_id").cast("long").alias("_key"), v.alias("_version"))
+    left = rows.join(side(going), (F.col("_key") == F.col("_id")) & (F.col("_version") == F.col("_v")), "left_anti")
+    return left.select(*[F.col(f"_d.`{c}`").alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows repeat for sources below their target."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    taken = docs.join(side(cut(copies, "copies")), docs["doc_id"].eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    """Each row as often as the mix takes it; rows repeat for sources below their target."""
+    rows = docs.select(F.monotonically_increasing_id().alias("_place"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
+    rows = cut(rows, "numbered")
+    mixed = mixing.mix(rows.select("_place", "_d.doc_id", "_d.text", "_d.source"), ["_place"])
+    copies = cut(mixed.where("copies > 0").select("_place", F.col("copies").alias("_copies")), "copies")
+    taken = rows.join(side(copies), "_place").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.select(*[F.col(f"_d.`{c}`").alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
