@@ -1,16 +1,17 @@
 """Quality rules with an n-gram perplexity band for each language.
 
 Base rules count words, symbols, repeated lines and repeated three-word windows. The method's verdict
-comes from a modified Kneser-Ney model of each language: 6-grams of characters that run across words, so
-that word order counts. Spark counts the 6-grams of the whole corpus; the lower orders' continuation
+comes from a modified Kneser-Ney model of each language: 5-grams of characters that run across words, so
+that word order counts. Spark counts the 5-grams of the whole corpus; the lower orders' continuation
 counts, discounts and interpolated probabilities follow by aggregations and joins on the grams
-themselves, so the model grows with the corpus and no gram shares a counter with another.
+themselves, so the model grows with the corpus.
 
 Nothing of the model is collected or broadcast. Texts are dealt out in groups of bounded size. A group
-asks once for each of its distinct 6-grams, gets their probabilities by a join, and keeps them in arrays
-sorted by 64-bit hashes of the grams, in which the texts' grams are looked up together. A document is
-rejected where its perplexity leaves its language's band, which is set by the quartiles of all its
-documents, separately below and above.
+asks once for each of its distinct 5-grams, in one packed row for each shard of the model. A shard holds
+its grams' probabilities in an array sorted by the grams' 64-bit hashes, and answers row by row; a group
+looks its texts' grams up in its answers, sorted in the same way. A document is rejected where its
+perplexity leaves its language's band, which is set by the quartiles of all its documents, separately
+below and above.
 
 Characters are code points as they are; digits are one symbol, other control characters too, and a
 stretch of blanks is one blank.
@@ -28,7 +29,7 @@ from pyspark.sql import Window as W
 
 from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, mix, per_text, prepare, shared_ids, tidy_group, window_hashes
 
-ORDER = 6
+ORDER = 5
 #: Symbols that no text has: before its first character and after its last.
 START, END = 2, 3
 SYMBOLS = b"#*$%&|<>"
@@ -36,8 +37,8 @@ BLANK = b" \t\n\x0b\x0c\r"
 #: How far a document's log-perplexity may fall below, or rise above, the quartiles of its language, in
 #: spreads between them.
 BELOW, ABOVE = 3.0, 2.0
-#: Bytes of text in a group.
-GROUP = 12 << 20
+#: Bytes of text in a group, and groups whose distinct grams are answered by one shard of the model.
+GROUP, SHARED = 24 << 20, 8
 _P = U64(0x9E3779B97F4A7C15)
 
 
@@ -72,14 +73,12 @@ def hashed(codes: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def by_language(group: pa.Table) -> Iterator[tuple[str, list[int], list[bytes]]]:
-    """Languages of a group with the places and texts of their rows, about a megabyte at once."""
+def by_language(group: pa.Table) -> Iterator[tuple[str, Iterator[list[str]]]]:
+    """Languages of a group, with their texts that are not blank, about a megabyte at once."""
     langs, texts = group.column("lang").to_pylist(), as_bytes(group.column("text").combine_chunks())
     for lang in sorted(set(langs)):
-        rows = [i for i, x in enumerate(langs) if x == lang]
-        own = [texts[i] for i in rows]
-        for lo, hi in chunks(own, 1 << 20, 100_000):
-            yield lang, rows[lo:hi], own[lo:hi]
+        own = [t for t, x in zip(texts, langs, strict=True) if x == lang and t.strip(BLANK)]
+        yield lang, ([t.decode() for t in own[lo:hi]] for lo, hi in chunks(own, 1 << 20, 100_000))
 
 
 def base(text: bytes, words: list[bytes], hashes: np.ndarray) -> tuple[int, int, int, int, int]:
@@ -100,44 +99,126 @@ def base(text: bytes, words: list[bytes], hashes: np.ndarray) -> tuple[int, int,
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def asked(dealt: DataFrame) -> DataFrame:
-    """batch, lang, gram, n: the distinct 6-grams of each group of texts with their counts."""
+def distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes, counts and symbols (a row for each) of the distinct grams of some texts."""
+    codes, of = symbols(texts)
+    h = hashed(codes)
+    at = np.flatnonzero(of[: len(h)] == of[ORDER - 1 :])
+    h = h[at]
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[first], np.diff(np.append(first, len(h))), codes[at[order[first]][:, None] + np.arange(ORDER)]
+
+
+def merged(h: np.ndarray, n: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of grams that may repeat."""
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[first], np.add.reduceat(n[order], first), codes[order[first]]
+
+
+def packed(codes: np.ndarray) -> bytes:
+    return codes.astype("<u4").tobytes().decode("utf-32-le").encode()
+
+
+def unpacked(grams: bytes) -> np.ndarray:
+    return np.frombuffer(grams.decode().encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+
+
+def row_hashes(codes: np.ndarray) -> np.ndarray:
+    """The hash of each row of symbols, as ``hashed`` gives it."""
+    m = mix(codes.astype(U64) + U64(1))
+    h = m[:, 0].copy()
+    for k in range(1, ORDER):
+        h *= _P
+        h += m[:, k]
+    return mix(h)
+
+
+ASKED = "batch bigint, lang string, shard bigint, grams binary, n binary"
+
+
+def asked(dealt: DataFrame, shards: int) -> DataFrame:
+    """ASKED: the distinct grams of each group of texts, by language and shard, with their counts."""
 
     def count(group: pa.Table) -> pa.Table:
-        found: dict[str, list] = {}
-        for lang, _, texts in by_language(group):
-            if not any(t.strip(BLANK) for t in texts):
+        batch = group.column("batch")[0].as_py()
+        rows: list[tuple] = []
+        for lang, texts in by_language(group):
+            parts, held = [], 0
+            for own in texts:
+                parts.append(distinct(own))
+                held += len(parts[-1][0])
+                if held > 2_000_000:
+                    parts = [merged(*map(np.concatenate, zip(*parts, strict=True)))]
+                    held = 0
+            if not parts:
                 continue
-            own = [t.decode() for t in texts if t.strip(BLANK)]
-            codes, of = symbols(own)
-            at = np.flatnonzero(of[: len(of) - ORDER + 1] == of[ORDER - 1 :])
-            h = hashed(codes)[at]
-            order = np.argsort(h)
-            h, at = h[order], at[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            n = np.diff(np.append(first, len(h)))
-            have = found.get(lang)
-            new = codes[at[first][:, None] + np.arange(ORDER)]
-            if have is None:
-                found[lang] = [h[first], n, new]
-                continue
-            both = np.concatenate([have[0], h[first]])
-            order = np.argsort(both, kind="stable")
-            both = both[order]
-            head = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-            found[lang] = [both[head], np.add.reduceat(np.concatenate([have[1], n])[order], head), np.concatenate([have[2], new])[order[head]]]
-        batch = group.column("batch")[0].as_py() if group.num_rows else 0
-        out = {"batch": [], "lang": [], "gram": [], "n": []}
-        for lang, (h, n, codes) in found.items():
+            h, n, codes = merged(*map(np.concatenate, zip(*parts, strict=True)))
+            shard = (h % U64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1)) if shards < len(h) else np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(h))
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if z > a:
+                    some = order[a:z]
+                    rows.append((batch, lang, int(shard[some[0]]), packed(codes[some]), n[some].astype(np.uint32).tobytes()))
+        types = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary())
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.table({c.split()[0]: pa.array(x, t) for c, x, t in zip(ASKED.split(", "), columns, types, strict=True)})
+
+    return dealt.select("batch", "lang", "text").groupBy("batch").applyInArrow(tidy_group(count), ASKED)
+
+
+def counted(asks: DataFrame) -> DataFrame:
+    """lang, shard, gram, n over all groups."""
+
+    def add(group: pa.Table) -> pa.Table:
+        langs = group.column("lang").to_pylist()
+        out = {"lang": [], "gram": [], "n": []}
+        for lang in sorted(set(langs)):
+            rows = [i for i, x in enumerate(langs) if x == lang]
+            codes = np.concatenate([unpacked(group.column("grams")[i].as_py()) for i in rows])
+            n = np.concatenate([np.frombuffer(group.column("n")[i].as_py(), np.uint32) for i in rows]).astype(np.int64)
+            _, n, codes = merged(row_hashes(codes), n, codes)
             flat = codes.astype("<u4").tobytes().decode("utf-32-le")
-            out["batch"].append(pa.array(np.full(len(h), batch)))
-            out["lang"].append(pa.array([lang] * len(h)))
-            out["gram"].append(pa.array([flat[k : k + ORDER] for k in range(0, len(flat), ORDER)]))
-            out["n"].append(pa.array(n.astype(np.int64)))
-        types = {"batch": pa.int64(), "lang": pa.string(), "gram": pa.string(), "n": pa.int64()}
-        return pa.table({c: pa.chunked_array(x, types[c]) for c, x in out.items()})
+            out["lang"] += [lang] * len(n)
+            out["gram"] += [flat[k : k + ORDER] for k in range(0, len(flat), ORDER)]
+            out["n"].append(n)
+        shard = np.full(len(out["lang"]), group.column("shard")[0].as_py())
+        return pa.table({"lang": pa.array(out["lang"], pa.string()), "shard": pa.array(shard), "gram": pa.array(out["gram"], pa.string()), "n": pa.array(np.concatenate(out["n"]))})
+
+    return asks.select("shard", "lang", "grams", "n").groupBy("shard").applyInArrow(tidy_group(add), "lang string, shard bigint, gram string, n bigint")
+
+
+ANSWERED = "batch bigint, lang string, grams binary, log_p binary"
+
+
+def answered(asks: DataFrame, known: DataFrame) -> DataFrame:
+    """ANSWERED: each row of grams with the log-probabilities of its last characters."""
+
+    def look_up(rows: pa.Table, shard: pa.Table) -> pa.Table:
+        tables = sorted_tables(shard.column("lang").to_pylist(), np.frombuffer("".join(shard.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER), shard.column("log_p").to_numpy())
+        log_p = []
+        for lang, grams in zip(rows.column("lang").to_pylist(), rows.column("grams").to_pylist(), strict=True):
+            keys, values = tables[lang]
+            log_p.append(values[np.searchsorted(keys, row_hashes(unpacked(grams)))].astype(np.float32).tobytes())
+        return pa.table({"batch": rows.column("batch"), "lang": rows.column("lang"), "grams": rows.column("grams"), "log_p": pa.array(log_p, pa.binary())})
+
+    left = asks.select("batch", "lang", "shard", "grams").groupBy("shard")
+    return left.cogroup(known.groupBy("shard")).applyInArrow(look_up, ANSWERED)
+
 
-    return dealt.groupBy("batch").applyInArrow(tidy_group(count), "batch bigint, lang string, gram string, n bigint")
+def sorted_tables(langs: list[str], codes: np.ndarray, log_p: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Sorted hashes and log-probabilities of each language's grams."""
+    out, h = {}, row_hashes(codes)
+    names, of = np.unique(np.array(langs, dtype=object), return_inverse=True) if langs else ([], np.empty(0, np.int64))
+    for i, lang in enumerate(names):
+        m = np.flatnonzero(of == i)
+        m = m[np.argsort(h[m])]
+        out[lang] = h[m], log_p[m]
+    return out
 
 
 def suffix(gram: str = "gram") -> Column:
@@ -145,13 +226,13 @@ def suffix(gram: str = "gram") -> Column:
 
 
 def orders(counts: DataFrame) -> DataFrame:
-    """lang, k, gram, p, back of the grams of k characters, from the counts (lang, gram, n) of the longest:
-    the discounted probability before interpolation, and what the context hands to the order below."""
+    """lang, k, shard, gram, p, back of the grams of k characters, from the counts (lang, shard, gram, n) of
+    the longest: the discounted probability before interpolation, and what the context hands to the order below."""
     level = counts.select("lang", "gram", "n")
-    every = level.select("lang", F.lit(ORDER).alias("k"), "gram", "n")
+    every = counts.select("lang", F.lit(ORDER).alias("k"), "shard", "gram", "n")
     for k in range(ORDER - 1, 0, -1):
         level = level.groupBy("lang", suffix().alias("gram")).agg(F.count("*").alias("n"))
-        every = every.unionByName(level.select("lang", F.lit(k).alias("k"), "gram", "n"))
+        every = every.unionByName(level.select("lang", F.lit(k).alias("k"), F.lit(None).cast("long").alias("shard"), "gram", "n"))
     every = cut(every, "grams")
     of = lambda i: F.count_if(F.col("n") == i).cast("double")
     c = every.groupBy("lang", "k").agg(*[of(i).alias(f"n{i}") for i in (1, 2, 3, 4)])
@@ -163,63 +244,59 @@ def orders(counts: DataFrame) -> DataFrame:
     # A context has at most as many grams as there are characters.
     context = W.partitionBy("lang", "k", F.expr("substring(gram, 1, k - 1)"))
     g = g.withColumn("all", F.sum("n").over(context)).withColumn("off", F.sum("d").over(context))
-    return g.select("lang", "k", "gram", ((F.col("n") - F.col("d")) / F.col("all")).alias("p"), (F.col("off") / F.col("all")).alias("back"))
+    return g.select("lang", "k", "shard", "gram", ((F.col("n") - F.col("d")) / F.col("all")).alias("p"), (F.col("off") / F.col("all")).alias("back"))
 
 
 def model(counts: DataFrame) -> DataFrame:
-    """lang, gram, log_p: the interpolated log-probability of the last character of each 6-gram."""
+    """lang, shard, gram, log_p: the interpolated log-probability of the last character of each gram."""
     each = cut(orders(counts), "orders")
     size = each.where("k = 1").groupBy("lang").agg((F.lit(1.0) / (F.count("*") + 1)).alias("uniform"))
-    p = each.where("k = 1").join(size, "lang").select("lang", "gram", (F.col("p") + F.col("back") * F.col("uniform")).alias("p"))
+    p = each.where("k = 1").join(size, "lang").select("lang", "shard", "gram", (F.col("p") + F.col("back") * F.col("uniform")).alias("p"))
     for k in range(2, ORDER + 1):
         below = p.select("lang", F.col("gram").alias("rest"), F.col("p").alias("low"))
         own = each.where(F.col("k") == k).withColumn("rest", suffix())
-        p = own.join(below, ["lang", "rest"]).select("lang", "gram", (F.col("p") + F.col("back") * F.col("low")).alias("p"))
-    return p.select("lang", "gram", F.log("p").alias("log_p"))
+        p = own.join(below, ["lang", "rest"]).select("lang", "shard", "gram", (F.col("p") + F.col("back") * F.col("low")).alias("p"))
+    return p.select("lang", "shard", "gram", F.log("p").alias("log_p"))
 
 
-ROW = "row bigint, doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_ppl double"
+ROW = "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_ppl double"
 
 
 def scored(dealt: DataFrame, answers: DataFrame) -> DataFrame:
     """ROW of each text: the base counts and the mean negative log-probability of its symbols."""
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        if known.num_rows:
-            langs, log_p = known.column("lang").to_numpy(), known.column("log_p").to_numpy()
-            codes = np.frombuffer("".join(known.column("gram").to_pylist()).encode("utf-32-le"), np.uint32)
-            h = hashed(codes)[::ORDER]
-            for lang in set(langs):
-                m = np.flatnonzero(langs == lang)
-                m = m[np.argsort(h[m])]
-                tables[lang] = h[m], log_p[m]
-        rows = texts.num_rows
-        found: list[tuple] = [()] * rows
-        for lang, places, own in by_language(texts):
-            base_counts = [base(t, t.split(), x) for t, x in zip(own, per_text(own), strict=True)]
-            ppl: list[float | None] = [None] * len(own)
-            some = [i for i, t in enumerate(own) if t.strip(BLANK)]
-            if some:
-                codes, of = symbols([own[i].decode() for i in some])
-                at = np.flatnonzero(of[: len(of) - ORDER + 1] == of[ORDER - 1 :])
-                h, of = hashed(codes)[at], of[at]
+        grams = [unpacked(x) for x in known.column("grams").to_pylist()]
+        langs = [x for x, g in zip(known.column("lang").to_pylist(), grams, strict=True) for _ in range(len(g))]
+        log_p = [np.frombuffer(x, np.float32) for x in known.column("log_p").to_pylist()]
+        tables = sorted_tables(langs, np.concatenate(grams) if grams else np.empty((0, ORDER), np.uint32), np.concatenate(log_p).astype(np.float64) if log_p else np.empty(0))
+        all_langs, raw = texts.column("lang").to_pylist(), as_bytes(texts.column("text").combine_chunks())
+        found: list[tuple] = [()] * len(raw)
+        for lo, hi in chunks(raw, 1 << 20, 100_000):
+            for i, (t, x) in enumerate(zip(raw[lo:hi], per_text(raw[lo:hi]), strict=True), lo):
+                found[i] = (*base(t, t.split(), x), None)
+            for lang in set(all_langs[lo:hi]):
+                some = [i for i in range(lo, hi) if all_langs[i] == lang and found[i][0] + len(raw[i].strip(BLANK))]
+                if not some:
+                    continue
+                codes, of = symbols([raw[i].decode() for i in some])
+                h = hashed(codes)
+                at = np.flatnonzero(of[: len(h)] == of[ORDER - 1 :])
+                h, of = h[at], of[at]
                 order = np.argsort(h)
                 h = h[order]
                 first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                keys, log_p = tables[lang]
-                p = np.empty(len(h))
-                p[order] = np.repeat(log_p[np.searchsorted(keys, h[first])], np.diff(np.append(first, len(h))))
-                mean = np.bincount(of, weights=p) / np.bincount(of)
+                keys, values = tables[lang]
+                each = np.repeat(values[np.searchsorted(keys, h[first])], np.diff(np.append(first, len(h))))
+                mean = np.bincount(of[order], weights=each, minlength=len(some)) / np.bincount(of, minlength=len(some))
                 for i, v in zip(some, mean.tolist(), strict=True):
-                    ppl[i] = -v
-            for place, counts, v in zip(places, base_counts, ppl, strict=True):
-                found[place] = (*counts, v)
-        columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.int64()] * 5 + [pa.float64()], strict=True)] if rows else [pa.array([], t) for t in [pa.int64()] * 5 + [pa.float64()]]
-        same = {c: texts.column(c) for c in ("row", "doc_id", "lang")}
+                    found[i] = (*found[i][:5], -v)
+        types = [pa.int64()] * 5 + [pa.float64()]
+        columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 6, types, strict=True)]
+        same = {c: texts.column(c) for c in ("doc_id", "lang")}
         return pa.table(same | dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"), columns, strict=True)))
 
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, ROW)
+    return dealt.select("batch", "doc_id", "lang", "text").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, ROW)
 
 
 def assess(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, below: float = BELOW, above: float = ABOVE) -> DataFrame:
@@ -239,10 +316,11 @@ def assess(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, below: fl
     else:
         own = own.withColumn("row", F.col("doc_id"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = own.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(max(1, -(-size // GROUP)))).cast("long"))
-    asks = cut(asked(dealt), "asked")
-    counts = asks.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    answers = cut(asks.select("batch", "lang", "gram").join(model(counts), ["lang", "gram"]), "answers")
+    groups = max(1, -(-size // GROUP))
+    dealt = own.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long"))
+    asks = cut(asked(dealt, -(-groups // SHARED)), "asked")
+    known = cut(model(cut(counted(asks), "counts")), "model")
+    answers = cut(answered(asks, known), "answers")
     drop(asks)
     rows = cut(scored(dealt, answers), "scored")
     drop(answers)
