@@ -64,7 +64,7 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 #: Rows, and bytes of its (compressed) files, of a side that may be broadcast; a larger one is shuffled.
-BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 4 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 1 << 20
 
 
 def side(table: DataFrame) -> DataFrame:

@@ -13,8 +13,10 @@ anchors have two or more in every row. The estimate is never too low, so no repe
 batch asks once for an anchor, a passage that every document has is no larger group than another.
 
 The second pass hashes only the windows that may repeat, to 96 bits. A task first settles repeats among
-the windows of a batch, then sends one earliest place for each distinct window to the shard of that
-window's hash; shards find the earliest place of all. All steps sort arrays, no row is made for a window.
+the windows of a batch, then sends one earliest place for each distinct window to the shard of its
+anchor, which neighbouring windows share, or of its own hash where the sketch puts the anchor at OFTEN or
+more, since a very common phrase may stand in as many different windows. Shards find the earliest place
+of all. All steps sort arrays, no row is made for a window.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ BYTES_PER_ANCHOR = 30
 #: Anchors that a batch of documents gathers before it is sketched.
 SKETCHED = 400_000
 #: Windows that a task gathers before it settles and sends them; and windows of a shard.
-FLUSH, SHARD = 600_000, 600_000
+FLUSH, SHARD = 600_000, 1_500_000
+#: Places of an anchor from which its windows are dealt out by their own hashes.
+OFTEN = 100_000
 
 
 def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +84,7 @@ def sketches(own: DataFrame, blocks: int) -> DataFrame:
             new = np.ones(len(every), bool)
             new[1:] = every[1:] != every[:-1]
             at = np.flatnonzero(new)
-            n = np.minimum(np.diff(np.append(at, len(every))), 2).astype(np.uint8)
+            n = np.minimum(np.diff(np.append(at, len(every))), (1 << 16) - 1).astype(np.uint16)
             anchor = every[at]
             block = block_of(anchor, blocks)
             order = np.argsort(block, kind="stable")
@@ -133,63 +137,72 @@ def cell_keys(block: np.ndarray | int, one: np.ndarray, two: np.ndarray) -> np.n
 
 
 def estimated(parts: DataFrame) -> DataFrame:
-    """batch, hot: the cells of a batch that the merged sketch puts at two or more in both rows."""
+    """batch, hot, often: the cells of a batch that the merged sketch puts at two or more in both rows, and
+    whether at OFTEN or more."""
 
     def merge(group: pa.Table) -> pa.Table:
         cells = [[np.frombuffer(x, np.uint32) for x in group.column(c).to_pylist()] for c in ("one", "two")]
-        rows = np.zeros((DEPTH, WIDTH), np.uint32)
+        rows = np.zeros((DEPTH, WIDTH), np.int64)
         for k, m in enumerate(group.column("n").to_pylist()):
             for row, touched in zip(rows, cells, strict=True):
-                np.add.at(row, touched[k], np.frombuffer(m, np.uint8))
-        batch, hot = [], []
+                np.add.at(row, touched[k], np.frombuffer(m, np.uint16))
+        batch, hot, often = [], [], []
         for key, block, a, b in zip(group.column("batch").to_pylist(), group.column("block").to_pylist(), *cells, strict=True):
-            some = np.flatnonzero(np.minimum(rows[0][a], rows[1][b]) >= 2)
+            n = np.minimum(rows[0][a], rows[1][b])
+            some = np.flatnonzero(n >= 2)
             if len(some):
                 batch.append(key)
                 hot.append(cell_keys(block, a[some], b[some]).tobytes())
-        return pa.table({"batch": pa.array(batch, pa.int64()), "hot": pa.array(hot, pa.binary())})
+                often.append((n[some] >= OFTEN).astype(np.uint8).tobytes())
+        return pa.table({"batch": pa.array(batch, pa.int64()), "hot": pa.array(hot, pa.binary()), "often": pa.array(often, pa.binary())})
 
-    return parts.groupBy("block").applyInArrow(tidy_group(merge), "batch bigint, hot binary")
+    return parts.groupBy("block").applyInArrow(tidy_group(merge), "batch bigint, hot binary, often binary")
 
 
 def repeated_anchors(owners: DataFrame, hot: DataFrame, blocks: int) -> DataFrame:
-    """k, v, cells: the anchors of each document that may repeat. A batch's rows are bounded by SKETCHED."""
+    """k, v, cells, often: the anchors of each document that may repeat. A batch's rows are bounded by SKETCHED."""
 
     def pick(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = np.unique(np.concatenate([np.frombuffer(x, U64) for x in right.column("hot").to_pylist()])) if right.num_rows else np.empty(0, U64)
-        out = ([], [], [])
+        known, often, out = np.empty(0, U64), np.empty(0, np.uint8), ([], [], [], [])
+        if right.num_rows:
+            known = np.concatenate([np.frombuffer(x, U64) for x in right.column("hot").to_pylist()])
+            often = np.concatenate([np.frombuffer(x, np.uint8) for x in right.column("often").to_pylist()])
+            order = np.argsort(known)
+            known, often = known[order], often[order]
         if len(known):
             for k, v, x in zip(left.column("k").to_pylist(), left.column("v").to_pylist(), left.column("anchors").to_pylist(), strict=True):
                 own = np.frombuffer(x, U64)
                 key = cell_keys(block_of(own, blocks), *cells_of(own))
-                mine = own[known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key]
-                if len(mine):
-                    for column, value in zip(out, (k, v, mine.tobytes()), strict=True):
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                mine = known[at] == key
+                if mine.any():
+                    for column, value in zip(out, (k, v, own[mine].tobytes(), often[at[mine]].tobytes()), strict=True):
                         column.append(value)
-        return pa.table({c: pa.array(x, t) for c, x, t in zip(("k", "v", "cells"), out, (pa.int64(), pa.int64(), pa.binary()), strict=True)})
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("k", "v", "cells", "often"), out, types, strict=True)})
 
-    return owners.groupBy("batch").cogroup(hot.groupBy("batch")).applyInArrow(pick, "k bigint, v bigint, cells binary")
+    return owners.groupBy("batch").cogroup(hot.groupBy("batch")).applyInArrow(pick, "k bigint, v bigint, cells binary, often binary")
 
 
 class Batch:
-    """Windows on their way: their two hashes, document (k, v) and start."""
+    """Windows on their way: what deals them out, their two hashes, document (k, v) and start."""
 
     def __init__(self, shards: int):
         self.shards, self.n = shards, 0
-        self.lists: tuple[list, ...] = ([], [], [], [], [])
+        self.lists: tuple[list, ...] = ([], [], [], [], [], [])
 
-    def add(self, k: int, v: int, hashes: np.ndarray, checks: np.ndarray, starts: np.ndarray) -> None:
-        for column, x in zip(self.lists, (hashes, checks, np.full(len(starts), k), np.full(len(starts), v), starts), strict=True):
+    def add(self, k: int, v: int, dealt: np.ndarray, hashes: np.ndarray, checks: np.ndarray, starts: np.ndarray) -> None:
+        for column, x in zip(self.lists, (dealt, hashes, checks, np.full(len(starts), k), np.full(len(starts), v), starts), strict=True):
             column.append(x)
         self.n += len(starts)
 
     def settled(self) -> Iterator[tuple]:
         """Rows of SCHEMA: repeats within the batch have shard -1."""
-        hashes, checks, k, v, starts = map(np.concatenate, self.lists)
-        self.lists, self.n = ([], [], [], [], []), 0
+        dealt, hashes, checks, k, v, starts = map(np.concatenate, self.lists)
+        self.lists, self.n = ([], [], [], [], [], []), 0
         keep, again = earliest(hashes, checks, k, v, starts)
         yield from repeats(k[again], v[again], starts[again])
-        shard = (mix(hashes[keep]) % U64(self.shards)).astype(np.int64)
+        shard = (mix(dealt[keep]) % U64(self.shards)).astype(np.int64)
         order = np.lexsort((starts[keep], v[keep], k[keep], shard))
         keep, shard = keep[order], shard[order]
         cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
@@ -238,26 +251,28 @@ def made(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def candidates(texts: DataFrame, shards: int) -> DataFrame:
-    """Windows whose anchors may repeat, from (k, v, text, cells), settled batch by batch."""
+    """Windows whose anchors may repeat, from (k, v, text, cells, often), settled batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = Batch(shards)
         for b in batches:
             keys, versions, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))
             hashed = (w for lo, hi in chunks(texts) for w in per_text(texts[lo:hi]))
-            for k, v, words, cells in zip(keys, versions, hashed, b.column(3).to_pylist(), strict=True):
+            for k, v, words, cells, often in zip(keys, versions, hashed, b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 anchor, _ = anchors(words)
                 known = np.frombuffer(cells, U64)
                 at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
                 starts = np.flatnonzero(known[at] == anchor)
                 if len(starts):
-                    got.add(k, v, window_hashes(words, WINDOW)[starts], (window_hashes(mix(words), WINDOW)[starts] >> U64(32)).astype(np.uint32), starts)
+                    hashes = window_hashes(words, WINDOW)[starts]
+                    dealt = np.where(np.frombuffer(often, np.uint8)[at[starts]] > 0, hashes, anchor[starts])
+                    got.add(k, v, dealt, hashes, (window_hashes(mix(words), WINDOW)[starts] >> U64(32)).astype(np.uint32), starts)
                 if got.n > FLUSH:
                     yield made(list(got.settled()))
         if got.n:
             yield made(list(got.settled()))
 
-    return texts.select("k", "v", "text", "cells").mapInArrow(tidy(run), SCHEMA)
+    return texts.select("k", "v", "text", "cells", "often").mapInArrow(tidy(run), SCHEMA)
 
 
 def across(rows: DataFrame) -> DataFrame:
