@@ -312,20 +312,6 @@ def test_base_rules_equal_brute_force():
     assert [rules.base(b, b.split(), h) for b, h in zip(encoded, per_text(encoded), strict=True)] == [brute_base(t) for t in texts]
 
 
-def test_kneser_ney_is_a_distribution(spark):
-    texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog"] * 3
-    rows = rules.orders(rules.gram_counts(table(spark, texts).select("lang", "text"))).toPandas()
-    arrays = {}
-    for k, g in rows.groupby("k"):
-        g = g.sort_values("code")
-        contexts, first = np.unique(g["code"].to_numpy() >> 6, return_index=True)
-        arrays[k] = (g["code"].to_numpy(), g["p"].to_numpy(), contexts, g["back"].to_numpy()[first])
-    model = rules.Model(arrays)
-    model.uniform = 1 / 64
-    for context in (0, int(arrays[4][0][0] >> 6), int(arrays[4][0][-1] >> 6)):
-        assert abs(np.exp(model.log_p(np.arange(64) + (context << 6))).sum() - 1) < 1e-6
-
-
 def test_rules_reject_what_no_language_has(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     junk = spark.createDataFrame([(10**6, " ".join("qxzj%04d" % i for i in range(200)), "en", "s", 1)], SCHEMA)

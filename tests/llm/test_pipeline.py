@@ -5,7 +5,8 @@ from larkspur.llm import fm
 from larkspur.llm.common import crc_mod
 from pyspark.sql import functions as F
 
-from tests.llm.test_operators import SF, brute_components, brute_lines
+from tests.llm.test_operators import SF, brute_lines
+from tests.llm.test_whole import brute_kept
 
 
 def test_stages(spark):
@@ -18,12 +19,12 @@ def test_stages(spark):
     assert one.columns == names and {r["doc_id"] for r in one.collect()} == good
     two = stages["line dedup"](spark, one, SF).persist()
     before = {r["doc_id"]: r["text"] for r in one.collect()}
-    gone = brute_lines(before.items(), 0.9, 5)
+    gone = brute_lines(before.items(), 0.9, 1)
     after = {r["doc_id"]: r["text"] for r in two.collect()}
     assert two.columns == names and after == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in before.items()}
     three = stages["near-dedup"](spark, two, SF).persist()
     ids = sorted(after)
-    keep = {ids[c] for i, (_, c) in enumerate(brute_components([after[d] for d in ids]))}
+    keep = {ids[i] for i in brute_kept([after[d] for d in ids], p.SIMILAR)}
     assert three.columns == names and {r["doc_id"] for r in three.collect()} == keep
     four = stages["mixing"](spark, three, SF).persist()
     times = {}
