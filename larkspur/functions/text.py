@@ -21,6 +21,7 @@ _WORDS = "|".join
 BRACKET = rf"(?iu){WS}*[(\[][^)\]]*?(?:{_WORDS(fixed.BRACKET_NOTES).replace('.*', '[^\n]*')})[^)\]]*[)\]]{WS}*"
 DASH = rf"(?iu){WS}+-{WS}+[^-]*?(?:{_WORDS(fixed.DASH_NOTES).replace('.*', '[^\n]*')})[^-]*\z"
 TAIL = rf"(?iu){WS}+(?:{fixed.GUEST}){WS}+[^\n]*\z"
+GUESTS = r"feat|ft|with"
 PUNCTUATION = r"[^\p{L}\p{N}\t\n\f\r ]+"
 ARTIST_SPLIT = rf"(?iu){WS}*;{WS}*|{WS}+(?:{fixed.JOINS}){WS}+"
 FOLDER_SPLIT = rf"(?iu){WS}*[;/]{WS}*|{WS}+(?:{fixed.JOINS}){WS}+"
@@ -50,7 +51,7 @@ def utrim(c: Column) -> Column:
 
 def lower(c: Column) -> Column:
     """Lower case letter by letter: a final sigma is an ordinary one."""
-    return F.lower(F.translate(c, "Σ", "σ"))
+    return F.lower(F.replace(c, F.lit("Σ"), F.lit("σ")))
 
 
 def fold(c: Column) -> Column:
@@ -63,10 +64,13 @@ def strip_notes(c: Column) -> Column:
     """Strips version notes and guests until nothing changes: as often as the text has places for one."""
 
     def once(v: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(F.regexp_replace(v, BRACKET, " "), DASH, ""), TAIL, "")
+        # A pattern is tried only where the text has what it begins with.
+        v = F.when(F.contains(v, F.lit("(")) | F.contains(v, F.lit("[")), F.regexp_replace(v, BRACKET, " ")).otherwise(v)
+        v = F.when(F.contains(v, F.lit("-")), F.regexp_replace(v, DASH, "")).otherwise(v)
+        return F.when(v.rlike(GUESTS), F.regexp_replace(v, TAIL, "")).otherwise(v)
 
     # The state is the last two values; once they agree the remaining turns do nothing.
-    places = F.regexp_count(c, F.lit(r"[-(\[]|feat|ft|with"))
+    places = F.regexp_count(c, F.lit(rf"[-(\[]|{GUESTS}"))
     turns = F.sequence(F.lit(0), F.greatest(places, F.lit(1)))
     start = F.array(F.lit(None).cast("string"), c)
     step = lambda a, _: F.when(a[0].eqNullSafe(a[1]), a).otherwise(F.array(a[1], once(a[1])))
@@ -76,8 +80,8 @@ def strip_notes(c: Column) -> Column:
 def normalize(c: Column) -> Column:
     """The key form: lower case, no diacritics, notes or punctuation, single spaces. Null is ''."""
     v = strip_notes(fold(utrim(lower(F.coalesce(c, F.lit(""))))))
-    spaced = F.regexp_replace(v, PUNCTUATION, " ")
-    return F.trim(F.regexp_replace(spaced, f"{WS}+", " "))
+    # Blanks are neither letters nor numbers, so one pattern replaces punctuation and joins blanks.
+    return F.trim(F.regexp_replace(v, r"[^\p{L}\p{N}]+", " "))
 
 
 def distinct_names(names: Column) -> Column:

@@ -1,10 +1,13 @@
 """Record linkage of a playlist with a library: eight tiers, one winner for each entry.
 
-``match`` unions all tiers and takes the best candidate; since a weaker tier never beats a stronger
-one, that equals running them one after the other. Both sides are first reduced to what a tier can
-tell apart: entries to distinct (title, album, artists), tracks to the smallest path of each key. The
-similarity tiers are equi-joins on a shared title token (with a linked artist where the entry names
-artists), never nested loops; exact predicates then decide.
+``match`` goes from tier to tier and sends only what is still open on; ``match_union`` unions all tiers
+and takes the best candidate, which gives the same, since a weaker tier never beats a stronger one.
+Both sides are first reduced to what a tier can tell apart: entries to distinct (title, album,
+artists), tracks to the smallest path of each key. The similarity tiers are equi-joins, never nested
+loops, on words chosen by rarity: a text that lies in another one is found by its rarest word, two
+texts with a Jaccard similarity of at least t by the rare words that they cannot both lack. So a word
+that half of all titles have makes no pairs, unless titles have no other one. An entry that names
+artists joins on a linked artist as well; exact predicates then decide.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import Window as W
 
 from larkspur.functions import fixed
 from larkspur.functions.paths import artist_and_title, basename, directory_album, directory_artist
-from larkspur.functions.similarity import artist_contains, contains_words, jaccard, share_token, shares_artist, word_aligned
+from larkspur.functions.similarity import artist_contains, contains_words, jaccard, share_token, word_aligned
 from larkspur.functions.text import normalize, normalize_all, split_artists, tokens, without_blanks
 from larkspur.operators.lineage import cut
 
@@ -103,18 +106,19 @@ def tier_title_album(entries: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def tier_title(entries: DataFrame, tracks: DataFrame) -> DataFrame:
-    t = _smallest(tracks, "norm_title", "norm_artists")
-    near = entries.join(t, "norm_title").where(_gate())
-    return near.select(*KEY, "path", *_candidate(fixed.TITLE))
+    """Equal titles; an entry that names artists needs a linked one."""
+    own = linked_entries(entries, tracks).join(_smallest(_per_artist(tracks), "norm_title", "artist"), ["norm_title", "artist"])
+    other = entries.where(~_named()).join(_smallest(tracks, "norm_title"), "norm_title")
+    columns = [*KEY, "path", *_candidate(fixed.TITLE)]
+    return own.select(*columns).unionByName(other.select(*columns))
 
 
-def _named() -> Column:
-    return F.size(without_blanks(F.col("artist_norms"))) > 0
+def _per_artist(tracks: DataFrame) -> DataFrame:
+    return tracks.withColumn("artist", F.explode("norm_artists"))
 
 
-def _gate() -> Column:
-    """An entry that names artists shares one with the track."""
-    return ~_named() | shares_artist(F.col("norm_artists"), F.col("artist_norms"))
+def _named() -> Column:
+    return F.size(without_blanks(F.col("artist_norms"))) > 0
 
 
 def artist_links(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -132,43 +136,76 @@ def artist_links(left: DataFrame, right: DataFrame) -> DataFrame:
     return same.unionByName(inside).unionByName(around).distinct()
 
 
-def near_pairs(entries: DataFrame, tracks: DataFrame, source: str) -> DataFrame:
-    """Pairs of entries and track keys (text, norm_artists) that share a token of title and text and
-    pass the artist gate; text is the track's column ``source``."""
-    t = _smallest(tracks.withColumn("text", F.col(source)).where("text <> ''"), "text", "norm_artists")
-    with_word = t.withColumn("word", F.explode(tokens(F.col("text"))))
-    e = entries.withColumn("word", F.explode(tokens(F.col("norm_title"))))
+def linked_entries(entries: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Entries that name artists, once for each track artist that is linked with one of them."""
     links = artist_links(entries.select(F.explode("artist_norms").alias("artist")), tracks.select(F.explode("norm_artists").alias("artist")))
-    own = e.where(_named()).select(*KEY, "word", F.explode(without_blanks(F.array_distinct("artist_norms"))).alias("artist"))
-    own = own.join(links, "artist").select(*KEY, "word", F.col("linked").alias("artist"))
-    named = own.join(with_word.withColumn("artist", F.explode("norm_artists")), ["artist", "word"])
-    other = e.where(~_named()).join(with_word, "word")
-    columns = [*KEY, "text", "norm_artists", "path"]
-    return named.select(*columns).unionByName(other.select(*columns)).distinct()
-
-
-def tier_title_part(entries: DataFrame, tracks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    p = near_pairs(entries, tracks, "norm_title") if pairs is None else pairs
-    return p.where(word_aligned(F.col("text"), F.col("norm_title"))).select(*KEY, "path", *_candidate(fixed.TITLE_PART))
-
-
-def tier_tokens(entries: DataFrame, tracks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    p = near_pairs(entries, tracks, "norm_title") if pairs is None else pairs
-    p = p.withColumn("overlap", jaccard(tokens(F.col("norm_title")), tokens(F.col("text"))))
-    return p.where(F.col("overlap") >= fixed.TOKEN_THRESHOLD).select(*KEY, "path", *_candidate(fixed.TOKENS, None, F.col("overlap")))
-
-
-def tier_artist(entries: DataFrame, tracks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Tracks of a named artist whose title shares a token."""
-    t = _smallest(tracks.withColumn("artist", F.explode("norm_artists")), "artist", "norm_title")
-    t = t.select("artist", F.explode(tokens(F.col("norm_title"))).alias("word"), "path")
+    named = entries.where(_named()).withColumn("named", F.explode(without_blanks(F.array_distinct("artist_norms"))))
+    return named.join(links.withColumnRenamed("artist", "named"), "named").select(*KEY, F.col("linked").alias("artist")).distinct()
+
+
+def rare_first(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """text, words (its tokens, the rarest in ``known`` first) of the distinct texts of both tables (text)."""
+    both = texts.select("text").union(known.select("text")).where("text <> ''").distinct()
+    each = both.select("text", F.explode(tokens(F.col("text"))).alias("word"))
+    often = each.groupBy("word").agg(F.count("*").alias("df"))
+    ordered = F.array_sort(F.collect_list(F.struct("df", "word")))
+    return each.join(often, "word").groupBy("text").agg(ordered.alias("o")).select("text", F.transform("o", lambda x: x["word"]).alias("words"))
+
+
+def _sides(entries: DataFrame, tracks: DataFrame, source: str) -> list[tuple[DataFrame, DataFrame, list[str]]]:
+    """Entries (KEY) and track keys (text, path) in two parts with the columns that they join on: those that
+    name artists on a linked one, the others on none; text is the track's column ``source``."""
+    t = tracks.withColumn("text", F.col(source)).where("text <> ''")
+    named = (linked_entries(entries, tracks), _smallest(_per_artist(t), "text", "artist"), ["artist"])
+    return [named, (entries.where(~_named()), _smallest(t, "text"), [])]
+
+
+def holding_pairs(entries: DataFrame, tracks: DataFrame, source: str) -> DataFrame:
+    """KEY, text, path where title or text may hold the other: the rarest word of one is in the other."""
+    texts = entries.select(F.col("norm_title").alias("text"))
+    order = cut(rare_first(texts, tracks.select(F.col(source).alias("text"))))
+    out = []
+    for e, t, on in _sides(entries, tracks, source):
+        e, t = e.join(order.select(F.col("text").alias("norm_title"), F.col("words").alias("ew")), "norm_title"), t.join(order, "text")
+        every = lambda d, c: d.withColumn("word", F.explode(c))
+        rarest = lambda d, c: d.withColumn("word", F.get(c, F.lit(0)))
+        for x, y in ((rarest(e, "ew"), every(t, "words")), (every(e, "ew"), rarest(t, "words"))):
+            out.append(x.join(y, [*on, "word"]).where(word_aligned(F.col("text"), F.col("norm_title"))).select(*KEY, "text", "path"))
+    return _union(out).distinct()
+
+
+def overlapping_pairs(entries: DataFrame, tracks: DataFrame, threshold: float = fixed.TOKEN_THRESHOLD) -> DataFrame:
+    """KEY, text, path, overlap where the titles' tokens have that Jaccard similarity: of n words in order of
+    rarity, two such titles share one among the first n - ceil(threshold * n) + 1 of each."""
+    texts = entries.select(F.col("norm_title").alias("text"))
+    order = cut(rare_first(texts, tracks.select(F.col("norm_title").alias("text"))))
+    first = lambda c: F.explode(F.slice(c, F.lit(1), F.size(c) - F.ceil(F.size(c) * threshold - 1e-9).cast("int") + 1))
+    out = []
+    for e, t, on in _sides(entries, tracks, "norm_title"):
+        e = e.join(order.select(F.col("text").alias("norm_title"), F.col("words").alias("ew")), "norm_title").withColumn("word", first("ew"))
+        near = e.join(t.join(order, "text").withColumn("word", first("words")), [*on, "word"])
+        near = near.where((F.size("ew") >= threshold * F.size("words") - 1e-9) & (F.size("words") >= threshold * F.size("ew") - 1e-9))
+        out.append(near.withColumn("overlap", jaccard(F.col("ew"), F.col("words"))).where(F.col("overlap") >= threshold).select(*KEY, "text", "path", "overlap"))
+    return _union(out).distinct()
+
+
+def tier_title_part(entries: DataFrame, tracks: DataFrame) -> DataFrame:
+    return holding_pairs(entries, tracks, "norm_title").select(*KEY, "path", *_candidate(fixed.TITLE_PART))
+
+
+def tier_tokens(entries: DataFrame, tracks: DataFrame) -> DataFrame:
+    return overlapping_pairs(entries, tracks).select(*KEY, "path", *_candidate(fixed.TOKENS, None, F.col("overlap")))
+
+
+def tier_artist(entries: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Tracks of a named artist whose title shares a token: the smallest path of each artist and token."""
+    t = _smallest(_per_artist(tracks).withColumn("word", F.explode(tokens(F.col("norm_title")))), "artist", "word")
     e = _by_artist(entries).withColumn("word", F.explode(tokens(F.col("norm_title"))))
     return e.join(t, ["artist", "word"]).select(*KEY, "path", *_candidate(fixed.ARTIST, F.col("place"))).distinct()
 
 
 def tier_filename(entries: DataFrame, tracks: DataFrame) -> DataFrame:
-    p = near_pairs(entries, tracks, "norm_filename")
-    return p.where(word_aligned(F.col("text"), F.col("norm_title"))).select(*KEY, "path", *_candidate(fixed.FILENAME))
+    return holding_pairs(entries, tracks, "norm_filename").select(*KEY, "path", *_candidate(fixed.FILENAME))
 
 
 TIERS = {
@@ -207,34 +244,34 @@ def _keys(entries: DataFrame) -> DataFrame:
 def candidates(entries: DataFrame, tracks: DataFrame) -> DataFrame:
     """All tiers' candidates of distinct entry keys."""
     keys = _keys(entries)
-    pairs = near_pairs(keys, tracks, "norm_title")
-    out = tier_exact(keys, tracks)
-    for t in (tier_title_artist, tier_title_album, tier_title, tier_artist, tier_filename):
-        out = out.unionByName(t(keys, tracks))
-    return out.unionByName(tier_title_part(keys, tracks, pairs)).unionByName(tier_tokens(keys, tracks, pairs))
+    return _union([t(keys, tracks) for t in TIERS.values()])
 
 
-def match(entries: DataFrame, tracks: DataFrame, won: DataFrame | None = None) -> DataFrame:
+def with_winners(entries: DataFrame, won: DataFrame) -> DataFrame:
     """Every entry with the path, score and reason of its winner; misses have a null path and their reason."""
-    won = best(candidates(entries, tracks)) if won is None else won
     won = won.select(*[F.col(k).alias(f"_won_{k}") for k in KEY], "path", "score", "place", "overlap")
     out = entries.join(won, [F.col(k) == F.col(f"_won_{k}") for k in KEY], "left").drop(*[f"_won_{k}" for k in KEY])
     why = F.when(F.col("path").isNotNull(), reason()).when(F.col("norm_title") == "", F.lit("empty track name")).otherwise(F.lit("no match"))
     return out.withColumn("reason", why).drop("place", "overlap")
 
 
-def match_cascade(entries: DataFrame, tracks: DataFrame) -> DataFrame:
-    """The same result tier by tier: only entries that a stronger tier left go on to the next one.
+def match_union(entries: DataFrame, tracks: DataFrame) -> DataFrame:
+    """The winners by one plan over all tiers."""
+    return with_winners(entries, best(candidates(entries, tracks)))
+
+
+def match(entries: DataFrame, tracks: DataFrame) -> DataFrame:
+    """The winners tier by tier: only entries that a stronger tier left go on to the next one.
 
     Each step's winners are checkpointed, so steps neither repeat work nor lengthen the plan.
     """
     left, won = cut(_keys(entries)), None
-    steps = [[tier_exact, tier_title_artist, tier_title_album, tier_title], [tier_title_part, tier_tokens], [tier_artist, tier_filename]]
+    steps = [["exact", "title_artist", "title_album", "title"], ["title_part", "tokens"], ["artist", "filename"]]
     for step in steps:
-        found = cut(best(_union([t(left, tracks) for t in step])))
+        found = cut(best(_union([TIERS[t](left, tracks) for t in step])))
         won = found if won is None else won.unionByName(found)
-        left = left.join(found.select(*KEY), KEY, "left_anti")
-    return match(entries, tracks, won)
+        left = cut(left.join(found.select(*KEY), KEY, "left_anti"))
+    return with_winners(entries, won)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -253,21 +290,44 @@ def summary(matched: DataFrame) -> DataFrame:
     return matched.agg(F.count("*").alias("total"), F.count("path").alias("matched"), F.count_if(F.col("path").isNull()).alias("missing"))
 
 
-def near_misses(missed: DataFrame, tracks: DataFrame, k: int = 3) -> DataFrame:
+#: Titles that have a word from which near misses look for it only where rarer words cannot decide.
+FREQUENT = 1_000
+
+
+def near_misses(missed: DataFrame, tracks: DataFrame, k: int = 3, frequent: int = FREQUENT) -> DataFrame:
     """idx, rank, path, overlap: the k tracks whose titles overlap most with a miss, whoever plays them.
 
-    A title enters once for all its tracks, with its k smallest paths.
+    A title enters once for all its tracks, with its k smallest paths, a miss once for all of its name.
+    Titles that share a word of at most ``frequent`` titles are scored first. A title that shares none
+    of these overlaps with a miss of n words by s/n at most, s of them being frequent; so only misses
+    whose k-th overlap is no more go on, and of their frequent words only the rarest ones, as many as
+    such a title cannot all lack.
     """
     titles = tracks.select("norm_title", "title_tokens", "path").where("norm_title <> ''")
-    paths = titles.withColumn("n", F.row_number().over(W.partitionBy("norm_title").orderBy("path"))).where(F.col("n") <= k)
-    words = titles.select("norm_title", F.size("title_tokens").alias("size"), F.explode("title_tokens").alias("word")).distinct()
-    own = tokens(F.col("norm_title"))
-    e = missed.select("idx", F.size(own).alias("own"), F.explode(own).alias("word"))
-    both = e.join(words, "word").groupBy("idx", "own", "norm_title", "size").agg(F.count("*").alias("shared"))
-    overlap = F.col("shared") / (F.col("own") + F.col("size") - F.col("shared"))
-    scored = both.withColumn("overlap", overlap).join(paths.select("norm_title", "path"), "norm_title")
-    rank = F.row_number().over(W.partitionBy("idx").orderBy(F.desc("overlap"), "path"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("idx", "rank", "path", "overlap")
+    paths = titles.withColumn("n", F.row_number().over(W.partitionBy("norm_title").orderBy("path"))).where(F.col("n") <= k).select("norm_title", "path")
+    words = cut(titles.select("norm_title", "title_tokens").dropDuplicates(["norm_title"]))
+    each = words.select("norm_title", "title_tokens", F.explode("title_tokens").alias("word"))
+    often = cut(each.groupBy("word").agg(F.count("*").alias("df")))
+    names = missed.select(F.col("norm_title").alias("name")).distinct().withColumn("own", tokens(F.col("name")))
+    asked = cut(names.withColumn("word", F.explode("own")).join(often, "word"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select("name", "own", "norm_title", "title_tokens").dropDuplicates(["name", "norm_title"])
+        both = pairs.select("name", "norm_title", jaccard(F.col("own"), F.col("title_tokens")).alias("overlap"))
+        return both.join(paths, "norm_title").select("name", "path", "overlap")
+
+    best_of = W.partitionBy("name").orderBy(F.desc("overlap"), "path")
+    top = lambda d: d.withColumn("rank", F.row_number().over(best_of)).where(F.col("rank") <= k)
+    rare = asked.where(F.col("df") <= frequent).select("name", "own", "word")
+    first = cut(top(scored(rare.join(each, "word"))))
+    floor = first.where(F.col("rank") == k).select("name", F.col("overlap").alias("least"))
+    shared = F.array_sort(F.collect_list(F.struct("df", "word")))
+    common = asked.where(F.col("df") > frequent).groupBy("name").agg(F.first("own").alias("own"), shared.alias("c")).join(floor, "name", "left")
+    need = F.greatest(F.lit(1), F.ceil(F.coalesce("least", F.lit(0.0)) * F.size("own") - 1e-9).cast("int"))
+    again = common.where(F.size("c") >= need).withColumn("word", F.explode(F.slice("c", F.lit(1), F.size("c") - need + 1)["word"]))
+    second = scored(again.select("name", "own", "word").join(each, "word"))
+    out = top(first.select("name", "path", "overlap").unionByName(second).distinct())
+    return missed.select("idx", F.col("norm_title").alias("name")).join(out, "name").select("idx", "rank", "path", "overlap")
 
 
 def link_pairs(a: DataFrame, b: DataFrame, text_a: str, text_b: str) -> DataFrame:
@@ -279,4 +339,4 @@ def link_pairs(a: DataFrame, b: DataFrame, text_a: str, text_b: str) -> DataFram
     return held.drop("_w").unionByName(holds.drop("_w")).distinct().where(F.least(F.char_length(text_a), F.char_length(text_b)) >= fixed.MIN_TITLE_RUNES)
 
 
-__all__ = ["TIERS", "best", "candidates", "index_entries", "index_tracks", "link_pairs", "match", "match_cascade", "misses", "near_misses", "share_token", "summary", "tagged_tracks", "with_fallbacks"]
+__all__ = ["TIERS", "best", "candidates", "index_entries", "index_tracks", "link_pairs", "match", "match_union", "misses", "near_misses", "share_token", "summary", "tagged_tracks", "with_fallbacks"]

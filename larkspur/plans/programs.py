@@ -27,7 +27,7 @@ def match_playlist(spark: SparkSession, config: PlaylistConfig) -> dict:
     entries = m.index_entries(read_playlist(spark, config.csv)).persist()
     tracks.count()
     indexed = time.monotonic()
-    matched = m.match_cascade(entries, tracks).persist()
+    matched = m.match(entries, tracks).persist()
     counts = m.summary(matched).first().asDict()
     took = time.monotonic()
     if not config.dry_run:

@@ -104,8 +104,8 @@ def match_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir)[0].select("idx", "path", "score", "reason")
 
 
-def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.match_cascade(cut(playlist(spark, sf_dir)), cut(library(spark, sf_dir))).select("idx", "path", "score", "reason")
+def match_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.match_union(cut(playlist(spark, sf_dir)), cut(library(spark, sf_dir))).select("idx", "path", "score", "reason")
 
 
 def match_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +217,7 @@ QUERIES: dict[str, Query] = {
     "q_duration_parse": duration_parse,
     **{f"q_tier_{t}": _tier(t) for t in m.TIERS},
     "q_match_best": match_best,
-    "q_match_cascade": match_cascade,
+    "q_match_union": match_union,
     "q_match_misses": match_misses,
     "q_match_summary": match_summary,
     "q_near_miss_topk": near_miss_topk,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from larkspur.operators.match import index_entries, match_cascade
+from larkspur.operators.match import index_entries, match
 
 
 def match_stream(entries: DataFrame, tracks: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -13,6 +13,6 @@ def match_stream(entries: DataFrame, tracks: DataFrame, out: str, checkpoint: st
     batch that is repeated after a failure replaces its own result."""
 
     def one(batch: DataFrame, epoch: int) -> None:
-        match_cascade(index_entries(batch), tracks).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        match(index_entries(batch), tracks).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
     return entries.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -39,7 +39,7 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("how", [m.match, m.match_cascade])
+@pytest.mark.parametrize("how", [m.match, m.match_union])
 def test_tiers(spark, how):
     got = how(entries(spark, [c[0] for c in CASES]), tracks(spark, LIBRARY)).orderBy("idx").collect()
     assert [(r["path"], r["reason"]) for r in got] == [c[1:] for c in CASES]
@@ -54,7 +54,7 @@ def test_near_misses(spark):
 def test_cascade_equals_union_on_derived_tables(spark):
     e, t = playlist(spark, SF).persist(), library(spark, SF).persist()
     cols = ["idx", "path", "score", "reason"]
-    a, b = m.match(e, t).select(*cols), m.match_cascade(e, t).select(*cols)
+    a, b = m.match(e, t).select(*cols), m.match_union(e, t).select(*cols)
     assert a.exceptAll(b).count() == 0 == b.exceptAll(a).count()
     s = m.summary(a).first()
     assert s["total"] == 200 and s["matched"] + s["missing"] == 200
