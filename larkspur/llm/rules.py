@@ -38,7 +38,7 @@ BLANK = b" \t\n\x0b\x0c\r"
 #: spreads between them.
 BELOW, ABOVE = 3.0, 2.0
 #: Bytes of text in a group, and groups whose distinct grams are answered by one shard of the model.
-GROUP, SHARED = 24 << 20, 8
+GROUP, SHARED = 32 << 20, 8
 _P = U64(0x9E3779B97F4A7C15)
 
 
@@ -247,9 +247,9 @@ def orders(counts: DataFrame) -> DataFrame:
     return g.select("lang", "k", "shard", "gram", ((F.col("n") - F.col("d")) / F.col("all")).alias("p"), (F.col("off") / F.col("all")).alias("back"))
 
 
-def model(counts: DataFrame) -> DataFrame:
-    """lang, shard, gram, log_p: the interpolated log-probability of the last character of each gram."""
-    each = cut(orders(counts), "orders")
+def model(each: DataFrame) -> DataFrame:
+    """lang, shard, gram, log_p: the interpolated log-probability of the last character of each of the longest
+    grams, from ``orders``."""
     size = each.where("k = 1").groupBy("lang").agg((F.lit(1.0) / (F.count("*") + 1)).alias("uniform"))
     p = each.where("k = 1").join(size, "lang").select("lang", "shard", "gram", (F.col("p") + F.col("back") * F.col("uniform")).alias("p"))
     for k in range(2, ORDER + 1):
@@ -319,9 +319,14 @@ def assess(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, below: fl
     groups = max(1, -(-size // GROUP))
     dealt = own.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long"))
     asks = cut(asked(dealt, -(-groups // SHARED)), "asked")
-    known = cut(model(cut(counted(asks), "counts")), "model")
+    counts = cut(counted(asks), "counts")
+    each = cut(orders(counts), "orders")
+    drop(counts)
+    known = cut(model(each), "model")
+    drop(each)
     answers = cut(answered(asks, known), "answers")
     drop(asks)
+    drop(known)
     rows = cut(scored(dealt, answers), "scored")
     drop(answers)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
