@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import argparse
-import os
 import sys
 
+from larkspur import console
 from larkspur.config import OrganizeConfig, PlaylistConfig
 from larkspur.operators.layout import DEFAULT, LAYOUTS, help_text
 
@@ -35,10 +35,6 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def bold(text: str) -> str:
-    return f"\033[1m{text}\033[0m" if sys.stdout.isatty() and "NO_COLOR" not in os.environ else text
-
-
 def main(argv: list[str] | None = None) -> int:
     args = vars(parser().parse_args(argv))
     program = args.pop("program")
@@ -55,9 +51,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         out = organize(spark, OrganizeConfig(**args))
     report = out.pop("report", [])
-    print(bold("Summary" + (" (dry run)" if args["dry_run"] else "")))
-    for name, value in out.items():
-        print(f"  {name}: {value:.2f} s" if isinstance(value, float) else f"  {name}: {value}")
+    console.summary("Summary" + (" (dry run)" if args["dry_run"] else ""), out)
     print("\n".join(report), end="\n" if report else "")
     return 0
 

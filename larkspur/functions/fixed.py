@@ -37,6 +37,12 @@ HEADERS = {
     "uri": ["track uri", "spotify uri", "uri", "url"],
 }
 
+# Names of the folder layouts.
+LAYOUT_NAMES = ["artist-album-year", "artist-album", "albumartist-album-year", "flat", "genre-artist-album-year"]
+
+# Wording of a miss in the report, an output format.
+LOOKED_UP, CLOSEST, NONE_CLOSE = "looked up:", "closest:", "closest: (no near-miss candidates in source)"
+
 UNKNOWN_ARTIST, UNKNOWN_ALBUM, UNKNOWN_GENRE = "Unknown Artist", "Unknown Album", "Unknown Genre"
 
 # Bytes of a file that its content fingerprint covers.

@@ -7,10 +7,13 @@ tier. A folder tree in which spellings differ and names collide.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import split_artists
+from larkspur.operators.lineage import shared_dir
 from larkspur.operators.match import index_entries, index_tracks
 
 
@@ -25,7 +28,7 @@ VIEWS = """
     concat(p_brand, '/', p_type, ' (', CAST(1990 + p_partkey % 30 AS STRING), ')/', CAST(10 + p_partkey % 20 AS STRING), ' - ', p_name, ' part', CAST(p_partkey AS STRING), '.mp3') AS path,
     CASE p_partkey % 10 WHEN 1 THEN concat(p_name, ' (Live)') WHEN 5 THEN concat(p_name, ' tonight')
       WHEN 6 THEN concat(split_part(p_name, ' ', 2), ' ', split_part(p_name, ' ', 1)) WHEN 7 THEN concat(split_part(p_name, ' ', 1), ' lost signal')
-      WHEN 8 THEN concat('part', CAST(p_partkey AS STRING)) WHEN 9 THEN 'zzz qqq' ELSE p_name END AS wanted,
+      WHEN 8 THEN CASE WHEN p_partkey % 40 = 18 THEN '!!!' ELSE concat('part', CAST(p_partkey AS STRING)) END WHEN 9 THEN 'zzz qqq' ELSE p_name END AS wanted,
     CASE WHEN p_partkey % 10 = 3 THEN 'Nobody Known' WHEN p_partkey % 10 = 4 OR p_partkey % 20 = 8 THEN ''
       WHEN p_partkey % 10 = 2 THEN concat('Guest Star; ', p_brand) ELSE p_brand END AS by_artist,
     CASE WHEN p_partkey % 10 IN (0, 1, 3) THEN p_type WHEN p_partkey % 10 = 4 THEN '' ELSE 'Other Album' END AS on_album,
@@ -50,18 +53,51 @@ def playlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_entries(c.select(*cols, "ms"))
 
 
+#: Files in albums, in folders of albums, and beside albums.
 TREE = """
-  SELECT concat(artist, '/', p_type, CASE WHEN k % 4 < 2 THEN '' ELSE ' (2001)' END, '/', p_name, '.mp3') AS rel,
-    CAST(min(k) % 5 AS BIGINT) AS length, sha1(CAST(min(k) % 5 AS STRING)) AS digest
-  FROM catalog GROUP BY 1"""
+  SELECT rel, CAST(min(k) % 5 AS BIGINT) AS length, sha1(CAST(min(k) % 5 AS STRING)) AS digest FROM (
+    SELECT k, concat(artist, '/', p_type, CASE WHEN k % 4 < 2 THEN '' ELSE ' (2001)' END, '/', p_name, '.mp3') AS rel FROM catalog
+    UNION ALL SELECT k, concat(artist, '/', p_type, CASE WHEN k % 4 < 2 THEN '' ELSE ' (2001)' END, '/disc ', CAST(k % 2 AS STRING), '/', p_name, '.mp3') FROM catalog WHERE k % 6 = 0
+    UNION ALL SELECT k, concat(artist, '/', p_name, '.mp3') FROM catalog WHERE k % 5 = 0
+    UNION ALL SELECT k, concat(artist, '/', p_type, ' (box)/disc 1/', p_name, '.mp3') FROM catalog WHERE k % 9 = 0) AS t
+  GROUP BY rel"""
 
 
 def tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Files (rel, length, digest) and folders (rel) of a tree with variant spellings."""
     files = spark.sql(TREE.replace("FROM catalog", "FROM {catalog}"), catalog=catalog(spark, sf_dir))
     parts = F.split("rel", "/")
-    dirs = files.select(parts[0].alias("rel")).union(files.select(F.concat_ws("/", parts[0], parts[1]).alias("rel"))).distinct()
-    return files, dirs
+    up_to = lambda n: files.where(F.size(parts) > n).select(F.array_join(F.slice(parts, 1, n), "/").alias("rel"))
+    return files, up_to(1).union(up_to(2)).union(up_to(3)).distinct()
+
+
+TAGS = """
+  SELECT CASE k % 4 WHEN 0 THEN path WHEN 1 THEN concat(p_brand, '/', p_brand, ' - ', p_name, ' ', CAST(k AS STRING), '.mp3') WHEN 2 THEN concat(p_name, ' ', CAST(k AS STRING), '.mp3')
+      ELSE concat(p_brand, '/', p_type, '/', p_name, ' ', CAST(k AS STRING), '.mp3') END AS path,
+    CASE WHEN k % 3 = 0 THEN '' ELSE title END AS title, CASE WHEN k % 2 = 0 THEN p_brand ELSE '' END AS artist,
+    CASE WHEN k % 5 = 0 THEN concat(p_brand, '; Guest') ELSE '' END AS album_artist, CASE WHEN k % 7 < 3 THEN '' ELSE p_type END AS album
+  FROM catalog"""
+
+
+def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags with gaps, and paths that fill some of them."""
+    return spark.sql(TAGS.replace("FROM catalog", "FROM {catalog}"), catalog=catalog(spark, sf_dir))
+
+
+#: A playlist table as lines of CSV: blanks before cells, quotes and line ends in cells, rows cut short, rows without a name.
+CSV_HEADER = '  Track URI,Title, Track Name ,Album Name,Artist Name(s),Artist,Duration (ms),Added'
+CSV = """
+  SELECT k, concat('u', CAST(k AS STRING), ',none,', CASE WHEN k % 11 = 0 THEN '  ' WHEN k % 4 = 1 THEN concat('  "', p_name, ', ""', p_brand, repeat('"', 3)) WHEN k % 4 = 2 THEN concat('"', p_name, chr(10), 'x"')
+    ELSE wanted END, CASE WHEN k % 7 = 0 THEN '' ELSE concat(', ', on_album, ',"', by_artist, '",no,', ms, ',2020') END) AS line FROM catalog"""
+
+
+def csv_file(spark: SparkSession, sf_dir: str) -> str:
+    """Writes the lines, in order of k, below the shared folder; the path."""
+    rows = spark.sql(CSV.replace("FROM catalog", "FROM {catalog}"), catalog=catalog(spark, sf_dir))
+    lines = rows.unionByName(spark.createDataFrame([(-1, CSV_HEADER)], "k bigint, line string")).coalesce(1).sortWithinPartitions("k")
+    path = f"{shared_dir(spark)}/playlist-{uuid.uuid4().hex}"
+    lines.select("line").write.text(path)
+    return path
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ Repeated stripping of version notes is unrolled.
 from __future__ import annotations
 
 from larkspur.functions import fixed, text
-from larkspur.plans.fixtures import TREE, VIEWS
-from larkspur.plans.queries import FILENAMES, TAKEN, WANTED
+from larkspur.plans.fixtures import CSV, TAGS, TREE, VIEWS
+from larkspur.plans.queries import FILENAMES, HEAD, TAKEN, WANTED
 
 PASSES = 4
 
@@ -100,10 +100,11 @@ _SPLIT = lambda x, p: f"list_transform(string_split_regex({x}, {_lit(p)}), lambd
 _DISTINCT = lambda l: f"list_filter({l}, lambda x, i: x <> '' AND list_position(list_transform({l}, lambda y: lower(strip_accents(y))), lower(strip_accents(x))) = i)"  # noqa: E731,E741
 
 FOLDERS = f"""{CATALOG}, files AS MATERIALIZED ({TREE.replace('AS STRING', 'AS VARCHAR')}
-), placed AS (SELECT *, split_part(rel, '/', 1) AS a, split_part(rel, '/', 1) || '/' || split_part(rel, '/', 2) AS b FROM files
-), artists AS MATERIALIZED (SELECT a AS dir, a AS on_disk, {norm("a")} AS key, count(*) AS file_count FROM placed GROUP BY a
+), placed AS (SELECT *, split_part(rel, '/', 1) AS a, split_part(rel, '/', 1) || '/' || split_part(rel, '/', 2) AS b, len(string_split(rel, '/')) AS depth FROM files
+), artists AS MATERIALIZED (SELECT a AS dir, a AS on_disk, {norm("a")} AS key, count(*) FILTER (depth <= 3) AS file_count FROM placed GROUP BY a
 ), albums AS MATERIALIZED (
-  SELECT a AS artist_dir, {norm("a")} AS akey, split_part(b, '/', 2) AS on_disk, b AS dir, {norm(cut("split_part(b, '/', 2)", text.YEAR))} AS key, count(*) AS file_count FROM placed GROUP BY a, b
+  SELECT a AS artist_dir, {norm("a")} AS akey, split_part(b, '/', 2) AS on_disk, b AS dir, {norm(cut("split_part(b, '/', 2)", text.YEAR))} AS key, count(*) FILTER (depth = 3) AS file_count
+  FROM placed WHERE depth > 2 GROUP BY a, b
 ), won_artist AS MATERIALIZED (
   SELECT key, arg_min(on_disk, p) AS on_disk, arg_min(dir, p) AS dir, count(*) AS members FROM (
     SELECT *, row_number() OVER (PARTITION BY key ORDER BY -file_count, regexp_matches(on_disk, '[A-Z]') AND NOT regexp_matches(on_disk, '[a-z]'), -strlen(on_disk), on_disk, dir) AS p FROM artists) GROUP BY key
@@ -165,9 +166,10 @@ MERGE = f"""{FOLDERS}, homes AS MATERIALIZED (
       row_number() OVER (PARTITION BY al.akey, al.key ORDER BY al.artist_dir <> w.dir, CASE WHEN al.artist_dir = w.dir THEN '' ELSE al.artist_dir END, p) AS o
     FROM ranked al JOIN won_artist w ON w.key = al.akey) GROUP BY akey, key
 ), moved AS MATERIALIZED (
-  SELECT f.rel AS src, f.length, f.digest, w.dir || '/' || h.name || substr(f.rel, length(al.dir) + 1) AS dest, al.dir AS from_dir, h.spot, h.own
+  SELECT f.rel AS src, f.length, f.digest, w.dir || '/' || h.name || substr(f.rel, length(al.dir) + 1) AS dest
   FROM placed f JOIN albums al ON al.dir = f.b JOIN won_artist w ON w.key = al.akey JOIN homes h ON h.akey = al.akey AND h.key = al.key
-  WHERE al.dir <> w.dir || '/' || h.name
+  WHERE f.depth > 2 AND al.dir <> w.dir || '/' || h.name
+  UNION ALL SELECT f.rel, f.length, f.digest, w.dir || substr(f.rel, length(f.a) + 1) FROM placed f JOIN artists ar ON ar.dir = f.a JOIN won_artist w ON w.key = ar.key WHERE f.depth = 2 AND f.a <> w.dir
 ), stay AS (SELECT * FROM files WHERE rel NOT IN (SELECT src FROM moved)),
 acts AS MATERIALIZED (
   SELECT m.src, m.dest, CASE WHEN s.rel IS NULL AND m.src = min(m.src) OVER (PARTITION BY m.dest) THEN 'MERGE'
@@ -176,6 +178,38 @@ acts AS MATERIALIZED (
 ), {UNIQUE("SELECT src, dest FROM acts WHERE action = 'RENAME'", "SELECT rel AS path FROM stay UNION SELECT dest FROM moved")},
 merged AS (SELECT acts.src, coalesce(renamed, acts.dest) AS dest, action FROM acts LEFT JOIN renamed USING (src))"""
 
+_GUESS = """s AS (SELECT *, trim(regexp_replace(split_part({name}, '/', -1), '\\.[^./]*$', '')) AS stem FROM {source}),
+p AS (SELECT *, instr(stem, ' - ') AS pos FROM s), q AS (SELECT *, trim(substr(stem, 1, pos - 1)) AS l, trim(substr(stem, pos + 3)) AS r FROM p),
+guess AS (
+  SELECT *, CASE WHEN pos > 0 AND r <> '' AND NOT regexp_full_match(l, '[0-9]{{1,3}}') THEN l ELSE '' END AS by,
+    CASE WHEN pos > 0 THEN CASE WHEN r = '' THEN l ELSE r END WHEN regexp_matches(stem, '^[0-9]{{1,3}}[. ]') THEN trim(regexp_replace(stem, '^[0-9]{{1,3}}[. ]+', '')) ELSE stem END AS called FROM q
+)"""
+FALLBACKS = f"""{CATALOG}, t AS ({TAGS.replace('AS STRING', 'AS VARCHAR')}), {_GUESS.format(name="path", source="t")},
+f AS (
+  SELECT *, string_split(path, '/') AS parts, CASE WHEN album_artist <> '' THEN split_part(album_artist, ';', 1) || '|Guest' ELSE artist END AS named, title = '' OR (artist = '' AND album_artist = '') AS gap FROM guess
+), g AS (
+  SELECT *, CASE WHEN len(parts) >= 3 THEN trim(parts[len(parts) - 2]) ELSE '' END AS da, CASE WHEN len(parts) >= 2 THEN trim({cut('trim(parts[len(parts) - 1])', text.YEAR)}) ELSE '' END AS db FROM f
+), h AS (SELECT *, CASE WHEN album = '' AND gap THEN db ELSE album END AS own FROM g)
+SELECT path, CASE WHEN title = '' THEN called ELSE title END AS title, CASE WHEN named <> '' THEN named WHEN by <> '' THEN by WHEN da <> '' THEN da ELSE 'Unknown Artist' END AS artists,
+  CASE WHEN own = '' THEN 'Unknown Album' ELSE own END AS album, parts[len(parts)] AS filename FROM h"""
+
+SCAN = f"""{CATALOG}, c AS (
+  SELECT k, CASE WHEN k % 11 = 0 THEN '' WHEN k % 4 = 1 THEN p_name || ', "' || p_brand || '"' WHEN k % 4 = 2 THEN p_name || chr(10) || 'x' ELSE trim(wanted) END AS track_name,
+    CASE WHEN k % 7 = 0 THEN '' ELSE trim(on_album) END AS album, CASE WHEN k % 7 = 0 THEN '' ELSE by_artist END AS by_artist, CASE WHEN k % 7 = 0 THEN '' ELSE ms END AS ms FROM catalog
+), a AS (SELECT *, {_SPLIT('by_artist', text.ARTIST_SPLIT)} AS names FROM c WHERE track_name <> '')
+SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS idx, 'u' || k AS uri, track_name, album, array_to_string({_DISTINCT('names')}, '|') AS artists, '' AS release, CAST({SECONDS} AS INTEGER) AS duration FROM a"""
+
+REPORTS = f"""{MATCH}, lost AS MATERIALIZED (SELECT * FROM matched WHERE path IS NULL),
+nt AS MATERIALIZED (SELECT nt, {toks('nt')} AS tt FROM (SELECT DISTINCT nt FROM lib)), ne AS MATERIALIZED (SELECT et, {toks('et')} AS u FROM (SELECT DISTINCT et FROM lost)),
+no AS MATERIALIZED (SELECT et, nt, {jac('u', 'tt')} AS overlap FROM ne, nt), np AS (SELECT nt, na, nb, path, row_number() OVER (PARTITION BY nt ORDER BY path) AS n FROM lib),
+nr AS (SELECT et, nt, na, nb, path, overlap, row_number() OVER (PARTITION BY et ORDER BY overlap DESC, path) AS rank FROM no JOIN np USING (nt) WHERE overlap > 0 AND n <= 3),
+near AS (
+  SELECT et, string_agg('      [' || printf('%.2f', overlap) || '] ' || path || ' | title="' || nt || '" artist="' || na || '" album="' || nb || '"', chr(10) ORDER BY rank) AS lines FROM nr WHERE rank <= 3 GROUP BY et
+), raw AS (SELECT k, nullif(trim(split_part(by_artist, ';', 1)), '') AS lead, on_album FROM catalog)
+SELECT idx, '- ' || wanted || ' | ' || coalesce(lead, 'Unknown') || ' | ' || on_album || chr(10) || '    looked up: title="' || lost.et || '" artist="' || {norm("coalesce(lead, '')")} || '" album="' || {norm("on_album")} || '"' || chr(10)
+  || coalesce('    closest:' || chr(10) || lines, '    closest: (no near-miss candidates in source)') AS report
+FROM lost JOIN raw ON k = idx LEFT JOIN near ON near.et = lost.et"""
+
 SQL: dict[str, str] = {
     "q_normalize": f"{CATALOG}, t AS (SELECT 'p' || k AS id, wanted || ' - Remastered ' || artist AS t FROM catalog UNION ALL SELECT 'd' || doc_id, text FROM documents) SELECT id, {norm('t')} AS norm FROM t",
     "q_split_artists": f"{CATALOG}, s AS (SELECT k, {_SPLIT(chr(39).join(['by_artist || ', ' feat. ', ' || artist || ', '; ', ' || p_type']), text.ARTIST_SPLIT)} AS l FROM catalog) SELECT k, array_to_string({_DISTINCT('l')}, '|') AS artists FROM s",
@@ -189,6 +223,10 @@ SQL: dict[str, str] = {
 p AS (SELECT k, b, instr(b, ' - ') AS pos FROM s), q AS (SELECT *, trim(substr(b, 1, pos - 1)) AS l, trim(substr(b, pos + 3)) AS r FROM p)
 SELECT k, CASE WHEN pos > 0 AND r <> '' AND NOT regexp_full_match(l, '[0-9]{{1,3}}') THEN l ELSE '' END AS artist,
   CASE WHEN pos > 0 THEN CASE WHEN r = '' THEN l ELSE r END WHEN regexp_matches(b, '^[0-9]{{1,3}}[. ]') THEN trim(regexp_replace(b, '^[0-9]{{1,3}}[. ]+', '')) ELSE b END AS title FROM q""",
+    "q_csv_scan": SCAN,
+    "q_tag_fallbacks": FALLBACKS,
+    "q_miss_reports": REPORTS,
+    "q_fingerprint_dedup": f"WITH d AS (SELECT doc_id AS id, 2 * strlen(text) AS n, sha1(unhex(left(hex(encode(text || text)), {2 * HEAD}))) AS h FROM documents), f AS (SELECT *, min(id) OVER (PARTITION BY n, h) AS f, count(*) OVER (PARTITION BY n, h) AS c FROM d) SELECT id, h AS digest, CASE WHEN c > 1 THEN f END AS keep, c > 1 AND id <> f AS is_duplicate FROM f",
     "q_duration_parse": f"{CATALOG} SELECT k, {SECONDS} AS seconds FROM catalog",
     **{f"q_tier_{t}": tier(t) for t in TIERS},
     "q_match_best": BEST,

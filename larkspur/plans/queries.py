@@ -15,9 +15,10 @@ from larkspur.operators.lineage import cut
 from larkspur.operators.layout import LAYOUTS, render
 from larkspur.operators.merge import album_moves, consolidate, content_duplicates, merge_plan, merge_summary, targets, unique_names
 from larkspur.operators.organize import move_plan, plan_summary
-from larkspur.plans.fixtures import catalog, library, metadata, playlist, tree
+from larkspur.plans.fixtures import catalog, csv_file, library, metadata, playlist, tags, tree
 from larkspur.sinks.playlist import miss_report, playlist_lines
-from larkspur.sources.tree import folders
+from larkspur.sources.playlist import read_playlist
+from larkspur.sources.tree import fingerprint, folders
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +82,15 @@ def filename_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("p", paths.artist_and_title(F.col("name"))).select("k", "p.artist", "p.title")
 
 
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read_playlist(spark, csv_file(spark, sf_dir))
+    return p.select("idx", "uri", "track_name", "album", F.array_join("artists", "|").alias("artists"), "release", "duration")
+
+
+def tag_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.tagged_tracks(tags(spark, sf_dir)).withColumn("artists", F.array_join("artists", "|"))
+
+
 def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir).select("k", text.seconds(F.col("ms")).alias("seconds"))
 
@@ -184,6 +194,17 @@ def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_duplicates(own).select("id", "keep", "is_duplicate")
 
 
+#: Bytes of a text that its fingerprint covers here; files have a longer head.
+HEAD = 64
+
+
+def fingerprint_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of equal length and head, doubled so that most are longer than the head."""
+    d = _docs(spark, sf_dir).select("doc_id", F.encode(F.concat("text", "text"), "utf-8").alias("content"))
+    own = d.select(F.col("doc_id").alias("id"), F.octet_length("content").alias("length"), fingerprint(F.col("content"), HEAD).alias("digest"))
+    return content_duplicates(own).select("id", "digest", "keep", "is_duplicate")
+
+
 WANTED = "SELECT concat('in/', CAST(k AS STRING)) AS src, concat('d/', p_brand, '/', p_name, '.mp3') AS dest FROM catalog"
 TAKEN = "SELECT concat('d/', p_brand, '/', p_name, CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN ' (2)' ELSE ' (4)' END, '.mp3') AS path FROM catalog GROUP BY 1"
 
@@ -214,6 +235,8 @@ QUERIES: dict[str, Query] = {
     "q_shares_artist": shares_artist_,
     "q_path_parse": path_parse,
     "q_filename_parse": filename_parse,
+    "q_csv_scan": csv_scan,
+    "q_tag_fallbacks": tag_fallbacks,
     "q_duration_parse": duration_parse,
     **{f"q_tier_{t}": _tier(t) for t in m.TIERS},
     "q_match_best": match_best,
@@ -230,6 +253,7 @@ QUERIES: dict[str, Query] = {
     "q_move_plan": move_plan_,
     "q_move_summary": move_summary,
     "q_content_dedup": content_dedup,
+    "q_fingerprint_dedup": fingerprint_dedup,
     "q_unique_names": unique_names_,
     "q_merge_plan": merge_plan_,
     "q_merge_summary": merge_summary_,

@@ -47,10 +47,10 @@ def miss_report(missed: DataFrame, near: DataFrame, tracks: DataFrame) -> DataFr
     closest = near.join(t, "path").groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("c"))
     artist = F.get("artists", F.lit(0))
     own = missed.join(closest, "idx", "left")
-    found = F.concat(F.lit("    closest:\n"), F.array_join(F.transform("c", lambda x: x["line"]), "\n"))
+    found = F.concat(F.lit(f"    {fixed.CLOSEST}\n"), F.array_join(F.transform("c", lambda x: x["line"]), "\n"))
     report = F.concat(
         F.lit("- "), "track_name", F.lit(" | "), F.coalesce(artist, F.lit("Unknown")), F.lit(" | "), "album",
-        F.lit('\n    looked up: title="'), normalize(F.col("track_name")), F.lit('" artist="'), normalize(artist), F.lit('" album="'), normalize(F.col("album")), F.lit('"\n'),
-        F.coalesce(found, F.lit("    closest: (no near-miss candidates in source)")),
+        F.lit(f'\n    {fixed.LOOKED_UP} title="'), normalize(F.col("track_name")), F.lit('" artist="'), normalize(artist), F.lit('" album="'), normalize(F.col("album")), F.lit('"\n'),
+        F.coalesce(found, F.lit(f"    {fixed.NONE_CLOSE}")),
     )
     return own.select("idx", report.alias("report"))

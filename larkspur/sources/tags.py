@@ -1,11 +1,13 @@
 """Audio tags from file heads: ID3v2 and ID3v1, Vorbis comments (FLAC, Ogg, Opus), MP4 atoms.
 
-The one place in this library outside training data that runs Python on executors: tags are binary
-structures. Files are read as Arrow batches; an unreadable tag is an empty one.
+Tags are binary structures, so Python reads them on executors, each file through a memory map: only the
+pages that a tag lies in are read, however long the file is. An unreadable tag is an empty one.
 """
 
 from __future__ import annotations
 
+import contextlib
+import mmap
 import re
 import struct
 from collections.abc import Iterator
@@ -124,26 +126,29 @@ def ogg(data: bytes) -> dict:
     return {}
 
 
-def atoms(data: bytes) -> Iterator[tuple[bytes, bytes]]:
-    at = 0
-    while at + 8 <= len(data):
+def atoms(data: bytes, at: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int]]:
+    """Name, start and end of the atoms in a range of the data."""
+    end = len(data) if end is None else min(end, len(data))
+    while at + 8 <= end:
         size, head = int.from_bytes(data[at : at + 4], "big"), 8
         if size == 1:
             size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
-        size = size or len(data) - at
+        size = size or end - at
         if size < head:
             return
-        yield data[at + 4 : at + 8], data[at + head : at + size]
+        yield data[at + 4 : at + 8], at + head, min(at + size, end)
         at += size
 
 
 def mp4(data: bytes) -> dict:
-    def inside(d: bytes, name: bytes) -> bytes:
-        return next((b for n, b in atoms(d) if n == name), b"")
-
-    items, tag = inside(inside(inside(data, b"moov"), b"udta"), b"meta")[4:], {}
-    for name, body in atoms(inside(items, b"ilst")):
-        value = inside(body, b"data")[8:]
+    def inside(name: bytes, at: int, end: int) -> tuple[int, int]:
+        return next(((a, z) for n, a, z in atoms(data, at, end) if n == name), (0, 0))
+
+    at, end = inside(b"meta", *inside(b"udta", *inside(b"moov", 0, len(data))))
+    tag: dict = {}
+    for name, a, z in atoms(data, *inside(b"ilst", at + 4, end)):
+        a, z = inside(b"data", a, z)
+        value = data[a + 8 : z]
         if name in MP4:
             tag[MP4[name]] = value.decode("utf-8", "replace")
         elif name == b"\xa9day":
@@ -172,24 +177,31 @@ def parse(data: bytes) -> dict:
     return {}
 
 
-def read_tags(contents: DataFrame) -> DataFrame:
-    """The tags of (path, content); missing texts are '', missing numbers 0."""
+def read_file(path: str) -> dict:
+    """The tag of a file; {} if it cannot be read."""
+    with contextlib.suppress(OSError, ValueError), open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+        return parse(data)
+    return {}
+
+
+def read_tags(files: DataFrame) -> DataFrame:
+    """The tags of (path, file), file being where it lies; missing texts are '', missing numbers 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tags = [parse(c or b"") for c in b.column(1).to_pylist()]
+            tags = [read_file(f) for f in b.column(1).to_pylist()]
             columns = [pa.array([t.get(f) or "" for t in tags], pa.string()) for f in FIELDS]
             columns += [pa.array([t.get(n) or 0 for t in tags], pa.int32()) for n in NUMBERS]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["path", *FIELDS, *NUMBERS])
 
-    return contents.select("path", "content").mapInArrow(run, SCHEMA)
+    return files.select("path", "file").mapInArrow(run, SCHEMA)
 
 
 def scan_tags(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """Tags of the audio files below ``root``, by path relative to it."""
-    from larkspur.sources.tree import read_contents
+    from larkspur.sources.tree import list_audio
 
-    files = read_contents(spark, root, recursive)
-    rel = F.substring_index("path", root.rstrip("/") + "/", -1)
-    return read_tags(files.select(rel.alias("path"), "content"))
+    files = list_audio(spark, root, recursive)
+    rel = F.substring_index("file", root.rstrip("/") + "/", -1)
+    return read_tags(files.select(rel.alias("path"), "file"))
 

@@ -1,10 +1,17 @@
-"""Directory trees as tables. The driver walks names only; contents are read on executors."""
+"""Directory trees as tables.
+
+Audio files are listed by Spark's own reader, which spreads a deep listing over the cluster and, without
+the content column, opens no file. The walk that also finds folders and other files reads names and sizes
+only; what is read of files, heads and tags, executors read.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +53,10 @@ def audio_files(tree: DataFrame) -> DataFrame:
     return tree.where(~F.col("is_dir") & is_audio(F.col("rel")))
 
 
-def read_contents(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """path, length, content of the audio files below ``root``."""
+def list_audio(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """file, length of the audio files below ``root``; their contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    return files.where(is_audio(F.col("path"))).select("path", "length", "content")
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("file"), "length").where(is_audio(F.col("file")))
 
 
 def folders(files: DataFrame, dirs: DataFrame, artist_depth: int, album_depth: int) -> tuple[DataFrame, DataFrame]:
@@ -83,3 +90,21 @@ def folders(files: DataFrame, dirs: DataFrame, artist_depth: int, album_depth: i
 def fingerprint(content: Column, sample: int) -> Column:
     """SHA-1 of a content's first ``sample`` bytes."""
     return F.sha1(F.substring(content, 1, sample))
+
+
+def heads(files: DataFrame, sample: int) -> DataFrame:
+    """rel, length, digest of (rel, path, length): executors read the first ``sample`` bytes alone. A file
+    that cannot be read has a null digest, so it equals none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests: list[str | None] = []
+            for path in b.column(1).to_pylist():
+                try:
+                    with open(path, "rb") as f:
+                        digests.append(hashlib.sha1(f.read(sample)).hexdigest())
+                except OSError:
+                    digests.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.string())], ["rel", "length", "digest"])
+
+    return files.select("rel", "path", "length").mapInArrow(run, "rel string, length bigint, digest string")
