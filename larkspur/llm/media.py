@@ -449,8 +449,10 @@ def media_columns(docs: DataFrame, tensors: bool = True) -> DataFrame:
     """doc_id, n_bytes, media, payload, feature and tensors (an array of height, width, RGB bytes).
 
     A text's UTF-8 bytes (null: none) are padded with zeros to a positive multiple of 64 and stored;
-    payload, feature and tensors come from the stored bytes. Rows are independent: repeated rows give
-    repeated results, other columns are ignored. Without ``tensors`` their column is left out.
+    payload, feature and tensors come from the stored bytes. A row's result depends on its text alone, so
+    there are no ties and repeated rows, shared or null ids give repeated results; a text of any length
+    is stored, over FRAME bytes as several images. Other columns are ignored, an empty table gives an
+    empty result. Without ``tensors`` their column is left out.
     """
     prepare(docs.sparkSession)
     cell = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())])

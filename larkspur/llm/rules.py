@@ -2,9 +2,10 @@
 
 Base rules count words, symbols, repeated lines and repeated three-word windows. The method's verdict
 comes from a modified Kneser-Ney model of each language: 5-grams of characters that run across words, so
-that word order counts. Spark counts the 5-grams of the whole corpus; the lower orders' continuation
-counts, discounts and interpolated probabilities follow by aggregations and joins on the grams
-themselves, so the model grows with the corpus.
+that word order counts. Spark counts, over the whole corpus, the documents that have a 5-gram (a text
+that repeats itself does not make itself likely); the lower orders' continuation counts, discounts and
+interpolated probabilities follow by aggregations and joins on the grams themselves, so the model grows
+with the corpus.
 
 Nothing of the model is collected or broadcast. Texts are dealt out in groups of bounded size. A group
 asks once for each of its distinct 5-grams, in one packed row for each shard of the model. A shard holds
@@ -36,7 +37,7 @@ SYMBOLS = b"#*$%&|<>"
 BLANK = b" \t\n\x0b\x0c\r"
 #: How far a document's log-perplexity may fall below, or rise above, the quartiles of its language, in
 #: spreads between them.
-BELOW, ABOVE = 3.0, 2.0
+BELOW, ABOVE = 4.0, 2.0
 #: Bytes of text in a group, and groups whose distinct grams are answered by one shard of the model.
 GROUP, SHARED = 32 << 20, 8
 _P = U64(0x9E3779B97F4A7C15)
@@ -100,15 +101,18 @@ def base(text: bytes, words: list[bytes], hashes: np.ndarray) -> tuple[int, int,
 
 
 def distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes, counts and symbols (a row for each) of the distinct grams of some texts."""
+    """Sorted hashes, numbers of texts and symbols (a row for each) of the distinct grams of some texts."""
     codes, of = symbols(texts)
     h = hashed(codes)
     at = np.flatnonzero(of[: len(h)] == of[ORDER - 1 :])
     h = h[at]
     order = np.argsort(h)
     h = h[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[first], np.diff(np.append(first, len(h))), codes[at[order[first]][:, None] + np.arange(ORDER)]
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    first = np.flatnonzero(new)
+    pairs = np.sort((np.cumsum(new) - 1) << 24 | of[at[order]])  # a chunk has fewer texts than 2^24
+    n = np.bincount(pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] >> 24)
+    return h[first], n, codes[at[order[first]][:, None] + np.arange(ORDER)]
 
 
 def merged(h: np.ndarray, n: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +145,7 @@ ASKED = "batch bigint, lang string, shard bigint, grams binary, n binary"
 
 
 def asked(dealt: DataFrame, shards: int) -> DataFrame:
-    """ASKED: the distinct grams of each group of texts, by language and shard, with their counts."""
+    """ASKED: the distinct grams of each group of texts, by language and shard, with the texts that have them."""
 
     def count(group: pa.Table) -> pa.Table:
         batch = group.column("batch")[0].as_py()

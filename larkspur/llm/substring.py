@@ -40,7 +40,7 @@ BYTES_PER_ANCHOR = 30
 #: Anchors that a batch of documents gathers before it is sketched.
 SKETCHED = 400_000
 #: Windows that a task gathers before it settles and sends them; and windows of a shard.
-FLUSH, SHARD = 600_000, 1_500_000
+FLUSH, SHARD = 600_000, 1_000_000
 #: Places of an anchor from which its windows are dealt out by their own hashes.
 OFTEN = 100_000
 

@@ -249,7 +249,7 @@ def brute_perplexity(texts):
     grams = [Counter() for _ in range(6)]
     for t in texts:
         s = cleaned(t)
-        grams[5].update(s[i : i + 5] for i in range(len(s) - 4))
+        grams[5].update({s[i : i + 5] for i in range(len(s) - 4)})
     for k in range(4, 0, -1):
         grams[k].update(g[1:] for g in grams[k + 1])
     discounts, by_context = {}, defaultdict(list)
