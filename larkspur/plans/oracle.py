@@ -181,7 +181,7 @@ merged AS (SELECT acts.src, coalesce(renamed, acts.dest) AS dest, action FROM ac
 _GUESS = """s AS (SELECT *, trim(regexp_replace(split_part({name}, '/', -1), '\\.[^./]*$', '')) AS stem FROM {source}),
 p AS (SELECT *, instr(stem, ' - ') AS pos FROM s), q AS (SELECT *, trim(substr(stem, 1, pos - 1)) AS l, trim(substr(stem, pos + 3)) AS r FROM p),
 guess AS (
-  SELECT *, CASE WHEN pos > 0 AND r <> '' AND NOT regexp_full_match(l, '[0-9]{{1,3}}') THEN l ELSE '' END AS by,
+  SELECT *, CASE WHEN pos > 0 AND r <> '' AND NOT regexp_full_match(l, '[0-9]{{1,3}}') THEN l ELSE '' END AS whom,
     CASE WHEN pos > 0 THEN CASE WHEN r = '' THEN l ELSE r END WHEN regexp_matches(stem, '^[0-9]{{1,3}}[. ]') THEN trim(regexp_replace(stem, '^[0-9]{{1,3}}[. ]+', '')) ELSE stem END AS called FROM q
 )"""
 FALLBACKS = f"""{CATALOG}, t AS ({TAGS.replace('AS STRING', 'AS VARCHAR')}), {_GUESS.format(name="path", source="t")},
@@ -190,7 +190,7 @@ f AS (
 ), g AS (
   SELECT *, CASE WHEN len(parts) >= 3 THEN trim(parts[len(parts) - 2]) ELSE '' END AS da, CASE WHEN len(parts) >= 2 THEN trim({cut('trim(parts[len(parts) - 1])', text.YEAR)}) ELSE '' END AS db FROM f
 ), h AS (SELECT *, CASE WHEN album = '' AND gap THEN db ELSE album END AS own FROM g)
-SELECT path, CASE WHEN title = '' THEN called ELSE title END AS title, CASE WHEN named <> '' THEN named WHEN by <> '' THEN by WHEN da <> '' THEN da ELSE 'Unknown Artist' END AS artists,
+SELECT path, CASE WHEN title = '' THEN called ELSE title END AS title, CASE WHEN named <> '' THEN named WHEN whom <> '' THEN whom WHEN da <> '' THEN da ELSE 'Unknown Artist' END AS artists,
   CASE WHEN own = '' THEN 'Unknown Album' ELSE own END AS album, parts[len(parts)] AS filename FROM h"""
 
 SCAN = f"""{CATALOG}, c AS (
