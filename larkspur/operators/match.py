@@ -90,24 +90,47 @@ def _by_artist(entries: DataFrame) -> DataFrame:
     return entries.select(*KEY, F.posexplode("artist_norms").alias("place", "artist")).where("artist <> ''")
 
 
-def tier_exact(entries: DataFrame, tracks: DataFrame) -> DataFrame:
+class Shared:
+    """What several tiers need of the same tracks, made once: for all entries, so for those left of them too."""
+
+    def __init__(self, entries: DataFrame, tracks: DataFrame):
+        self.entries, self.tracks = entries, tracks
+        self.made: dict[str, DataFrame] = {}
+
+    def links(self) -> DataFrame:
+        """artist, linked: see ``artist_links``."""
+        if "" not in self.made:
+            artist = lambda d, c: d.select(F.explode(c).alias("artist"))
+            self.made[""] = cut(artist_links(artist(self.entries, "artist_norms"), artist(self.tracks, "norm_artists")))
+        return self.made[""]
+
+    def order(self, source: str) -> DataFrame:
+        """text, words of all titles and of the tracks' column ``source``: see ``rare_first``."""
+        if source not in self.made:
+            titles, texts = self.entries.select(F.col("norm_title").alias("text")), self.tracks.select(F.col(source).alias("text"))
+            self.made[source] = cut(rare_first(titles, texts))
+        return self.made[source]
+
+
+def tier_exact(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
     t = _smallest(tracks.withColumn("artist", F.explode("norm_artists")), "norm_title", "artist", "norm_album")
     return _by_artist(entries).join(t, ["norm_title", "artist", "norm_album"]).select(*KEY, "path", *_candidate(fixed.EXACT, F.col("place")))
 
 
-def tier_title_artist(entries: DataFrame, tracks: DataFrame) -> DataFrame:
+def tier_title_artist(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
     t = _smallest(tracks.withColumn("artist", F.explode("norm_artists")), "norm_title", "artist")
     return _by_artist(entries).join(t, ["norm_title", "artist"]).select(*KEY, "path", *_candidate(fixed.TITLE_ARTIST, F.col("place")))
 
 
-def tier_title_album(entries: DataFrame, tracks: DataFrame) -> DataFrame:
+def tier_title_album(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
     t = _smallest(tracks, "norm_title", "norm_album")
     return entries.where("norm_album <> ''").join(t, ["norm_title", "norm_album"]).select(*KEY, "path", *_candidate(fixed.TITLE_ALBUM))
 
 
-def tier_title(entries: DataFrame, tracks: DataFrame) -> DataFrame:
+def tier_title(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
     """Equal titles; an entry that names artists needs a linked one."""
-    own = linked_entries(entries, tracks).join(_smallest(_per_artist(tracks), "norm_title", "artist"), ["norm_title", "artist"])
+    links = (shared or Shared(entries, tracks)).links()
+    own = linked_entries(entries, links).join(_smallest(_per_artist(tracks), "norm_title", "artist"), ["norm_title", "artist"])
     other = entries.where(~_named()).join(_smallest(tracks, "norm_title"), "norm_title")
     columns = [*KEY, "path", *_candidate(fixed.TITLE)]
     return own.select(*columns).unionByName(other.select(*columns))
@@ -124,21 +147,21 @@ def _named() -> Column:
 def artist_links(left: DataFrame, right: DataFrame) -> DataFrame:
     """artist, linked: pairs of distinct artists that are the same or hold one another as whole words.
 
-    A holder shares all words of what it holds, so it is enough to join on the longest of those.
+    A holder shares all words of what it holds, so it is enough to join on the rarest of those.
     """
     a, b = left.select("artist").where("artist <> ''").distinct(), right.select("artist").where("artist <> ''").distinct()
-    words = lambda d, name: d.select(F.col("artist").alias(name), F.explode(tokens(F.col("artist"))).alias("word"))
-    longest = F.transform(tokens(F.col("artist")), lambda t: F.struct(F.char_length(t).alias("n"), t.alias("t")))
-    needle = lambda d, name: d.where(F.char_length("artist") >= fixed.MIN_ARTIST_RUNES).select(F.col("artist").alias(name), F.array_max(longest)["t"].alias("word"))
+    order = cut(rare_first(a.select(F.col("artist").alias("text")), b.select(F.col("artist").alias("text"))))
+    known = lambda d, name: d.join(order, F.col("artist") == F.col("text")).select(F.col("artist").alias(name), "words")
+    words = lambda d, name: known(d, name).withColumn("word", F.explode("words")).drop("words")
+    needle = lambda d, name: known(d, name).where(F.char_length(name) >= fixed.MIN_ARTIST_RUNES).withColumn("word", F.get("words", F.lit(0))).drop("words")
     inside = needle(a, "artist").join(words(b, "linked"), "word").where(artist_contains(F.col("linked"), F.col("artist"))).select("artist", "linked")
     around = words(a, "artist").join(needle(b, "linked"), "word").where(artist_contains(F.col("artist"), F.col("linked"))).select("artist", "linked")
     same = a.join(b, "artist").select("artist", F.col("artist").alias("linked"))
     return same.unionByName(inside).unionByName(around).distinct()
 
 
-def linked_entries(entries: DataFrame, tracks: DataFrame) -> DataFrame:
+def linked_entries(entries: DataFrame, links: DataFrame) -> DataFrame:
     """Entries that name artists, once for each track artist that is linked with one of them."""
-    links = artist_links(entries.select(F.explode("artist_norms").alias("artist")), tracks.select(F.explode("norm_artists").alias("artist")))
     named = entries.where(_named()).withColumn("named", F.explode(without_blanks(F.array_distinct("artist_norms"))))
     return named.join(links.withColumnRenamed("artist", "named"), "named").select(*KEY, F.col("linked").alias("artist")).distinct()
 
@@ -152,20 +175,19 @@ def rare_first(texts: DataFrame, known: DataFrame) -> DataFrame:
     return each.join(often, "word").groupBy("text").agg(ordered.alias("o")).select("text", F.transform("o", lambda x: x["word"]).alias("words"))
 
 
-def _sides(entries: DataFrame, tracks: DataFrame, source: str) -> list[tuple[DataFrame, DataFrame, list[str]]]:
+def _sides(entries: DataFrame, tracks: DataFrame, source: str, links: DataFrame) -> list[tuple[DataFrame, DataFrame, list[str]]]:
     """Entries (KEY) and track keys (text, path) in two parts with the columns that they join on: those that
     name artists on a linked one, the others on none; text is the track's column ``source``."""
     t = tracks.withColumn("text", F.col(source)).where("text <> ''")
-    named = (linked_entries(entries, tracks), _smallest(_per_artist(t), "text", "artist"), ["artist"])
+    named = (linked_entries(entries, links), _smallest(_per_artist(t), "text", "artist"), ["artist"])
     return [named, (entries.where(~_named()), _smallest(t, "text"), [])]
 
 
-def holding_pairs(entries: DataFrame, tracks: DataFrame, source: str) -> DataFrame:
+def holding_pairs(entries: DataFrame, tracks: DataFrame, source: str, shared: Shared | None = None) -> DataFrame:
     """KEY, text, path where title or text may hold the other: the rarest word of one is in the other."""
-    texts = entries.select(F.col("norm_title").alias("text"))
-    order = cut(rare_first(texts, tracks.select(F.col(source).alias("text"))))
-    out = []
-    for e, t, on in _sides(entries, tracks, source):
+    shared = shared or Shared(entries, tracks)
+    order, out = shared.order(source), []
+    for e, t, on in _sides(entries, tracks, source, shared.links()):
         e, t = e.join(order.select(F.col("text").alias("norm_title"), F.col("words").alias("ew")), "norm_title"), t.join(order, "text")
         every = lambda d, c: d.withColumn("word", F.explode(c))
         rarest = lambda d, c: d.withColumn("word", F.get(c, F.lit(0)))
@@ -174,14 +196,14 @@ def holding_pairs(entries: DataFrame, tracks: DataFrame, source: str) -> DataFra
     return _union(out).distinct()
 
 
-def overlapping_pairs(entries: DataFrame, tracks: DataFrame, threshold: float = fixed.TOKEN_THRESHOLD) -> DataFrame:
+def overlapping_pairs(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None, threshold: float = fixed.TOKEN_THRESHOLD) -> DataFrame:
     """KEY, text, path, overlap where the titles' tokens have that Jaccard similarity: of n words in order of
     rarity, two such titles share one among the first n - ceil(threshold * n) + 1 of each."""
-    texts = entries.select(F.col("norm_title").alias("text"))
-    order = cut(rare_first(texts, tracks.select(F.col("norm_title").alias("text"))))
+    shared = shared or Shared(entries, tracks)
+    order = shared.order("norm_title")
     first = lambda c: F.explode(F.slice(c, F.lit(1), F.size(c) - F.ceil(F.size(c) * threshold - 1e-9).cast("int") + 1))
     out = []
-    for e, t, on in _sides(entries, tracks, "norm_title"):
+    for e, t, on in _sides(entries, tracks, "norm_title", shared.links()):
         e = e.join(order.select(F.col("text").alias("norm_title"), F.col("words").alias("ew")), "norm_title").withColumn("word", first("ew"))
         near = e.join(t.join(order, "text").withColumn("word", first("words")), [*on, "word"])
         near = near.where((F.size("ew") >= threshold * F.size("words") - 1e-9) & (F.size("words") >= threshold * F.size("ew") - 1e-9))
@@ -189,23 +211,23 @@ def overlapping_pairs(entries: DataFrame, tracks: DataFrame, threshold: float =
     return _union(out).distinct()
 
 
-def tier_title_part(entries: DataFrame, tracks: DataFrame) -> DataFrame:
-    return holding_pairs(entries, tracks, "norm_title").select(*KEY, "path", *_candidate(fixed.TITLE_PART))
+def tier_title_part(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
+    return holding_pairs(entries, tracks, "norm_title", shared).select(*KEY, "path", *_candidate(fixed.TITLE_PART))
 
 
-def tier_tokens(entries: DataFrame, tracks: DataFrame) -> DataFrame:
-    return overlapping_pairs(entries, tracks).select(*KEY, "path", *_candidate(fixed.TOKENS, None, F.col("overlap")))
+def tier_tokens(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
+    return overlapping_pairs(entries, tracks, shared).select(*KEY, "path", *_candidate(fixed.TOKENS, None, F.col("overlap")))
 
 
-def tier_artist(entries: DataFrame, tracks: DataFrame) -> DataFrame:
+def tier_artist(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
     """Tracks of a named artist whose title shares a token: the smallest path of each artist and token."""
     t = _smallest(_per_artist(tracks).withColumn("word", F.explode(tokens(F.col("norm_title")))), "artist", "word")
     e = _by_artist(entries).withColumn("word", F.explode(tokens(F.col("norm_title"))))
     return e.join(t, ["artist", "word"]).select(*KEY, "path", *_candidate(fixed.ARTIST, F.col("place"))).distinct()
 
 
-def tier_filename(entries: DataFrame, tracks: DataFrame) -> DataFrame:
-    return holding_pairs(entries, tracks, "norm_filename").select(*KEY, "path", *_candidate(fixed.FILENAME))
+def tier_filename(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
+    return holding_pairs(entries, tracks, "norm_filename", shared).select(*KEY, "path", *_candidate(fixed.FILENAME))
 
 
 TIERS = {
@@ -244,7 +266,8 @@ def _keys(entries: DataFrame) -> DataFrame:
 def candidates(entries: DataFrame, tracks: DataFrame) -> DataFrame:
     """All tiers' candidates of distinct entry keys."""
     keys = _keys(entries)
-    return _union([t(keys, tracks) for t in TIERS.values()])
+    shared = Shared(keys, tracks)
+    return _union([t(keys, tracks, shared) for t in TIERS.values()])
 
 
 def with_winners(entries: DataFrame, won: DataFrame) -> DataFrame:
@@ -266,9 +289,10 @@ def match(entries: DataFrame, tracks: DataFrame) -> DataFrame:
     Each step's winners are checkpointed, so steps neither repeat work nor lengthen the plan.
     """
     left, won = cut(_keys(entries)), None
+    shared = Shared(left, tracks)
     steps = [["exact", "title_artist", "title_album", "title"], ["title_part", "tokens"], ["artist", "filename"]]
     for step in steps:
-        found = cut(best(_union([TIERS[t](left, tracks) for t in step])))
+        found = cut(best(_union([TIERS[t](left, tracks, shared) for t in step])))
         won = found if won is None else won.unionByName(found)
         left = cut(left.join(found.select(*KEY), KEY, "left_anti"))
     return with_winners(entries, won)
