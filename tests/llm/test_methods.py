@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from larkspur.llm import fm, langid, media, packing, rules, substring
+from larkspur.llm.queries import tokenizer
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import WORD, brute_base, table
@@ -354,3 +355,10 @@ def test_fit_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(fm, "FIT_BYTES", 4 * 100 * 5)
     fm.train(docs, labels, F.lit(True))
     assert seen == [20, 5]
+
+
+def test_documents_pack_close_to_the_lower_bound(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.pack(d, tokenizer()).agg(F.countDistinct("sequence_id"), F.sum("length"), F.count_if(F.col("length") > 1024)).first()
+    least = max(-(-got[1] // 2048), got[2])
+    assert least <= got[0] <= least * 1.005 + 1
