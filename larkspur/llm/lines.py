@@ -344,7 +344,8 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int =
     lists = cut(gone.groupBy(F.col("k").alias("_k"), F.col("v").alias("_v")).agg(F.collect_set("line").alias("_removed")), "gone")
     # The row travels as one struct, so that no column of docs can clash with those used here.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"), k.alias("_key"), v.alias("_version"))
-    out = rows.join(side(lists), (F.col("_key") == F.col("_k")) & (F.col("_version") == F.col("_v")), "left")
+    # A row for each document that loses lines: it grows with the input, so it is never broadcast.
+    out = rows.join(lists.hint("shuffle_hash"), (F.col("_key") == F.col("_k")) & (F.col("_version") == F.col("_v")), "left")
     old = F.col("_d.text")
     new = F.coalesce(F.pandas_udf(without_lines, "string")(F.when(F.col("_removed").isNotNull(), old), F.col("_removed")), old)
     n_lines = F.coalesce(F.length(old) - F.length(F.replace(old, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
