@@ -21,6 +21,7 @@ stretch of blanks is one blank.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,11 @@ BLANK = b" \t\n\x0b\x0c\r"
 #: spreads between them.
 BELOW, ABOVE = 4.0, 2.0
 #: Bytes of text in a group, and groups whose distinct grams are answered by one shard of the model.
-GROUP, SHARED = 32 << 20, 8
+GROUP, SHARED = 24 << 20, 8
+#: Distinct grams of a group's megabytes that are held before they are merged.
+HELD = 1_000_000
+#: Texts are shuffled in so many rounds, so that only a part of them lies on disk beside the input.
+ROUNDS = 2
 _P = U64(0x9E3779B97F4A7C15)
 
 
@@ -155,7 +160,7 @@ def asked(dealt: DataFrame, shards: int) -> DataFrame:
             for own in texts:
                 parts.append(distinct(own))
                 held += len(parts[-1][0])
-                if held > 2_000_000:
+                if held > HELD:
                     parts = [merged(*map(np.concatenate, zip(*parts, strict=True)))]
                     held = 0
             if not parts:
@@ -322,16 +327,18 @@ def assess(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, below: fl
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-size // GROUP))
     dealt = own.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long"))
-    asks = cut(asked(dealt, -(-groups // SHARED)), "asked")
+    parts = [F.col("batch") % ROUNDS == r for r in range(min(ROUNDS, groups))]
+    asked_parts = [cut(asked(dealt.where(part), -(-groups // SHARED)), "asked") for part in parts]
+    asks = reduce(DataFrame.unionByName, asked_parts)
     counts = cut(counted(asks), "counts")
     each = cut(orders(counts), "orders")
     drop(counts)
     known = cut(model(each), "model")
     drop(each)
     answers = cut(answered(asks, known), "answers")
-    drop(asks)
-    drop(known)
-    rows = cut(scored(dealt, answers), "scored")
+    for table in (*asked_parts, known):
+        drop(table)
+    rows = reduce(DataFrame.unionByName, [cut(scored(dealt.where(part), answers.where(part)), "scored") for part in parts])
     drop(answers)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
