@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, keyed, mix, per_text, prepare, side, tidy, tidy_group, window_hashes
+from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, keyed, mix, per_text, prepare, tidy, tidy_group, window_hashes
 
 WINDOW, PART = 20, 8
 #: Counters in a row of a block, rows, and anchors for which a block is made (an eighth of a row's counters).
@@ -350,4 +350,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     own = docs.select(k.alias("k"), v.alias("v"), "text").where(F.col("text").isNotNull())
     lists = removed_windows(own.dropDuplicates(["k", "v"]) if shared else own)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k.alias("k"), v.alias("v"), "text")
-    return remaining(rows.join(side(lists), ["k", "v"], "left").select("doc_id", "text", "lists"))
+    # A row for each document that loses words: it grows with the input, so it is never broadcast.
+    return remaining(rows.join(lists.hint("shuffle_hash"), ["k", "v"], "left").select("doc_id", "text", "lists"))
