@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import fm, lines, minhash, mixing, packing
-from larkspur.llm.common import crc_mod, cut, keyed, shared_ids, side, table
+from larkspur.llm.common import crc_mod, cut, keyed, shared_ids, table
 from larkspur.llm.queries import CAPACITY, tokenizer
 
 #: Per cent of Jaccard similarity from which the near-dedup stage links documents.
@@ -41,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     going = cut(groups.where(~F.col("first")).select(F.col("doc_id").alias("_id"), F.col("v").alias("_v")).distinct(), "going")
     _, v, _ = keyed(docs)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"), F.col("doc_id").cast("long").alias("_key"), v.alias("_version"))
-    left = rows.join(side(going), (F.col("_key") == F.col("_id")) & (F.col("_version") == F.col("_v")), "left_anti")
+    left = rows.join(going.hint("shuffle_hash"), (F.col("_key") == F.col("_id")) & (F.col("_version") == F.col("_v")), "left_anti")
     return left.select(*[F.col(f"_d.`{c}`").alias(c) for c in docs.columns])
 
 
