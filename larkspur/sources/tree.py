@@ -1,8 +1,7 @@
 """Directory trees as tables.
 
-Audio files are listed by Spark's own reader, which spreads a deep listing over the cluster and, without
-the content column, opens no file. The walk that also finds folders and other files reads names and sizes
-only; what is read of files, heads and tags, executors read.
+The driver lists the root alone; executors walk the folders in it, and read what is read of files, heads
+and tags. So the file system has to be one that they share.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.paths import is_audio
 from larkspur.functions.text import album_key, normalize
+from larkspur.operators.lineage import cut
 
 
 def _walk(root: str, recursive: bool, strict: bool) -> Iterator[tuple[str, str, bool, int]]:
@@ -43,10 +44,30 @@ def _walk(root: str, recursive: bool, strict: bool) -> Iterator[tuple[str, str,
             dirs.clear()
 
 
+TREE = "rel string, path string, is_dir boolean, length bigint"
+
+
 def list_tree(spark: SparkSession, root: str, recursive: bool = True, strict: bool = False) -> DataFrame:
-    """rel, path, is_dir, length of all below ``root``. ``strict`` raises on the first unreadable
-    folder; otherwise it is left out, and a missing root is an empty table."""
-    return spark.createDataFrame(list(_walk(root, recursive, strict)), "rel string, path string, is_dir boolean, length bigint")
+    """rel, path, is_dir, length of all below ``root``, as it is now. ``strict`` raises on the first
+    unreadable folder; otherwise it is left out, and a missing root is an empty table. Links to folders
+    are not followed."""
+    top = list(_walk(root, False, strict))
+    here = spark.createDataFrame(top, TREE)
+    inner = [(rel, path) for rel, path, is_dir, _ in top if is_dir and not os.path.islink(path)]
+    if not recursive or not inner:
+        return here
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.string(), pa.string(), pa.bool_(), pa.int64())
+        names = [c.split()[0] for c in TREE.split(", ")]
+        for b in batches:
+            for rel, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = _walk(path, True, strict)
+                while rows := [(f"{rel}/{r}", *rest) for r, *rest in islice(found, 10_000)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    spread = spark.createDataFrame(inner, "rel string, path string").repartition(min(len(inner), 1_000))
+    return cut(here.unionByName(spread.mapInArrow(run, TREE)))
 
 
 def audio_files(tree: DataFrame) -> DataFrame:
@@ -54,9 +75,8 @@ def audio_files(tree: DataFrame) -> DataFrame:
 
 
 def list_audio(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """file, length of the audio files below ``root``; their contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("file"), "length").where(is_audio(F.col("file")))
+    """file, length of the audio files below ``root``, empty ones too; their contents are not read."""
+    return audio_files(list_tree(spark, root, recursive)).select(F.col("path").alias("file"), "length")
 
 
 def folders(files: DataFrame, dirs: DataFrame, artist_depth: int, album_depth: int) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ import struct
 import wave
 import zlib
 
+import pytest
 from larkspur.sinks.apply import apply_plan
 from larkspur.sources.tags import read_file, scan_tags
 from larkspur.sources.tree import heads, list_audio, list_tree
@@ -58,7 +59,20 @@ def test_tags_of_files_with_long_contents(spark, tmp_path):
     assert (got["a/four.m4a"]["title"], got["a/four.m4a"]["disc_no"], got["a/four.m4a"]["disc_total"]) == ("Last", 1, 2)
     assert (got["b/five.mp3"]["title"], got["b/five.mp3"]["artist"]) == ("Old", "Cy") and got["b/seven.mp3"]["title"] == "" == got["b/six.wav"]["title"]
     assert read_file(str(tmp_path / "none.mp3")) == {}
-    assert "content" not in list_audio(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert list_audio(spark, str(tmp_path)).where("length = 0").count() == 1 and list_audio(spark, str(tmp_path), recursive=False).count() == 0
+
+
+def test_tree_is_walked_by_folder(spark, tmp_path):
+    for name in ("x/a.mp3", "x/y/b.mp3", "x/y/z/c.txt", "w/d.mp3", "top.mp3"):
+        put(tmp_path, name)
+    os.makedirs(tmp_path / "empty" / "inner")
+    os.symlink(tmp_path / "x", tmp_path / "link")
+    got = {r["rel"]: (r["path"], r["is_dir"], r["length"]) for r in list_tree(spark, str(tmp_path)).collect()}
+    assert sorted(got) == ["empty", "empty/inner", "link", "top.mp3", "w", "w/d.mp3", "x", "x/a.mp3", "x/y", "x/y/b.mp3", "x/y/z", "x/y/z/c.txt"]
+    assert got["x/y/b.mp3"] == (str(tmp_path / "x/y/b.mp3"), False, 1) and got["x/y"][1] and not got["top.mp3"][1]
+    assert list_tree(spark, str(tmp_path / "none")).count() == 0 and sorted(r["rel"] for r in list_tree(spark, str(tmp_path), recursive=False).collect()) == ["empty", "link", "top.mp3", "w", "x"]
+    with pytest.raises(OSError):
+        list_tree(spark, str(tmp_path / "none"), strict=True)
 
 
 def test_heads(spark, tmp_path):
