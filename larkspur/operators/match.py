@@ -150,7 +150,7 @@ def artist_links(left: DataFrame, right: DataFrame) -> DataFrame:
     A holder shares all words of what it holds, so it is enough to join on the rarest of those.
     """
     a, b = left.select("artist").where("artist <> ''").distinct(), right.select("artist").where("artist <> ''").distinct()
-    order = cut(rare_first(a.select(F.col("artist").alias("text")), b.select(F.col("artist").alias("text"))))
+    order = rare_first(a.select(F.col("artist").alias("text")), b.select(F.col("artist").alias("text")))
     known = lambda d, name: d.join(order, F.col("artist") == F.col("text")).select(F.col("artist").alias(name), "words")
     words = lambda d, name: known(d, name).withColumn("word", F.explode("words")).drop("words")
     needle = lambda d, name: known(d, name).where(F.char_length(name) >= fixed.MIN_ARTIST_RUNES).withColumn("word", F.get("words", F.lit(0))).drop("words")
@@ -294,7 +294,8 @@ def match(entries: DataFrame, tracks: DataFrame) -> DataFrame:
     for step in steps:
         found = cut(best(_union([TIERS[t](left, tracks, shared) for t in step])))
         won = found if won is None else won.unionByName(found)
-        left = cut(left.join(found.select(*KEY), KEY, "left_anti"))
+        if step is not steps[-1]:
+            left = cut(left.join(found.select(*KEY), KEY, "left_anti"))
     return with_winners(entries, won)
 
 
