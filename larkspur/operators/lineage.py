@@ -1,10 +1,10 @@
-"""Cutting lineage through the folder that driver and executors share."""
+"""Cutting lineage through the folder that driver and executors share; joins of derived tables."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +22,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows from a reliable checkpoint: computed once, with a short plan."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def joined(left: DataFrame, right: DataFrame, on: str | Column | list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffle and merge, never a broadcast: Spark takes the size of a derived table from its
+    input's compressed files, before words are exploded, and would send millions of rows to the driver."""
+    return left.join(right.hint("merge"), on, how)

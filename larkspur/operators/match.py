@@ -20,7 +20,7 @@ from larkspur.functions import fixed
 from larkspur.functions.paths import artist_and_title, basename, directory_album, directory_artist
 from larkspur.functions.similarity import artist_contains, contains_words, jaccard, share_token, word_aligned
 from larkspur.functions.text import normalize, normalize_all, split_artists, tokens, without_blanks
-from larkspur.operators.lineage import cut
+from larkspur.operators.lineage import cut, joined
 
 KEY = ["norm_title", "norm_album", "artist_norms"]
 CANDIDATE = [*KEY, "path", "score", "place", "overlap"]
@@ -151,19 +151,19 @@ def artist_links(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     a, b = left.select("artist").where("artist <> ''").distinct(), right.select("artist").where("artist <> ''").distinct()
     order = rare_first(a.select(F.col("artist").alias("text")), b.select(F.col("artist").alias("text")))
-    known = lambda d, name: d.join(order, F.col("artist") == F.col("text")).select(F.col("artist").alias(name), "words")
+    known = lambda d, name: joined(d, order, F.col("artist") == F.col("text")).select(F.col("artist").alias(name), "words")
     words = lambda d, name: known(d, name).withColumn("word", F.explode("words")).drop("words")
     needle = lambda d, name: known(d, name).where(F.char_length(name) >= fixed.MIN_ARTIST_RUNES).withColumn("word", F.get("words", F.lit(0))).drop("words")
-    inside = needle(a, "artist").join(words(b, "linked"), "word").where(artist_contains(F.col("linked"), F.col("artist"))).select("artist", "linked")
-    around = words(a, "artist").join(needle(b, "linked"), "word").where(artist_contains(F.col("artist"), F.col("linked"))).select("artist", "linked")
-    same = a.join(b, "artist").select("artist", F.col("artist").alias("linked"))
+    inside = joined(needle(a, "artist"), words(b, "linked"), "word").where(artist_contains(F.col("linked"), F.col("artist"))).select("artist", "linked")
+    around = joined(words(a, "artist"), needle(b, "linked"), "word").where(artist_contains(F.col("artist"), F.col("linked"))).select("artist", "linked")
+    same = joined(a, b, "artist").select("artist", F.col("artist").alias("linked"))
     return same.unionByName(inside).unionByName(around).distinct()
 
 
 def linked_entries(entries: DataFrame, links: DataFrame) -> DataFrame:
     """Entries that name artists, once for each track artist that is linked with one of them."""
     named = entries.where(_named()).withColumn("named", F.explode(without_blanks(F.array_distinct("artist_norms"))))
-    return named.join(links.withColumnRenamed("artist", "named"), "named").select(*KEY, F.col("linked").alias("artist")).distinct()
+    return joined(named, links.withColumnRenamed("artist", "named"), "named").select(*KEY, F.col("linked").alias("artist")).distinct()
 
 
 def rare_first(texts: DataFrame, known: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def rare_first(texts: DataFrame, known: DataFrame) -> DataFrame:
     each = both.select("text", F.explode(tokens(F.col("text"))).alias("word"))
     often = each.groupBy("word").agg(F.count("*").alias("df"))
     ordered = F.array_sort(F.collect_list(F.struct("df", "word")))
-    return each.join(often, "word").groupBy("text").agg(ordered.alias("o")).select("text", F.transform("o", lambda x: x["word"]).alias("words"))
+    return joined(each, often, "word").groupBy("text").agg(ordered.alias("o")).select("text", F.transform("o", lambda x: x["word"]).alias("words"))
 
 
 def _sides(entries: DataFrame, tracks: DataFrame, source: str, links: DataFrame) -> list[tuple[DataFrame, DataFrame, list[str]]]:
@@ -188,11 +188,11 @@ def holding_pairs(entries: DataFrame, tracks: DataFrame, source: str, shared: Sh
     shared = shared or Shared(entries, tracks)
     order, out = shared.order(source), []
     for e, t, on in _sides(entries, tracks, source, shared.links()):
-        e, t = e.join(order.select(F.col("text").alias("norm_title"), F.col("words").alias("ew")), "norm_title"), t.join(order, "text")
+        e, t = joined(e, order.select(F.col("text").alias("norm_title"), F.col("words").alias("ew")), "norm_title"), joined(t, order, "text")
         every = lambda d, c: d.withColumn("word", F.explode(c))
         rarest = lambda d, c: d.withColumn("word", F.get(c, F.lit(0)))
         for x, y in ((rarest(e, "ew"), every(t, "words")), (every(e, "ew"), rarest(t, "words"))):
-            out.append(x.join(y, [*on, "word"]).where(word_aligned(F.col("text"), F.col("norm_title"))).select(*KEY, "text", "path"))
+            out.append(joined(x, y, [*on, "word"]).where(word_aligned(F.col("text"), F.col("norm_title"))).select(*KEY, "text", "path"))
     return _union(out).distinct()
 
 

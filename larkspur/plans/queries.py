@@ -11,7 +11,7 @@ from larkspur.functions import paths, text
 from larkspur.functions.similarity import jaccard, shares_artist, word_aligned
 from larkspur.operators import match as m
 from larkspur.operators.canonical import canonical, resolve
-from larkspur.operators.lineage import cut
+from larkspur.operators.lineage import cut, joined
 from larkspur.operators.layout import LAYOUTS, render
 from larkspur.operators.merge import album_moves, consolidate, content_duplicates, merge_plan, merge_summary, targets, unique_names
 from larkspur.operators.organize import move_plan, plan_summary
@@ -100,7 +100,7 @@ def _tier(name: str) -> Query:
         entries, tracks = cut(playlist(spark, sf_dir)), cut(library(spark, sf_dir))
         keys = entries.where("norm_title <> ''").select(*m.KEY).distinct()
         won = m.best(m.TIERS[name](keys, tracks))
-        return entries.join(won, m.KEY).select("idx", "path", "score", F.coalesce("place", F.lit(-1)).alias("place"), F.round("overlap", 9).alias("overlap"))
+        return joined(entries, won, m.KEY).select("idx", "path", "score", F.coalesce("place", F.lit(-1)).alias("place"), F.round("overlap", 9).alias("overlap"))
 
     return run
 
