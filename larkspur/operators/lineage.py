@@ -24,7 +24,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def joined(left: DataFrame, right: DataFrame, on: str | Column | list[str], how: str = "inner") -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, on: str | Column | list[str] | list[Column], how: str = "inner") -> DataFrame:
     """A join by shuffle and merge, never a broadcast: Spark takes the size of a derived table from its
     input's compressed files, before words are exploded, and would send millions of rows to the driver."""
     return left.join(right.hint("merge"), on, how)

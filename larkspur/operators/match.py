@@ -114,24 +114,24 @@ class Shared:
 
 def tier_exact(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
     t = _smallest(tracks.withColumn("artist", F.explode("norm_artists")), "norm_title", "artist", "norm_album")
-    return _by_artist(entries).join(t, ["norm_title", "artist", "norm_album"]).select(*KEY, "path", *_candidate(fixed.EXACT, F.col("place")))
+    return joined(_by_artist(entries), t, ["norm_title", "artist", "norm_album"]).select(*KEY, "path", *_candidate(fixed.EXACT, F.col("place")))
 
 
 def tier_title_artist(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
     t = _smallest(tracks.withColumn("artist", F.explode("norm_artists")), "norm_title", "artist")
-    return _by_artist(entries).join(t, ["norm_title", "artist"]).select(*KEY, "path", *_candidate(fixed.TITLE_ARTIST, F.col("place")))
+    return joined(_by_artist(entries), t, ["norm_title", "artist"]).select(*KEY, "path", *_candidate(fixed.TITLE_ARTIST, F.col("place")))
 
 
 def tier_title_album(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
     t = _smallest(tracks, "norm_title", "norm_album")
-    return entries.where("norm_album <> ''").join(t, ["norm_title", "norm_album"]).select(*KEY, "path", *_candidate(fixed.TITLE_ALBUM))
+    return joined(entries.where("norm_album <> ''"), t, ["norm_title", "norm_album"]).select(*KEY, "path", *_candidate(fixed.TITLE_ALBUM))
 
 
 def tier_title(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
     """Equal titles; an entry that names artists needs a linked one."""
     links = (shared or Shared(entries, tracks)).links()
-    own = linked_entries(entries, links).join(_smallest(_per_artist(tracks), "norm_title", "artist"), ["norm_title", "artist"])
-    other = entries.where(~_named()).join(_smallest(tracks, "norm_title"), "norm_title")
+    own = joined(linked_entries(entries, links), _smallest(_per_artist(tracks), "norm_title", "artist"), ["norm_title", "artist"])
+    other = joined(entries.where(~_named()), _smallest(tracks, "norm_title"), "norm_title")
     columns = [*KEY, "path", *_candidate(fixed.TITLE)]
     return own.select(*columns).unionByName(other.select(*columns))
 
@@ -204,8 +204,8 @@ def overlapping_pairs(entries: DataFrame, tracks: DataFrame, shared: Shared | No
     first = lambda c: F.explode(F.slice(c, F.lit(1), F.size(c) - F.ceil(F.size(c) * threshold - 1e-9).cast("int") + 1))
     out = []
     for e, t, on in _sides(entries, tracks, "norm_title", shared.links()):
-        e = e.join(order.select(F.col("text").alias("norm_title"), F.col("words").alias("ew")), "norm_title").withColumn("word", first("ew"))
-        near = e.join(t.join(order, "text").withColumn("word", first("words")), [*on, "word"])
+        e = joined(e, order.select(F.col("text").alias("norm_title"), F.col("words").alias("ew")), "norm_title").withColumn("word", first("ew"))
+        near = joined(e, joined(t, order, "text").withColumn("word", first("words")), [*on, "word"])
         near = near.where((F.size("ew") >= threshold * F.size("words") - 1e-9) & (F.size("words") >= threshold * F.size("ew") - 1e-9))
         out.append(near.withColumn("overlap", jaccard(F.col("ew"), F.col("words"))).where(F.col("overlap") >= threshold).select(*KEY, "text", "path", "overlap"))
     return _union(out).distinct()
@@ -223,7 +223,7 @@ def tier_artist(entries: DataFrame, tracks: DataFrame, shared: Shared | None = N
     """Tracks of a named artist whose title shares a token: the smallest path of each artist and token."""
     t = _smallest(_per_artist(tracks).withColumn("word", F.explode(tokens(F.col("norm_title")))), "artist", "word")
     e = _by_artist(entries).withColumn("word", F.explode(tokens(F.col("norm_title"))))
-    return e.join(t, ["artist", "word"]).select(*KEY, "path", *_candidate(fixed.ARTIST, F.col("place"))).distinct()
+    return joined(e, t, ["artist", "word"]).select(*KEY, "path", *_candidate(fixed.ARTIST, F.col("place"))).distinct()
 
 
 def tier_filename(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
@@ -273,7 +273,7 @@ def candidates(entries: DataFrame, tracks: DataFrame) -> DataFrame:
 def with_winners(entries: DataFrame, won: DataFrame) -> DataFrame:
     """Every entry with the path, score and reason of its winner; misses have a null path and their reason."""
     won = won.select(*[F.col(k).alias(f"_won_{k}") for k in KEY], "path", "score", "place", "overlap")
-    out = entries.join(won, [F.col(k) == F.col(f"_won_{k}") for k in KEY], "left").drop(*[f"_won_{k}" for k in KEY])
+    out = joined(entries, won, [F.col(k) == F.col(f"_won_{k}") for k in KEY], "left").drop(*[f"_won_{k}" for k in KEY])
     why = F.when(F.col("path").isNotNull(), reason()).when(F.col("norm_title") == "", F.lit("empty track name")).otherwise(F.lit("no match"))
     return out.withColumn("reason", why).drop("place", "overlap")
 
