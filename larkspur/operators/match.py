@@ -295,7 +295,7 @@ def match(entries: DataFrame, tracks: DataFrame) -> DataFrame:
         found = cut(best(_union([TIERS[t](left, tracks, shared) for t in step])))
         won = found if won is None else won.unionByName(found)
         if step is not steps[-1]:
-            left = cut(left.join(found.select(*KEY), KEY, "left_anti"))
+            left = cut(joined(left, found.select(*KEY), KEY, "left_anti"))
     return with_winners(entries, won)
 
 
