@@ -334,25 +334,25 @@ def near_misses(missed: DataFrame, tracks: DataFrame, k: int = 3, frequent: int
     each = words.select("norm_title", "title_tokens", F.explode("title_tokens").alias("word"))
     often = cut(each.groupBy("word").agg(F.count("*").alias("df")))
     names = missed.select(F.col("norm_title").alias("name")).distinct().withColumn("own", tokens(F.col("name")))
-    asked = cut(names.withColumn("word", F.explode("own")).join(often, "word"))
+    asked = cut(joined(names.withColumn("word", F.explode("own")), often, "word"))
 
     def scored(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select("name", "own", "norm_title", "title_tokens").dropDuplicates(["name", "norm_title"])
         both = pairs.select("name", "norm_title", jaccard(F.col("own"), F.col("title_tokens")).alias("overlap"))
-        return both.join(paths, "norm_title").select("name", "path", "overlap")
+        return joined(both, paths, "norm_title").select("name", "path", "overlap")
 
     best_of = W.partitionBy("name").orderBy(F.desc("overlap"), "path")
     top = lambda d: d.withColumn("rank", F.row_number().over(best_of)).where(F.col("rank") <= k)
     rare = asked.where(F.col("df") <= frequent).select("name", "own", "word")
-    first = cut(top(scored(rare.join(each, "word"))))
+    first = cut(top(scored(joined(rare, each, "word"))))
     floor = first.where(F.col("rank") == k).select("name", F.col("overlap").alias("least"))
     shared = F.array_sort(F.collect_list(F.struct("df", "word")))
-    common = asked.where(F.col("df") > frequent).groupBy("name").agg(F.first("own").alias("own"), shared.alias("c")).join(floor, "name", "left")
+    common = joined(asked.where(F.col("df") > frequent).groupBy("name").agg(F.first("own").alias("own"), shared.alias("c")), floor, "name", "left")
     need = F.greatest(F.lit(1), F.ceil(F.coalesce("least", F.lit(0.0)) * F.size("own") - 1e-9).cast("int"))
     again = common.where(F.size("c") >= need).withColumn("word", F.explode(F.slice("c", F.lit(1), F.size("c") - need + 1)["word"]))
-    second = scored(again.select("name", "own", "word").join(each, "word"))
+    second = scored(joined(again.select("name", "own", "word"), each, "word"))
     out = top(first.select("name", "path", "overlap").unionByName(second).distinct())
-    return missed.select("idx", F.col("norm_title").alias("name")).join(out, "name").select("idx", "rank", "path", "overlap")
+    return joined(missed.select("idx", F.col("norm_title").alias("name")), out, "name").select("idx", "rank", "path", "overlap")
 
 
 def link_pairs(a: DataFrame, b: DataFrame, text_a: str, text_b: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import fixed
 from larkspur.functions.text import normalize
+from larkspur.operators.lineage import joined
 
 
 def playlist_lines(matched: DataFrame, tracks: DataFrame, prefix: str = "") -> DataFrame:
@@ -44,9 +45,9 @@ def miss_report(missed: DataFrame, near: DataFrame, tracks: DataFrame) -> DataFr
     line = F.concat(
         F.lit("      ["), F.format_string("%.2f", F.bround("overlap", 2)), F.lit("] "), "path", F.lit(' | title="'), "t", F.lit('" artist="'), "a", F.lit('" album="'), "b", F.lit('"')
     )
-    closest = near.join(t, "path").groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("c"))
+    closest = joined(near, t, "path").groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("c"))
     artist = F.get("artists", F.lit(0))
-    own = missed.join(closest, "idx", "left")
+    own = joined(missed, closest, "idx", "left")
     found = F.concat(F.lit(f"    {fixed.CLOSEST}\n"), F.array_join(F.transform("c", lambda x: x["line"]), "\n"))
     report = F.concat(
         F.lit("- "), "track_name", F.lit(" | "), F.coalesce(artist, F.lit("Unknown")), F.lit(" | "), "album",
