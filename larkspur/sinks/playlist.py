@@ -15,7 +15,7 @@ from larkspur.operators.lineage import joined
 def playlist_lines(matched: DataFrame, tracks: DataFrame, prefix: str = "") -> DataFrame:
     """idx, info, location of each match, in no order. ``matched`` has idx, path, track_name, duration."""
     t = tracks.select("path", "title", "artists")
-    m = matched.where(F.col("path").isNotNull()).select("idx", "path", "track_name", "duration").join(t, "path")
+    m = joined(matched.where(F.col("path").isNotNull()).select("idx", "path", "track_name", "duration"), t, "path")
     artist = F.coalesce(F.get("artists", F.lit(0)), F.lit(fixed.UNKNOWN_ARTIST))
     title = F.when(F.coalesce(F.col("title"), F.lit("")) == "", F.col("track_name")).otherwise(F.col("title"))
     info = F.concat(F.lit("#EXTINF:"), F.col("duration").cast("string"), F.lit(","), artist, F.lit(" - "), title)
