@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as driver
 
 SF = "/root/testdata/sf0.001"
-QUERIES = ["q_m3u_lines", "q_match_best", "q_match_summary", "q_match_union", "q_miss_reports", "q_tier_filename"]
+QUERIES = ["q_m3u_lines", "q_match_best", "q_match_misses", "q_match_summary", "q_match_union", "q_miss_reports", "q_tier_filename"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
