@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 
 from larkspur.functions import fixed
 from larkspur.functions.paths import artist_and_title, basename, directory_album, directory_artist
-from larkspur.functions.similarity import artist_contains, contains_words, jaccard, share_token, word_aligned
+from larkspur.functions.similarity import contains_words, jaccard, same_artist, share_token, word_aligned
 from larkspur.functions.text import normalize, normalize_all, split_artists, tokens, without_blanks
 from larkspur.operators.lineage import cut, joined
 
@@ -129,17 +129,20 @@ def tier_title_album(entries: DataFrame, tracks: DataFrame, shared: Shared | Non
 
 def tier_title(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
     """Equal titles; an entry that names artists needs a linked one."""
-    links = (shared or Shared(entries, tracks)).links()
-    own = joined(linked_entries(entries, links), _smallest(_per_artist(tracks), "norm_title", "artist"), ["norm_title", "artist"])
-    other = joined(entries.where(~_named()), _smallest(tracks, "norm_title"), "norm_title")
-    columns = [*KEY, "path", *_candidate(fixed.TITLE)]
-    return own.select(*columns).unionByName(other.select(*columns))
+    gated = gated_entries(entries, (shared or Shared(entries, tracks)).links())
+    return joined(gated, _smallest(_gated(tracks), "norm_title", "artist"), ["norm_title", "artist"]).select(*KEY, "path", *_candidate(fixed.TITLE))
 
 
 def _per_artist(tracks: DataFrame) -> DataFrame:
     return tracks.withColumn("artist", F.explode("norm_artists"))
 
 
+def _gated(tracks: DataFrame) -> DataFrame:
+    """Tracks by each artist, and by '', where entries that name no artist find them."""
+    names = F.coalesce("norm_artists", F.array().cast("array<string>"))
+    return tracks.withColumn("artist", F.explode(F.concat(names, F.array(F.lit("")))))
+
+
 def _named() -> Column:
     return F.size(without_blanks(F.col("artist_norms"))) > 0
 
@@ -151,13 +154,19 @@ def artist_links(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     a, b = left.select("artist").where("artist <> ''").distinct(), right.select("artist").where("artist <> ''").distinct()
     order = rare_first(a.select(F.col("artist").alias("text")), b.select(F.col("artist").alias("text")))
-    known = lambda d, name: joined(d, order, F.col("artist") == F.col("text")).select(F.col("artist").alias(name), "words")
-    words = lambda d, name: known(d, name).withColumn("word", F.explode("words")).drop("words")
-    needle = lambda d, name: known(d, name).where(F.char_length(name) >= fixed.MIN_ARTIST_RUNES).withColumn("word", F.get("words", F.lit(0))).drop("words")
-    inside = joined(needle(a, "artist"), words(b, "linked"), "word").where(artist_contains(F.col("linked"), F.col("artist"))).select("artist", "linked")
-    around = joined(words(a, "artist"), needle(b, "linked"), "word").where(artist_contains(F.col("artist"), F.col("linked"))).select("artist", "linked")
-    same = joined(a, b, "artist").select("artist", F.col("artist").alias("linked"))
-    return same.unionByName(inside).unionByName(around).distinct()
+    known = lambda d, side: joined(d, order, F.col("artist") == F.col("text")).select("artist", _ways("artist", "words", side, fixed.MIN_ARTIST_RUNES, True)).select("artist", "way.*")
+    pairs = joined(known(a, 0), known(b, 1).withColumnRenamed("artist", "linked"), ["side", "word"])
+    return pairs.where(same_artist(F.col("artist"), F.col("linked"))).select("artist", "linked").distinct()
+
+
+def _ways(text: str, words: str, side: int, least: int, equal: bool = False) -> Column:
+    """A row ``way`` (side, word) for each key of a text, with its words in order of rarity, in a join that looks
+    for texts of side 0 in those of side 1 and the reverse: at its own side the rarest word, if the text has
+    ``least`` characters, at the other side all words. So one join does both. ``equal``: equal texts of any
+    length meet too, at side 2."""
+    way = lambda at, word: F.struct(F.lit(at).alias("side"), word.alias("word"))
+    own = [way(side, F.when(F.char_length(text) >= least, F.get(words, F.lit(0)))), *([way(2, F.col(text))] if equal else [])]
+    return F.explode(F.concat(F.array(*own), F.transform(words, lambda x: way(1 - side, x)))).alias("way")
 
 
 def linked_entries(entries: DataFrame, links: DataFrame) -> DataFrame:
@@ -166,6 +175,11 @@ def linked_entries(entries: DataFrame, links: DataFrame) -> DataFrame:
     return joined(named, links.withColumnRenamed("artist", "named"), "named").select(*KEY, F.col("linked").alias("artist")).distinct()
 
 
+def gated_entries(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """Entries by each artist where they may find tracks: see ``linked_entries``; '' if they name none."""
+    return linked_entries(entries, links).unionByName(entries.where(~_named()).select(*KEY, F.lit("").alias("artist")))
+
+
 def rare_first(texts: DataFrame, known: DataFrame) -> DataFrame:
     """text, words (its tokens, the rarest in ``known`` first) of the distinct texts of both tables (text)."""
     both = texts.select("text").union(known.select("text")).where("text <> ''").distinct()
@@ -175,59 +189,59 @@ def rare_first(texts: DataFrame, known: DataFrame) -> DataFrame:
     return joined(each, often, "word").groupBy("text").agg(ordered.alias("o")).select("text", F.transform("o", lambda x: x["word"]).alias("words"))
 
 
-def _sides(entries: DataFrame, tracks: DataFrame, source: str, links: DataFrame) -> list[tuple[DataFrame, DataFrame, list[str]]]:
-    """Entries (KEY) and track keys (text, path) in two parts with the columns that they join on: those that
-    name artists on a linked one, the others on none; text is the track's column ``source``."""
-    t = tracks.withColumn("text", F.col(source)).where("text <> ''")
-    named = (linked_entries(entries, links), _smallest(_per_artist(t), "text", "artist"), ["artist"])
-    return [named, (entries.where(~_named()), _smallest(t, "text"), [])]
+def _sides(entries: DataFrame, tracks: DataFrame, source: str, shared: Shared | None) -> tuple[DataFrame, DataFrame]:
+    """Entries (KEY, artist, ew) and track keys (text, artist, path, words) with their words in order of rarity;
+    both join on artist, '' for entries that name none. text is the track's column ``source``."""
+    shared = shared or Shared(entries, tracks)
+    order = shared.order(source)
+    t = _smallest(_gated(tracks.withColumn("text", F.col(source)).where("text <> ''")), "text", "artist")
+    e = joined(gated_entries(entries, shared.links()), order.select(F.col("text").alias("norm_title"), F.col("words").alias("ew")), "norm_title")
+    return e, joined(t, order, "text")
+
+
+def _holding(entries: DataFrame, tracks: DataFrame, source: str, shared: Shared | None) -> DataFrame:
+    e, t = _sides(entries, tracks, source, shared)
+    e = e.select(*KEY, "artist", _ways("norm_title", "ew", 0, fixed.MIN_TITLE_RUNES)).select(*KEY, "artist", "way.*")
+    t = t.select("text", "artist", "path", _ways("text", "words", 1, fixed.MIN_TITLE_RUNES)).select("text", "artist", "path", "way.*")
+    return joined(e, t, ["artist", "side", "word"]).where(word_aligned(F.col("text"), F.col("norm_title"))).select(*KEY, "text", "path")
 
 
 def holding_pairs(entries: DataFrame, tracks: DataFrame, source: str, shared: Shared | None = None) -> DataFrame:
     """KEY, text, path where title or text may hold the other: the rarest word of one is in the other."""
-    shared = shared or Shared(entries, tracks)
-    order, out = shared.order(source), []
-    for e, t, on in _sides(entries, tracks, source, shared.links()):
-        e, t = joined(e, order.select(F.col("text").alias("norm_title"), F.col("words").alias("ew")), "norm_title"), joined(t, order, "text")
-        every = lambda d, c: d.withColumn("word", F.explode(c))
-        rarest = lambda d, c: d.withColumn("word", F.get(c, F.lit(0)))
-        for x, y in ((rarest(e, "ew"), every(t, "words")), (every(e, "ew"), rarest(t, "words"))):
-            out.append(joined(x, y, [*on, "word"]).where(word_aligned(F.col("text"), F.col("norm_title"))).select(*KEY, "text", "path"))
-    return _union(out).distinct()
+    return _holding(entries, tracks, source, shared).distinct()
+
+
+def _overlapping(entries: DataFrame, tracks: DataFrame, shared: Shared | None, threshold: float) -> DataFrame:
+    first = lambda c: F.explode(F.slice(c, F.lit(1), F.size(c) - F.ceil(F.size(c) * threshold - 1e-9).cast("int") + 1))
+    e, t = _sides(entries, tracks, "norm_title", shared)
+    near = joined(e.withColumn("word", first("ew")), t.withColumn("word", first("words")), ["artist", "word"])
+    near = near.where((F.size("ew") >= threshold * F.size("words") - 1e-9) & (F.size("words") >= threshold * F.size("ew") - 1e-9))
+    return near.withColumn("overlap", jaccard(F.col("ew"), F.col("words"))).where(F.col("overlap") >= threshold).select(*KEY, "text", "path", "overlap")
 
 
 def overlapping_pairs(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None, threshold: float = fixed.TOKEN_THRESHOLD) -> DataFrame:
     """KEY, text, path, overlap where the titles' tokens have that Jaccard similarity: of n words in order of
     rarity, two such titles share one among the first n - ceil(threshold * n) + 1 of each."""
-    shared = shared or Shared(entries, tracks)
-    order = shared.order("norm_title")
-    first = lambda c: F.explode(F.slice(c, F.lit(1), F.size(c) - F.ceil(F.size(c) * threshold - 1e-9).cast("int") + 1))
-    out = []
-    for e, t, on in _sides(entries, tracks, "norm_title", shared.links()):
-        e = joined(e, order.select(F.col("text").alias("norm_title"), F.col("words").alias("ew")), "norm_title").withColumn("word", first("ew"))
-        near = joined(e, joined(t, order, "text").withColumn("word", first("words")), [*on, "word"])
-        near = near.where((F.size("ew") >= threshold * F.size("words") - 1e-9) & (F.size("words") >= threshold * F.size("ew") - 1e-9))
-        out.append(near.withColumn("overlap", jaccard(F.col("ew"), F.col("words"))).where(F.col("overlap") >= threshold).select(*KEY, "text", "path", "overlap"))
-    return _union(out).distinct()
+    return _overlapping(entries, tracks, shared, threshold).distinct()
 
 
 def tier_title_part(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
-    return holding_pairs(entries, tracks, "norm_title", shared).select(*KEY, "path", *_candidate(fixed.TITLE_PART))
+    return _holding(entries, tracks, "norm_title", shared).select(*KEY, "path", *_candidate(fixed.TITLE_PART))
 
 
 def tier_tokens(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
-    return overlapping_pairs(entries, tracks, shared).select(*KEY, "path", *_candidate(fixed.TOKENS, None, F.col("overlap")))
+    return _overlapping(entries, tracks, shared, fixed.TOKEN_THRESHOLD).select(*KEY, "path", *_candidate(fixed.TOKENS, None, F.col("overlap")))
 
 
 def tier_artist(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
     """Tracks of a named artist whose title shares a token: the smallest path of each artist and token."""
     t = _smallest(_per_artist(tracks).withColumn("word", F.explode(tokens(F.col("norm_title")))), "artist", "word")
     e = _by_artist(entries).withColumn("word", F.explode(tokens(F.col("norm_title"))))
-    return joined(e, t, ["artist", "word"]).select(*KEY, "path", *_candidate(fixed.ARTIST, F.col("place"))).distinct()
+    return joined(e, t, ["artist", "word"]).select(*KEY, "path", *_candidate(fixed.ARTIST, F.col("place")))
 
 
 def tier_filename(entries: DataFrame, tracks: DataFrame, shared: Shared | None = None) -> DataFrame:
-    return holding_pairs(entries, tracks, "norm_filename", shared).select(*KEY, "path", *_candidate(fixed.FILENAME))
+    return _holding(entries, tracks, "norm_filename", shared).select(*KEY, "path", *_candidate(fixed.FILENAME))
 
 
 TIERS = {
