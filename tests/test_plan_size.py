@@ -9,7 +9,7 @@ from larkspur.plans import queries
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["q_match_misses"])
+@pytest.mark.parametrize("name", ["q_match_misses", "q_match_summary"])
 def test_few_exchanges(spark, monkeypatch, name):
     plans = []
 
