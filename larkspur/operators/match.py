@@ -152,10 +152,10 @@ def artist_links(left: DataFrame, right: DataFrame) -> DataFrame:
 
     A holder shares all words of what it holds, so it is enough to join on the rarest of those.
     """
-    a, b = left.select("artist").where("artist <> ''").distinct(), right.select("artist").where("artist <> ''").distinct()
-    order = rare_first(a.select(F.col("artist").alias("text")), b.select(F.col("artist").alias("text")))
+    a, b = left.select("artist").where("artist <> ''"), right.select("artist").where("artist <> ''")
+    order = cut(rare_first(a.select(F.col("artist").alias("text")), b.select(F.col("artist").alias("text"))))
     known = lambda d, side: joined(d, order, F.col("artist") == F.col("text")).select("artist", _ways("artist", "words", side, fixed.MIN_ARTIST_RUNES, True)).select("artist", "way.*")
-    pairs = joined(known(a, 0), known(b, 1).withColumnRenamed("artist", "linked"), ["side", "word"])
+    pairs = joined(known(a.distinct(), 0), known(b.distinct(), 1).withColumnRenamed("artist", "linked"), ["side", "word"])
     return pairs.where(same_artist(F.col("artist"), F.col("linked"))).select("artist", "linked").distinct()
 
 
@@ -300,16 +300,17 @@ def match_union(entries: DataFrame, tracks: DataFrame) -> DataFrame:
 def match(entries: DataFrame, tracks: DataFrame) -> DataFrame:
     """The winners tier by tier: only entries that a stronger tier left go on to the next one.
 
-    Each step's winners are checkpointed, so steps neither repeat work nor lengthen the plan.
+    Each step's keys with their winners are checkpointed, so steps neither repeat work nor lengthen the
+    plan. No step has two similarity tiers: Spark's driver plans and describes a plan anew after each of its
+    stages, so what it allocates grows with the square of a plan.
     """
     left, won = cut(_keys(entries)), None
     shared = Shared(left, tracks)
-    steps = [["exact", "title_artist", "title_album", "title"], ["title_part", "tokens"], ["artist", "filename"]]
+    steps = [["exact", "title_artist", "title_album", "title"], ["title_part"], ["tokens", "artist"], ["filename"]]
     for step in steps:
-        found = cut(best(_union([TIERS[t](left, tracks, shared) for t in step])))
+        asked = cut(joined(left, best(_union([TIERS[t](left, tracks, shared) for t in step])), KEY, "left"))
+        found, left = asked.where("path IS NOT NULL"), asked.where("path IS NULL").select(*KEY)
         won = found if won is None else won.unionByName(found)
-        if step is not steps[-1]:
-            left = cut(joined(left, found.select(*KEY), KEY, "left_anti"))
     return with_winners(entries, won)
 
 
