@@ -52,11 +52,12 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[str, SparkSession] = {}
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage ends, work is not repeated."""
+def cut(df: DataFrame, name: str = "t", dictionary: bool = True) -> DataFrame:
+    """Writes a table to the shared folder and reads it again: lineage ends, work is not repeated.
+    Columns of digests need no ``dictionary``: hardly a value comes twice."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkspur-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._larkspur_path = path
     _WRITTEN[path] = spark

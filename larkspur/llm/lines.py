@@ -21,15 +21,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import U64, as_bytes, chunks, cut, drop, keyed, mix, per_text, prepare, side, tidy, tidy_group, word_hashes
 
 COUNTERS, BLOCK = 1 << 20, 1 << 12
+#: Bytes of texts whose words are hashed and sorted at once; their arrays stay in a core's cache.
+AT_ONCE = 1 << 18
 THRESHOLD, MIN_WORDS = 0.9, 1
 #: Prefix words of a shard; and occurrences from which a word is dealt out by length too.
 SHARD, FREQUENT = 300_000, 100_000
@@ -39,6 +40,41 @@ PAIRED = 64
 STAGED = 200
 LOG = 20
 
+#: Words of more bytes are hashed by word_hashes; and masks of the first 0 to 8 bytes of a number.
+BLOCKS = 64
+_HEAD = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts in order, each word's place in the texts joined by \\n, and
+    the places of all \\n there, one after the last text included. A word is hashed eight bytes at a time,
+    so the work goes by words, not by bytes."""
+    size = sum(map(len, texts)) + len(texts)
+    joined = b"\n".join(texts) + b"\n" * (16 + -size % 8)  # whole numbers, also behind the last word
+    b = np.frombuffer(joined, np.uint8)
+    inside = (b != 0x20) & (b - np.uint8(0x09) > 0x0D - 0x09)
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edge = np.concatenate([[0], edge])
+    start, length = edge[::2], edge[1::2] - edge[::2]
+    numbers = np.frombuffer(joined, "<u8", len(joined) // 8)
+
+    def eight(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The bytes from ``at``, of which ``left`` are the word's, as a number of eight at most."""
+        i, shift = at >> 3, (at & 7).astype(U64) << U64(3)
+        return (numbers[i] >> shift | numbers[i + 1] << U64(1) << (U64(63) - shift)) & _HEAD[np.minimum(left, 8)]
+
+    h = mix(eight(start, length) + length.astype(U64) * U64(0xD6E8FEB86659FD93))
+    done, more = 8, np.flatnonzero((length > 8) & (length <= BLOCKS))
+    while len(more):
+        h[more] = mix(h[more] ^ eight(start[more] + done, length[more] - done))
+        done += 8
+        more = more[length[more] > done]
+    long = np.flatnonzero(length > BLOCKS)
+    if len(long):
+        h[long] = word_hashes([joined[a:z] for a, z in zip(start[long].tolist(), (start + length)[long].tolist(), strict=True)])[0]
+    return h, start, np.flatnonzero(b[:size] == 0x0A)
+
 
 def rarity(docs: DataFrame) -> np.ndarray:
     """Logarithms of the counters of hashed words over all texts: COUNTERS numbers for any corpus."""
@@ -47,8 +83,9 @@ def rarity(docs: DataFrame) -> np.ndarray:
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
             texts = as_bytes(b.column(0))
-            for lo, hi in chunks(texts, 2 << 20, 10_000):
-                total += np.bincount((word_hashes(texts[lo:hi])[0] & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            at = [(words_of(texts[lo:hi])[0] & U64(COUNTERS - 1)).astype(np.int64) for lo, hi in chunks(texts, AT_ONCE, 10_000)]
+            if at:  # once a batch: each count goes through all counters
+                total += np.bincount(np.concatenate(at), minlength=COUNTERS)
         rows = [[], [], []]
         for block in range(COUNTERS // BLOCK):
             own = total[block * BLOCK : (block + 1) * BLOCK]
@@ -90,14 +127,13 @@ def longer(size: np.ndarray, n: np.ndarray) -> np.ndarray:
 def line_sets(texts: list[bytes], rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each line with a word its text and its place there; the lines' distinct words' hashes,
     rarest first, and each line's bounds in them."""
-    h, place, _ = word_hashes(texts)
-    joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    line = np.searchsorted(np.flatnonzero(joined == 10), place)
-    sizes = np.fromiter((t.count(b"\n") + 1 for t in texts), np.int64, len(texts))
-    first = np.cumsum(sizes) - sizes
+    h, place, breaks = words_of(texts)
+    line = np.repeat(np.arange(len(breaks)), np.diff(np.searchsorted(place, breaks), prepend=0))
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    first = np.searchsorted(breaks, np.cumsum(sizes) - sizes)
     key = rare[(h & U64(COUNTERS - 1)).astype(np.int64)].astype(U64) << U64(34) | h >> U64(30)
     # One sort where a line's number fits beside its words' order, else two.
-    order = np.argsort(line.astype(U64) << U64(44) | key) if sizes.sum() < 1 << 20 else np.lexsort((key, line))
+    order = np.argsort(line.astype(U64) << U64(44) | key) if len(breaks) < 1 << 20 else np.lexsort((key, line))
     h, line = h[order], line[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -117,7 +153,7 @@ def line_table(own: DataFrame, rare: object, threshold: float, min_words: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, versions, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), as_bytes(b.column(2))
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, AT_ONCE):
                 text, line, h, bounds = line_sets(texts[lo:hi], rare.value)
                 n = np.diff(bounds)
                 pick = np.flatnonzero(n >= min_words)
@@ -291,19 +327,33 @@ def verified(own: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return out
 
 
-def later_matches(own: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+def distinct_sets(table: DataFrame, shared: bool) -> tuple[DataFrame, DataFrame]:
+    """The earliest line of each set (k, v, line, n, sig, gis, prefix), and k, v, line of all other lines,
+    from line_table's rows. Where no ids are shared (v is one value), k alone tells documents apart."""
+    # A text has one row with a prefix for each set, so the least document is the least line.
+    place = F.struct("k", "v") if shared else F.col("k")
+    own = table.where(F.col("prefix").isNotNull())
+    # Written, so that the join deals both sides out itself and can split those of a very common line.
+    least = cut(own.groupBy("hi", "lo").agg(F.min(place).alias("least")), "least", dictionary=False)
+    first = F.col("first")
+    rows = own.join(side(least), ["hi", "lo"]).withColumn("first", place == F.col("least"))
+    # What only the first line of a set needs is null in the others.
+    sets = cut(rows.select("k", "v", "line", "first", *[F.when(first, F.col(c)).alias(c) for c in ("n", "sig", "gis", "prefix")]), "sets", dictionary=False)
+    drop(least)
+    again = table.where(F.col("prefix").isNull()).select("k", "v", "line")
+    gone = cut(again.unionByName(sets.where(~first).select("k", "v", "line")), "equal")
+    return sets, gone
+
+
+def later_matches(own: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, shared: bool = True) -> DataFrame:
     """k, v, line of every line that an earlier line matches; ``own`` has k and v (the document) and text,
-    one row for each document."""
+    one row for each document; ``shared`` is whether documents may have the same k."""
     spark: SparkSession = own.sparkSession
     rare = spark.sparkContext.broadcast(rarity(own))  # COUNTERS numbers
-    table = cut(line_table(own, rare, threshold, min_words), "lines")
-    row = F.struct("k", "v", "line", "n", "sig", "gis", "prefix")
-    reps = cut(table.where(F.col("prefix").isNotNull()).groupBy("hi", "lo").agg(F.min(row).alias("r")).select("hi", "lo", "r.*"), "reps")
-    first = reps.select("hi", "lo", F.col("k").alias("fk"), F.col("v").alias("fv"))
-    equal = table.where(F.col("prefix").isNotNull()).select("k", "v", "line", "hi", "lo").join(first, ["hi", "lo"]).where("k <> fk or v <> fv")
-    gone = cut(table.where(F.col("prefix").isNull()).select("k", "v", "line").unionByName(equal.select("k", "v", "line")), "equal")
+    table = cut(line_table(own, rare, threshold, min_words), "lines", dictionary=False)
+    reps, gone = distinct_sets(table, shared)
     drop(table)
-    joined = reps.where(F.size("prefix") > 0)
+    joined = reps.where(F.col("first") & (F.size("prefix") > 0)).drop("first")
     shards = max(1, -(-(joined.agg(F.sum(F.size("prefix"))).first()[0] or 0) // SHARD))
     star = cut(paired(dealt(joined.withColumn("open", F.lit(1)), rare, shards, threshold), threshold, heads=True), "star")
     hit = verified(own, star, threshold)
@@ -317,14 +367,15 @@ def later_matches(own: DataFrame, threshold: float = THRESHOLD, min_words: int =
     return gone.unionByName(hit).unionByName(again).distinct()
 
 
-def without_lines(texts: pd.Series, removed: pd.Series) -> pd.Series:
-    def one(text: str | None, gone: object) -> str | None:
-        if text is None or gone is None:
-            return None
-        out = set(gone)
-        return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in out)
+def without_lines(text: Column, removed: Column) -> Column:
+    """``text`` without the lines numbered in ``removed``."""
+
+    def kept(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+        return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
 
-    return pd.Series([one(t, g) for t, g in zip(texts, removed, strict=True)], dtype=object)
+    # A lambda's variable is computed once; written out, the text would be split again for every line.
+    return F.get(F.transform(F.array(F.split(text, "\n", -1)), kept), F.lit(0))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
@@ -340,15 +391,15 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int =
     prepare(docs.sparkSession)
     k, v, shared = keyed(docs)
     own = docs.select(k.alias("k"), v.alias("v"), "text").where(F.col("text").isNotNull())
-    gone = later_matches(own.dropDuplicates(["k", "v"]) if shared else own, threshold, min_words)
+    gone = later_matches(own.dropDuplicates(["k", "v"]) if shared else own, threshold, min_words, shared)
     lists = cut(gone.groupBy(F.col("k").alias("_k"), F.col("v").alias("_v")).agg(F.collect_set("line").alias("_removed")), "gone")
     # The row travels as one struct, so that no column of docs can clash with those used here.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"), k.alias("_key"), v.alias("_version"))
     # A row for each document that loses lines: it grows with the input, so it is never broadcast.
     out = rows.join(lists.hint("shuffle_hash"), (F.col("_key") == F.col("_k")) & (F.col("_version") == F.col("_v")), "left")
     old = F.col("_d.text")
-    new = F.coalesce(F.pandas_udf(without_lines, "string")(F.when(F.col("_removed").isNotNull(), old), F.col("_removed")), old)
-    n_lines = F.coalesce(F.length(old) - F.length(F.replace(old, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    new = F.when(F.col("_removed").isNull(), old).otherwise(without_lines(old, F.col("_removed")))
+    n_lines = F.coalesce(F.octet_length(old) - F.octet_length(F.replace(old, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     same = [new.alias(c) if c == "text" else F.col(f"_d.`{c}`").alias(c) for c in docs.columns]
     removed = F.coalesce(F.array_sort("_removed"), F.array().cast("array<int>"))
     return out.select(*same, n_lines.alias("_n_lines"), F.size(removed).alias("_n_removed"), removed.alias("_removed"))
